@@ -75,34 +75,44 @@ def candidates(pred: DataFrame, gold: DataFrame, min_iou: float = IOU_THRESHOLDS
             .select(*keys, "p_idx", "g_idx", "iou", "p0", "p1", "g0", "g1", *carry))
 
 
+def point_join(outer: DataFrame, points: DataFrame, keys: Sequence[str], o0: str, o1: str, at: str,
+               split: bool) -> DataFrame:
+    """Pairs of an interval and a point of the same group with o0 <= at <= o1.
+
+    With ``split`` each interval sits in the cells of its own length class and each point asks every
+    class that occurs, so a hot group spreads over its cells and no long interval is unrolled.
+    """
+    holds = (F.col(at) >= F.col(o0)) & (F.col(at) <= F.col(o1))
+    if not split:
+        return outer.join(points, list(keys)).filter(holds)
+    base, low, high = 16.0, -9, 12   # lengths from 1e-10 s to 1e15 s; others clamp to the ends
+    length = F.greatest(F.col(o1) - F.col(o0), F.lit(1e-12))
+    level = F.least(F.greatest(F.floor(F.log(length) / F.log(F.lit(base))), F.lit(low).cast("long")),
+                    F.lit(high).cast("long"))
+    outer = outer.filter(F.col(o1) >= F.col(o0)).withColumn("_level", level)
+    width = F.pow(F.lit(base), F.col("_level") + 1)
+    outer = outer.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(o0) / width), F.floor(F.col(o1) / width))))
+    # At most high - low + 1 classes can occur.
+    used = sorted(r[0] for r in outer.select("_level").distinct().collect())
+    asked = F.array(*(F.lit(k).cast("long") for k in used)).cast("array<bigint>")
+    points = points.withColumn("_level", F.explode(asked))
+    points = points.withColumn("_cell", F.floor(F.col(at) / F.pow(F.lit(base), F.col("_level") + 1)))
+    return outer.join(points, [*keys, "_level", "_cell"]).filter(holds).drop("_level", "_cell")
+
+
 def inside_pairs(outer: DataFrame, inner: DataFrame, min_cov: float, keys: Sequence[str] = RUN_KEYS,
                  split: bool | None = None) -> DataFrame:
     """Pairs where ``outer`` covers at least ``min_cov`` (> 0.5) of ``inner``: (keys, o_idx, i_idx).
 
-    More than half of a span always includes its midpoint, so with ``split`` this is a point lookup:
-    each outer span sits in the cells of its own length class and each midpoint asks every class.
+    More than half of a span always includes its midpoint, so this is a point lookup.
     """
     if min_cov <= 0.5:
         raise ValueError("min_cov must exceed one half")
     split = decide(split, (outer, keys), (inner, keys))
     o = outer.select(*keys, F.col("idx").alias("o_idx"), F.col("start_s").alias("o0"), F.col("end_s").alias("o1"))
     i = inner.select(*keys, F.col("idx").alias("i_idx"), F.col("start_s").alias("i0"), F.col("end_s").alias("i1"))
-    i = i.filter(F.col("i1") > F.col("i0"))
-    near = (F.col("o0") < F.col("i1")) & (F.col("i0") < F.col("o1"))
-    if not split:
-        pairs = o.join(i, list(keys)).filter(near)
-    else:
-        base, low, high = 16.0, -9, 12   # lengths from 1e-10 s to 1e15 s; others clamp to the ends
-        level = F.least(F.greatest(F.floor(F.log(F.col("o1") - F.col("o0")) / F.log(F.lit(base))),
-                                   F.lit(low).cast("long")), F.lit(high).cast("long"))
-        o = o.filter(F.col("o1") > F.col("o0")).withColumn("level", level)
-        width = F.pow(F.lit(base), F.col("level") + 1)
-        o = o.withColumn("cell", F.explode(F.sequence(F.floor(F.col("o0") / width), F.floor(F.col("o1") / width))))
-        # Only the length classes that occur are asked: an array of at most high - low + 1 entries.
-        used = sorted(r[0] for r in o.select("level").distinct().collect())
-        i = i.withColumn("level", F.explode(F.array(*(F.lit(k).cast("long") for k in used)).cast("array<bigint>")))
-        i = i.withColumn("cell", F.floor((F.col("i0") + F.col("i1")) / 2 / F.pow(F.lit(base), F.col("level") + 1)))
-        pairs = o.join(i, [*keys, "level", "cell"]).filter(near)
+    i = i.filter(F.col("i1") > F.col("i0")).withColumn("_mid", (F.col("i0") + F.col("i1")) / 2)
+    pairs = point_join(o, i, keys, "o0", "o1", "_mid", split)
     return (pairs.filter(iv.coverage("o0", "o1", "i0", "i1") >= min_cov)
             .select(*keys, "o_idx", "i_idx"))
 

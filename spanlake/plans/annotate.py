@@ -87,6 +87,5 @@ def annotate(tables: Tables, quality: str | Config = "balanced", split: bool | N
     if cfg.label and t.labels is not None:
         segments = pr.apply_labels(segments, t.labels, t.requests)
         segments, more = cl.clean(segments, t.episodes, t.requests, split=split)
-        more = more.filter(F.col("step") > 0)
         notes.append(more.select(*keys, F.lit(2).alias("stage"), "warning"))
     return segments, reduce(DataFrame.unionByName, notes)
