@@ -40,7 +40,7 @@ def _metrics(p: str) -> dict[str, Column]:
     return out
 
 
-METRICS = list(_metrics("a"))
+METRICS = ["f1", "f1_snapped", *(f"boundary_recall_{tag(t)}" for t in TOLERANCES)]
 
 
 def draw(b: Column, j: Column, n: Column, seed: int) -> Column:
