@@ -56,7 +56,7 @@ def snap_to_vocabulary(label, vocab) -> Column:
         jaccard(words(label), words(v)).alias("score"), (-i).alias("rank"), v.alias("entry")))
     return (F.when(F.coalesce(F.size(vocab), F.lit(0)) <= 0, label)
             .when(F.array_contains(vocab, label), label)
-            .when(F.size(same_case) > 0, F.element_at(same_case, -1))
+            .when(F.size(same_case) > 0, F.try_element_at(same_case, F.lit(-1)))
             .otherwise(F.array_max(scored)["entry"]))
 
 

@@ -232,8 +232,8 @@ def trim_fine(assigned: DataFrame, split: bool | None = None) -> DataFrame:
                        lambda prev, x: F.when(dropped(prev, x["s"], x["t"]), prev).otherwise(x["t"]), split)
     kept = rows.filter(~dropped(F.col("before"), F.col("s"), F.col("t"))).withColumn("s", F.greatest("s", "before"))
     o = ordered(kept, keys, ["f0", "f1", "idx"], split)
-    return o.drop("idx").number("idx").df.select(
-        *keys, "idx", round_true(F.col("s") - F.col("cs"), 3).alias("start_s"),
+    return o.number("_pos").df.select(
+        *keys, F.col("_pos").alias("idx"), round_true(F.col("s") - F.col("cs"), 3).alias("start_s"),
         round_true(F.col("t") - F.col("cs"), 3).alias("end_s"), F.col("text").alias("label"))
 
 

@@ -18,7 +18,7 @@ from spanlake.operators.clean import fixed2
 from spanlake.operators.layout import decide, fold_groups, ordered
 from spanlake.schema import (EPISODE_KEYS, EPS, LABEL_CONTEXT, LABEL_MAX_FRAMES, MIN_PIECE, NO_EVENT_LABEL,
                              REFINE_FLAG, REFINE_GUARD, REFINE_HALF_WINDOW, REFINE_INTERVAL, RESULTS,
-                             SUBDIVIDE_INTERVAL, SUBDIVIDE_MAX_FRAMES, SUBDIVIDE_MIN_FRAMES, SUBDIVIDE_MIN_SPAN)
+                             SUBDIVIDE_INTERVAL, SUBDIVIDE_MAX_FRAMES, SUBDIVIDE_MIN_FRAMES, SUBDIVIDE_MIN_SPAN, struct)
 
 # ---- windows and stitching ------------------------------------------------------------------------
 
@@ -350,8 +350,8 @@ def render_requests(df: DataFrame, template: str = SEGMENT_TEMPLATE, name: str =
     return df.withColumn(name, filled)
 
 
-CALL_SCHEMA = ("ok boolean, answer string, error string, trace string, prompt_tokens bigint, "
-               "output_tokens bigint, retries bigint")
+CALL_SCHEMA = struct(ok=T.BooleanType(), answer=T.StringType(), error=T.StringType(), trace=T.StringType(),
+                     prompt_tokens=T.LongType(), output_tokens=T.LongType(), retries=T.LongType())
 
 
 def propose(requests: DataFrame, call: Callable[[pd.DataFrame], pd.DataFrame], keep: Sequence[str]) -> DataFrame:
@@ -359,7 +359,7 @@ def propose(requests: DataFrame, call: Callable[[pd.DataFrame], pd.DataFrame], k
     any of the ``CALL_SCHEMA`` columns. A batch that raises is retried row by row, and a row that
     raises becomes ``ok = false`` with the error (300 characters) and trace (last 400)."""
     keep = list(keep)
-    fields = [f.split() for f in CALL_SCHEMA.split(", ")]
+    fields = [(f.name, f.dataType.simpleString()) for f in CALL_SCHEMA.fields]
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         got = call(rows).reset_index(drop=True)
@@ -393,9 +393,7 @@ def propose(requests: DataFrame, call: Callable[[pd.DataFrame], pd.DataFrame], k
                     except Exception as exc:  # noqa: BLE001
                         yield failed(row, exc)
 
-    schema = T.StructType([requests.schema[k] for k in keep])
-    for name, kind in fields:
-        schema = schema.add(name, kind)
+    schema = T.StructType([requests.schema[k] for k in keep] + CALL_SCHEMA.fields)
     return requests.mapInPandas(run, schema)
 
 

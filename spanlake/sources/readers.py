@@ -66,7 +66,7 @@ def read_sidecars(spark: SparkSession, path: str, videos: DataFrame | None = Non
 
 def triples(c) -> Column:
     """[[start, end, label], ...] as text to (start_s, end_s, label) structs."""
-    return F.transform(c, lambda t: F.struct(t[0].cast("double").alias("start_s"), t[1].cast("double").alias("end_s"),
+    return F.transform(c, lambda t: F.struct(F.try_element_at(t, F.lit(1)).cast("double").alias("start_s"), F.try_element_at(t, F.lit(2)).cast("double").alias("end_s"),
                                              F.try_element_at(t, F.lit(3)).alias("label")))
 
 
