@@ -133,27 +133,28 @@ def apply_subdivision(segments: DataFrame, pieces: DataFrame, keys: Sequence[str
     """
     keys = list(keys)
     split = decide(split, (segments, keys), (pieces, keys))
-    parents = segments.select(*keys, F.col("idx").alias("parent_idx"), F.col("start_s").alias("lo"),
-                              F.col("end_s").alias("hi")).filter(F.col("hi") - F.col("lo") >= SUBDIVIDE_MIN_SPAN)
-    rows = pieces.select(*keys, "parent_idx", F.col("idx").alias("_i"), "start_s", "end_s", "label").join(
-        parents, [*keys, "parent_idx"])
-    if relative:
-        rows = rows.withColumns({c: F.col(c) + F.col("lo") for c in ("start_s", "end_s")})
-    rows = rows.filter(F.col("end_s") - F.col("start_s") >= MIN_PIECE).withColumn("_s0", F.col("start_s"))
-    rows = rows.withColumns({c: F.least(F.greatest(F.col(c), F.col("lo")), F.col("hi")) for c in ("start_s", "end_s")})
-    rows = rows.filter(F.col("end_s") - F.col("start_s") >= MIN_PIECE)
-    o = ordered(rows, [*keys, "parent_idx"], ["_s0", "_i"], split)
-    o = o.number("_k").total({"_n": ("sum", F.lit(1))}).where("_n >= 2")
-    o = o.with_columns({"start_s": F.when(F.col("_k") == 0, F.col("lo")).otherwise(F.col("start_s")),
-                        "end_s": F.when(F.col("_k") == F.col("_n") - 1, F.col("hi")).otherwise(F.col("end_s"))})
+    parts = pieces.select(*keys, F.col("idx").alias("_i"), F.col("parent_idx"), F.col("start_s").alias("_s"),
+                          F.col("end_s").alias("_e"), F.col("label").alias("_l"))
+    rows = segments.select(*keys, F.col("idx").alias("parent_idx"), "start_s", "end_s", "label").join(
+        parts, [*keys, "parent_idx"], "left")
+    lo, hi = F.col("start_s"), F.col("end_s")
+    shift = lo if relative else F.lit(0.0)
+    rows = rows.withColumns({"_s0": F.col("_s") + shift, "_e0": F.col("_e") + shift})
+    rows = rows.withColumns({"_s": F.least(F.greatest("_s0", lo), hi), "_e": F.least(F.greatest("_e0", lo), hi)})
+    good = (hi - lo >= SUBDIVIDE_MIN_SPAN) & (F.col("_e0") - F.col("_s0") >= MIN_PIECE) & (F.col("_e") - F.col("_s") >= MIN_PIECE)
+    rows = rows.withColumn("_good", F.coalesce(good, F.lit(False)))
+    # Usable pieces first in their order, then the rest; a parent keeps its first row when it stays whole.
+    o = ordered(rows.withColumn("_bad", ~F.col("_good")), [*keys, "parent_idx"], ["_bad", "_s0", "_i"], split)
+    o = o.number("_k").total({"_n": ("sum", F.col("_good").cast("int"))})
+    cut = F.col("_n") >= 2
+    o = o.where((cut & F.col("_good")) | (~cut & (F.col("_k") == 0)))
+    o = o.with_columns({
+        "start_s": F.when(cut & (F.col("_k") > 0), F.col("_s")).otherwise(lo),
+        "end_s": F.when(cut & (F.col("_k") < F.col("_n") - 1), F.col("_e")).otherwise(hi),
+        "label": F.when(cut, F.col("_l")).otherwise(F.col("label"))})
     o = o.shift(prev={"_pe": "end_s"}).with_columns({"start_s": F.greatest("start_s", "_pe")})
-    cut = o.df
-    split_up = cut.select(*keys, "parent_idx").distinct()
-    kept = cut.filter(F.col("end_s") - F.col("start_s") >= MIN_PIECE).select(
-        *keys, "parent_idx", F.col("_k"), "start_s", "end_s", "label")
-    whole = segments.withColumnRenamed("idx", "parent_idx").join(split_up, [*keys, "parent_idx"], "left_anti").select(
-        *keys, "parent_idx", F.lit(0).cast("long").alias("_k"), "start_s", "end_s", "label")
-    return ordered(whole.unionByName(kept), keys, ["parent_idx", "_k"], split).number("idx").df.select(
+    kept = o.df.filter(~cut | (F.col("end_s") - F.col("start_s") >= MIN_PIECE))
+    return ordered(kept, keys, ["parent_idx", "_k"], split).number("idx").df.select(
         *keys, "idx", "start_s", "end_s", "label")
 
 
@@ -164,18 +165,24 @@ def refine_windows(segments: DataFrame, episodes: DataFrame, keys: Sequence[str]
                    split: bool | None = None) -> DataFrame:
     """One row per border between neighbours: candidate time, inspected window, whether it is worth a
     look, and the neighbours' labels: (keys, boundary_idx, candidate, low, high, inspect, before, after)."""
-    o = ordered(segments.select(*keys, "idx", "start_s", "end_s", "label"), keys, ["idx"], split)
-    o = o.shift(next={"_ns": "start_s", "after": "label"}).where(F.col("_ns").isNotNull())
-    rows = o.df.withColumn("candidate", (F.col("end_s") + F.col("_ns")) / 2.0)
-    rows = rows.join(episodes.select("episode_id", "duration_s"), "episode_id")
+    rows = _borders(segments, episodes, keys, half, interval, mode, split).filter(F.col("candidate").isNotNull())
+    return rows.select(*keys, F.col("idx").alias("boundary_idx"), "candidate", "low", "high", "inspect",
+                       F.col("label").alias("before"), F.col("_nl").alias("after"))
+
+
+def _borders(segments: DataFrame, episodes: DataFrame, keys, half: float, interval: float, mode: str,
+             split: bool | None) -> DataFrame:
+    """Segments with their successor (``_ns``, ``_ne``, ``_nl``) and the window around the border to it."""
+    o = ordered(segments, keys, ["idx"], split).shift(next={"_ns": "start_s", "_ne": "end_s", "_nl": "label"})
+    rows = o.df.join(episodes.select("episode_id", "duration_s"), "episode_id")
+    rows = rows.withColumn("candidate", (F.col("end_s") + F.col("_ns")) / 2.0)
     rows = rows.withColumns({"low": F.greatest(F.lit(0.0), F.col("candidate") - half),
                              "high": F.least(F.col("duration_s"), F.col("candidate") + half)})
     least = interval * 2 if mode == "sheets" else 0.5
     inspect = F.col("high") - F.col("low") >= least
     if mode == "sheets":
         inspect = inspect & (_frame_count(interval) >= 3)
-    return rows.select(*keys, F.col("idx").alias("boundary_idx"), "candidate", "low", "high",
-                       inspect.alias("inspect"), F.col("label").alias("before"), "after")
+    return rows.withColumn("inspect", inspect).drop("duration_s")
 
 
 def _frame_count(interval: float) -> Column:
@@ -191,10 +198,10 @@ def snap_to_frames(t: Column, low: Column, n: Column, interval: float) -> Column
 
 
 def choose(borders: DataFrame, choices: DataFrame, keys: Sequence[str] = EPISODE_KEYS,
-           interval: float = REFINE_INTERVAL, mode: str = "sheets") -> DataFrame:
+           interval: float = REFINE_INTERVAL, mode: str = "sheets", on: str = "boundary_idx") -> DataFrame:
     """The refined time of each border: the answer snapped to an inspected frame (``sheets``) or shifted
     and rounded (``video``); the candidate when there is no answer or it lies outside the window."""
-    rows = borders.join(choices.select(*keys, "boundary_idx", "boundary_s"), [*keys, "boundary_idx"], "left")
+    rows = borders.join(choices.select(*keys, F.col("boundary_idx").alias(on), "boundary_s"), [*keys, on], "left")
     answer = F.col("boundary_s")
     if mode == "video":
         span = F.col("high") - F.col("low")
@@ -223,11 +230,8 @@ def apply_refinement(segments: DataFrame, choices: DataFrame, episodes: DataFram
     """
     keys = list(keys)
     split = decide(split, (segments, keys))
-    borders = refine_windows(segments, episodes, keys, half, interval, mode, split)
-    times = choose(borders, choices, keys, interval, mode).select(*keys, F.col("boundary_idx").alias("idx"), "t")
-    o = ordered(segments, keys, ["idx"], split)
-    o = o.shift(next={"_ns": "start_s", "_ne": "end_s", "_nl": "label"})
-    rows = o.df.join(times, [*keys, "idx"], "left")
+    rows = choose(_borders(segments, episodes, keys, half, interval, mode, split), choices, keys, interval, mode, "idx")
+    rows = rows.select(*segments.columns, "_ns", "_ne", "_nl", "t")
     item = F.struct(*[c for c in rows.columns if c not in keys])
 
     def step(state: Column, x: Column) -> Column:

@@ -76,7 +76,7 @@ def annotate(tables: Tables, quality: str | Config = "balanced", split: bool | N
         spans = pr.apply_subdivision(spans, t.pieces, keys, cfg.subdivide_input == "video", split)
     segments, notes = cl.to_segments(spans), []
     if cfg.repeat_pass and t.second is not None:
-        segments, unstable = cl.flag_unstable(segments, coarse(t.second))
+        segments, unstable = cl.flag_unstable(segments, coarse(t.second), keys, split)
         notes.append(unstable.select(*keys, F.lit(3).alias("stage"), "warning"))
     segments, first = cl.clean(segments, t.episodes, t.requests, split=split)
     notes.append(first.select(*keys, F.lit(1).alias("stage"), "warning"))

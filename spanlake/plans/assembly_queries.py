@@ -539,7 +539,7 @@ SELECT s.episode_id, idx, start_s, end_s, label, result, attributes, description
   CASE WHEN n1 <> n2 THEN list_append(flags, 'segment_count_unstable') ELSE flags END AS flags
 FROM fresh s JOIN (SELECT episode_id, count(*) FILTER (run = 'a') AS n1, count(*) FILTER (run = 'b') AS n2 FROM pred GROUP BY ALL) USING (episode_id)""")
 def flag_unstable(t: Tables):
-    return cl.flag_unstable(cl.to_segments(coarse(t)), cl.to_segments(t.pred("b").drop("run")))[0]
+    return cl.flag_unstable(cl.to_segments(coarse(t)), cl.to_segments(t.pred("b").drop("run")), split=t.split)[0]
 
 
 @query("unflagged_segments", """
