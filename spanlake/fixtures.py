@@ -10,7 +10,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.operators.layout import needs_split, ordered
+from spanlake.operators.layout import SPLIT_ROWS, needs_split, ordered
 
 # run -> (boundary events dropped where event_id % n = 0, jitter range, jitter offset in ms)
 RUNS = {"a": (7, 1001, 500), "b": (4, 1801, 900)}
@@ -36,7 +36,14 @@ class Tables:
         """Measured once on the base table; derived tables hold at most twice its rows per episode."""
         if self._split is not None:
             return self._split
-        return needs_split(self.raw("events"), ["user_id"])
+        return needs_split(self.raw("events"), ["user_id"], SPLIT_ROWS // 2)
+
+    @cached_property
+    def order_split(self) -> bool:
+        """The same for tables keyed by order; sessions hold three rows per order line."""
+        if self._split is not None:
+            return self._split
+        return needs_split(self.raw("lineitem"), ["l_orderkey"], SPLIT_ROWS // 3)
 
     @cached_property
     def timed(self) -> DataFrame:
