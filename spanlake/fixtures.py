@@ -27,6 +27,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str, split: bool | None = None):
         self.spark, self.sf_dir, self._split = spark, sf_dir, split
+        self._pred: dict[tuple[str, ...], DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -90,11 +91,14 @@ class Tables:
 
     def pred_ms(self, *runs: str) -> DataFrame:
         """Predicted spans in milliseconds, zero-length ones dropped."""
+        if runs in self._pred:
+            return self._pred[runs]
         marks = None
         for run in runs:
             marks = self.boundaries(run) if marks is None else marks.unionByName(self.boundaries(run))
         o = ordered(marks, ["run", "episode_id"], ["b_ms", "event_id", "part"], self.split)
         o = o.shift(next={"e_ms": "b_ms"}).where(F.col("e_ms") > F.col("b_ms")).number("idx")
+        self._pred[runs] = o.df
         return o.df
 
     def pred(self, *runs: str) -> DataFrame:

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 _SPLITTER = 134217729.0  # 2**27 + 1
 
 
-def round_true(x: Column, digits: int) -> Column:
+def round_true(x: Column | str, digits: int) -> Column:
+    if isinstance(x, str):  # a column name: one expression instead of a tree built call by call
+        return F.expr(round_true_sql(f"`{x}`", digits))
     scale = float(10 ** digits)
     big = x * F.lit(_SPLITTER)
     high = big - (big - x)
@@ -25,9 +27,11 @@ def round_true(x: Column, digits: int) -> Column:
 
 
 def round_true_sql(x: str, digits: int) -> str:
-    """The same arithmetic as SQL text; ``x`` should be a plain column name."""
-    s = f"{10 ** digits}::DOUBLE"
-    high = f"({x}*134217729::DOUBLE-({x}*134217729::DOUBLE-{x}))"
+    """The same arithmetic as SQL text that Spark and other engines read alike; ``x`` should be a plain
+    column name."""
+    s = f"CAST({10 ** digits} AS DOUBLE)"
+    split = "CAST(134217729 AS DOUBLE)"
+    high = f"({x}*{split}-({x}*{split}-{x}))"
     k = f"floor({x}*{s})"
     side = f"(({high}*2*{s}-({k}*2+1))+({x}-{high})*2*{s})"
     return (f"(({k}+CASE WHEN {side}>0 OR ({side}=0 AND {k}%2<>0) THEN 1 ELSE 0 END)/{s})")

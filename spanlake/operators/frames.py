@@ -41,7 +41,7 @@ def sample_grid(episodes: DataFrame, interval: float = GRID_INTERVAL, start: Col
     ranges = ranges.withColumn("_n", F.floor((F.col("_t1") - F.col("_t0")) / interval) + 2)
     grid = count_up(ranges.select(*keys, "_t0", "_t1", "_n"), "_n", "frame_idx")
     grid = grid.withColumn("_t", F.col("_t0") + F.col("frame_idx") * interval)
-    return grid.filter(F.col("_t") <= F.col("_t1") + EPS).select(*keys, "frame_idx", round_true(F.col("_t"), 3).alias("t"))
+    return grid.filter(F.col("_t") <= F.col("_t1") + EPS).select(*keys, "frame_idx", round_true("_t", 3).alias("t"))
 
 
 def sheets(grid: DataFrame, per_sheet: int = FRAMES_PER_SHEET, columns: int = SHEET_COLUMNS) -> DataFrame:
@@ -172,8 +172,8 @@ def rows_to_segments(rows: DataFrame, interval: float = GRID_INTERVAL, keys: Seq
         F.min_by(F.coalesce((F.col("_pt") + F.col("t")) / 2.0, F.col("t")), "frame_idx").alias("_s"),
         F.max("t").alias("_last"))
     runs = runs.filter(~text.is_none("label")).withColumn("_e", F.col("_last") + interval / 2.0)
-    runs = runs.withColumn("end_s", round_true(F.col("_e"), 2))
+    runs = runs.withColumn("end_s", round_true("_e", 2))
     o = ordered(runs, keys, ["_run"], split).shift(prev={"_pe": "end_s"})
     o = o.with_columns({"_s": F.greatest("_s", "_pe")}).number("idx")
-    start = F.when(F.col("idx") == 0, F.lit(0.0)).otherwise(round_true(F.col("_s"), 2))
+    start = F.when(F.col("idx") == 0, F.lit(0.0)).otherwise(round_true("_s", 2))
     return o.df.withColumn("start_s", start).select(*keys, "idx", "start_s", "end_s", "label")

@@ -86,7 +86,7 @@ def to_seconds(steps: DataFrame, videos: DataFrame, trailing: bool = True) -> Da
                              "_e": frames_to_seconds("end_frame", "fps", "duration_s")})
     last = steps.groupBy("episode_id").agg(F.max_by("end_frame", "idx").alias("_last"))
     rows = rows.join(last, "episode_id").withColumn("note", mismatch_note("_last", "n_frames", trailing))
-    rows = rows.withColumns({"start_s": round_true(F.col("_s"), 3), "end_s": round_true(F.col("_e"), 3)})
+    rows = rows.withColumns({"start_s": round_true("_s", 3), "end_s": round_true("_e", 3)})
     kept = F.col("end_s") > F.col("start_s") if trailing else F.col("_e") > F.col("_s")
     return rows.filter(kept).select("episode_id", "idx", "start_s", "end_s", "label", "note")
 

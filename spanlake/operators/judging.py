@@ -20,7 +20,7 @@ def pairs(matches: DataFrame, pred: DataFrame, gold: DataFrame, rows: DataFrame
     keys = list(keys)
     p = pred.select(*keys, F.col("idx").alias("p_idx"), F.col("label").alias("predicted"))
     g = gold.select(*keys, F.col("idx").alias("g_idx"), F.col("label").alias("gold"))
-    out = matches.select(*keys, *PAIR, round_true(F.col("iou"), 3).alias("iou"))
+    out = matches.select(*keys, *PAIR, round_true("iou", 3).alias("iou"))
     out = out.join(p, [*keys, "p_idx"]).join(g, [*keys, "g_idx"])
     return out if rows is None else out.join(rows, keys)
 
@@ -58,7 +58,7 @@ def accuracy(judged: DataFrame, by: str = "family") -> DataFrame:
         F.count("*").alias("n"), F.avg(F.col("same_event").cast("double")).alias("accuracy"),
         F.grouping_id().alias("_g")).filter("_g < 3")
     return out.select("run", F.when(F.col("_g") == 1, "overall").otherwise(F.col(by)).alias("scope"), "n",
-                      round_true(F.col("accuracy"), 4).alias("accuracy"))
+                      round_true("accuracy", 4).alias("accuracy"))
 
 
 def discordant(judged_a: DataFrame, judged_b: DataFrame, on: Sequence[str]) -> DataFrame:

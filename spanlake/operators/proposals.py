@@ -40,7 +40,7 @@ def to_episode_time(proposals: DataFrame, windows: DataFrame, keys: Sequence[str
         return F.greatest(F.lit(0.0), F.least(F.col(c), F.col("hi") - F.col("lo"))) + F.col("lo")
 
     rows = rows.withColumns({"_s": place("start_s"), "_e": place("end_s")}).filter(F.col("_e") > F.col("_s"))
-    return rows.withColumns({"start_s": round_true(F.col("_s"), 2), "end_s": round_true(F.col("_e"), 2)}).drop(
+    return rows.withColumns({"start_s": round_true("_s", 2), "end_s": round_true("_e", 2)}).drop(
         "_s", "_e", "lo", "hi")
 
 
@@ -207,11 +207,11 @@ def choose(borders: DataFrame, choices: DataFrame, keys: Sequence[str] = EPISODE
         span = F.col("high") - F.col("low")
         rows = rows.withColumn("_at", F.col("low") + answer)
         good = F.col("inspect") & (answer >= -EPS) & (answer <= span + EPS)
-        value = round_true(F.col("_at"), 2)
+        value = round_true("_at", 2)
     else:
         rows = rows.withColumn("_n", _frame_count(interval))
         rows = rows.withColumn("_hi", F.col("low") + (F.col("_n") - 1) * F.lit(interval))
-        first, last = round_true(F.col("low"), 3), round_true(F.col("_hi"), 3)
+        first, last = round_true("low", 3), round_true("_hi", 3)
         good = F.col("inspect") & (answer >= first - EPS) & (answer <= last + EPS)
         value = snap_to_frames(answer, F.col("low"), F.col("_n"), interval)
     refined = F.when(F.coalesce(good, F.lit(False)), value).otherwise(F.col("candidate"))
@@ -244,7 +244,7 @@ def apply_refinement(segments: DataFrame, choices: DataFrame, episodes: DataFram
     settled = fold_groups(rows, keys, ["idx"], item, F.struct(nothing.alias("start"), nothing.alias("t")), step, split)
     settled = settled.withColumn("_moved", F.abs(F.col("after.t") - (F.col("end_s") + F.col("_ns")) / 2.0))
     big = F.col("_moved") >= REFINE_FLAG
-    settled = settled.withColumn("_flag", F.when(big, F.concat(F.lit("boundary_moved_"), fixed2(F.col("_moved")), F.lit("s"))))
+    settled = settled.withColumn("_flag", F.when(big, F.concat(F.lit("boundary_moved_"), fixed2("_moved"), F.lit("s"))))
     o = ordered(settled, keys, ["idx"], split).shift(prev={"_pf": "_flag"})
     touched = F.col("_pf").isNotNull() | F.col("_flag").isNotNull()
     out = o.df.withColumns({
@@ -252,7 +252,7 @@ def apply_refinement(segments: DataFrame, choices: DataFrame, episodes: DataFram
         "flags": F.concat("flags", F.array_compact(F.array("_pf", "_flag"))),
         "confidence": F.when(touched, "low").otherwise(F.col("confidence"))}).select(*segments.columns)
     notes = settled.filter(big).select(*keys, F.col("idx").alias("boundary_idx"), F.concat(
-        F.lit("boundary between '"), "label", F.lit("' and '"), "_nl", F.lit("' moved "), fixed2(F.col("_moved")),
+        F.lit("boundary between '"), "label", F.lit("' and '"), "_nl", F.lit("' moved "), fixed2("_moved"),
         F.lit("s in refinement")).alias("warning"))
     return out, notes
 
@@ -329,7 +329,7 @@ def render_requests(df: DataFrame, template: str = SEGMENT_TEMPLATE, name: str =
         "No task description was supplied.")
     window = empty
     if {"lo", "hi"} <= have:
-        window = F.concat(F.lit("Only the part from "), fixed2(F.col("lo")), F.lit("s to "), fixed2(F.col("hi")),
+        window = F.concat(F.lit("Only the part from "), fixed2("lo"), F.lit("s to "), fixed2("hi"),
                           F.lit("s is shown; keep every time inside it."))
         window = F.when(F.col("lo").isNull(), empty).otherwise(window)
         window = F.concat(window, F.when(some("previous_label") != "", F.concat(

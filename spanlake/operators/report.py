@@ -100,12 +100,12 @@ def families(*reports: DataFrame) -> DataFrame:
     return out.filter(F.col("scope") != "overall").distinct()
 
 
-def dataset_profile(episodes: DataFrame, gold: DataFrame, by: str = "family", split: bool | None = None) -> DataFrame:
+def dataset_profile(episodes: DataFrame, gold: DataFrame, by: str = "family") -> DataFrame:
     """Per dataset: episodes, segments per episode, median segment length, minutes of video."""
     size = episodes.groupBy(by).agg(F.count("*").alias("episodes"), (F.sum("duration_s") / 60).alias("minutes"))
     spans = gold.join(episodes.select("episode_id", by), "episode_id").withColumn("length", iv.duration())
     n = spans.groupBy(by).agg(F.count("*").alias("segments"))
-    median = quantile(spans, [by], "length", 0.5, "median_segment", split)
+    median = quantile(spans, [by], "length", 0.5, "median_segment")
     return size.join(n, by, "left").join(median, by, "left").withColumn(
         "segments_per_episode", F.coalesce("segments", F.lit(0)) / F.col("episodes"))
 
@@ -122,7 +122,7 @@ def coverage_profile(episodes: DataFrame, gold: DataFrame, by: str = "family", s
     rows = rows.withColumns({"coverage": iv.ratio("_covered", "duration_s"), "tail": F.col("duration_s") - F.col("_end")})
     out = rows.groupBy(by).agg(F.count("*").alias("episodes"), F.count_if("_gap").alias("with_gaps"))
     for c in ("coverage", "tail"):
-        out = out.join(quantile(rows, [by], c, 0.5, f"median_{c}", split), by, "left")
+        out = out.join(quantile(rows, [by], c, 0.5, f"median_{c}"), by, "left")
     return out
 
 

@@ -384,23 +384,36 @@ def episode_counts(pred: DataFrame, gold: DataFrame, rows: DataFrame | None = No
 # ---- corpus reports -------------------------------------------------------------------------------
 
 def quantile(df: DataFrame, by: Sequence[str], value: str, p: float = 0.5, name: str = "quantile",
-             split: bool | None = None) -> DataFrame:
-    """Exact interpolated quantile per group. Equal values are counted first, so what a group brings
-    together is its distinct values; if even those are many (``split``), they are ranked by an ordered
-    scan over range partitions instead of being held in one place."""
+             small: bool = False) -> DataFrame:
+    """Exact interpolated quantile per group.
+
+    Equal values are counted first. With ``small`` (groups known to be small) the built-in percentile
+    reads those counts. Otherwise the values are spread over at most some 200,000 logarithmic buckets
+    per sign; running totals over the buckets tell which one or two hold the wanted ranks, and only
+    their values are ranked, so no task ever gathers a group's values however large the corpus.
+    """
     by = list(by)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    if not decide(split, (counted, by)):
+    if small:
         return counted.groupBy(*by).agg(F.percentile(value, p, F.col("_n")).alias(name))
-    o = ordered(counted, by, [value], True).running({"_before": ("sum", "_n")}).total({"_all": ("sum", "_n")})
-    pos = (F.col("_all") - 1) * F.lit(p)
+    v = F.col(value)
+    counted = counted.withColumn("_bucket", F.floor(F.signum(v) * F.floor(F.log1p(F.abs(v)) * 10_000)))
+    totals = counted.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_in"))
+    w = Window.partitionBy(*by)
+    running = w.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    totals = totals.withColumns({"_before": F.sum("_in").over(running) - F.col("_in"), "_total": F.sum("_in").over(w)})
+    pos = (F.col("_total") - 1) * F.lit(p)
     low, high = F.floor(pos), F.ceil(pos)
 
-    def holds(rank: Column) -> Column:
-        return (rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_n"))
+    def holds(rank: Column, size: str) -> Column:
+        return (rank >= F.col("_before")) & (rank < F.col("_before") + F.col(size))
 
-    ends = o.df.filter(holds(low) | holds(high)).groupBy(*by).agg(
-        F.max(F.when(holds(low), F.col(value))).alias("_lo"), F.max(F.when(holds(high), F.col(value))).alias("_hi"),
+    wanted = totals.filter(holds(low, "_in") | holds(high, "_in")).select(*by, "_bucket", F.col("_before").alias("_base"), "_total")
+    near = counted.join(wanted, [*by, "_bucket"])
+    inside = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("_before", F.col("_base") + F.sum("_n").over(inside) - F.col("_n"))
+    ends = near.groupBy(*by).agg(
+        F.max(F.when(holds(low, "_n"), v)).alias("_lo"), F.max(F.when(holds(high, "_n"), v)).alias("_hi"),
         F.first(pos - low).alias("_w"))
     return ends.select(*by, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(
         (1 - F.col("_w")) * F.col("_lo") + F.col("_w") * F.col("_hi")).alias(name))
@@ -426,8 +439,7 @@ def scopes(df: DataFrame, by: str | None) -> DataFrame:
     return df.withColumn("scope", F.explode(F.array(F.lit("overall"), F.col(by).cast("string"))))
 
 
-def report(counts: DataFrame, by: str | None = None, errors: DataFrame | None = None,
-           split: bool | None = None) -> DataFrame:
+def report(counts: DataFrame, by: str | None = None, errors: DataFrame | None = None) -> DataFrame:
     """Pooled corpus report per run: 'overall' plus one row per value of ``by``.
 
     Counts are pooled, not averaged per episode. ``errors`` (rows of ``boundary_errors`` with the ``by``
@@ -439,7 +451,7 @@ def report(counts: DataFrame, by: str | None = None, errors: DataFrame | None =
     out = summed.select("run", "scope", "episodes", *pooled_columns())
     if errors is not None:
         gold_side = scopes(errors.filter(F.col("side") == "gold"), by)
-        median = quantile(gold_side, ["run", "scope"], "err", 0.5, "median_boundary_error", split)
+        median = quantile(gold_side, ["run", "scope"], "err", 0.5, "median_boundary_error")
         out = out.join(median, ["run", "scope"], "left")
     return out
 
@@ -480,7 +492,7 @@ def boundary_score(pred: DataFrame, gold: DataFrame, keys: Sequence[str] = RUN_K
             for side, name in ((of_gold, "recall"), (~of_gold, "precision")) for t in TOLERANCES}
     sums = errors.groupBy(*keys).agg(F.count_if(of_gold).alias("n_gold"), F.count_if(~of_gold).alias("n_pred"),
                                      *(c.alias(n) for n, c in hits.items()))
-    median = quantile(errors.filter(of_gold), keys, "err", 0.5, "median_error", split)
+    median = quantile(errors.filter(of_gold), keys, "err", 0.5, "median_error", small=not split)
     out = sums.join(median, keys, "left")
     if rows is not None:
         out = rows.select(*keys).join(out, keys, "left").na.fill(0, ["n_gold", "n_pred", *hits])
@@ -498,4 +510,4 @@ def evaluate(pred: DataFrame, gold: DataFrame, rows: DataFrame, by: str | None =
     split = decide(split, (pred, RUN_KEYS), (gold, RUN_KEYS))
     counts, errors = _counts_and_errors(pred, gold, RUN_KEYS, split)
     counts = rows.join(counts, list(RUN_KEYS), "left").na.fill(0, COUNT_COLUMNS)
-    return report(counts, by, errors.join(rows, list(RUN_KEYS)), split)
+    return report(counts, by, errors.join(rows, list(RUN_KEYS)))

@@ -133,15 +133,15 @@ def replicated(first: DataFrame, second: DataFrame) -> DataFrame:
     return both.select("metric", "delta_1", "delta_2", (F.col("_s1") & F.col("_s2") & same).alias("replicated"))
 
 
-def paired_report(counts: DataFrame, a: str, b: str, by: str | None = "family", errors: DataFrame | None = None,
-                  split: bool | None = None) -> DataFrame:
+def paired_report(counts: DataFrame, a: str, b: str, by: str | None = "family",
+                  errors: DataFrame | None = None) -> DataFrame:
     """Long comparison on the common episodes: (scope, metric, a, b, delta)."""
     common = counts.filter(F.col("run") == a).select("episode_id").join(
         counts.filter(F.col("run") == b).select("episode_id"), "episode_id", "left_semi")
     both = counts.filter(F.col("run").isin(a, b)).join(common, "episode_id", "left_semi")
     if errors is not None:
         errors = errors.filter(F.col("run").isin(a, b)).join(common, "episode_id", "left_semi")
-    wide = report(both, by, errors, split)
+    wide = report(both, by, errors)
     metrics = [c for c in wide.columns if c not in ("run", "scope")]
     long = wide.select("run", "scope", *(F.col(m).cast("double").alias(m) for m in metrics)).unpivot(
         ["run", "scope"], metrics, "metric", "value")
@@ -150,7 +150,7 @@ def paired_report(counts: DataFrame, a: str, b: str, by: str | None = "family",
     return out.withColumn("delta", F.col("b") - F.col("a"))
 
 
-def delta_summary(counts: DataFrame, a: str, b: str, split: bool | None = None) -> DataFrame:
+def delta_summary(counts: DataFrame, a: str, b: str) -> DataFrame:
     """Per-episode F1 changes above 1e-9: how many, and median, mean and largest size."""
     pairs = paired(counts, a, b, ["m_0_5", "n_pred", "n_gold"])
     d = pairs.select(F.lit(0).alias("_all"), (iv.f1("b_m_0_5", "b_n_pred", "b_n_gold")
@@ -158,5 +158,5 @@ def delta_summary(counts: DataFrame, a: str, b: str, split: bool | None = None)
     d = d.withColumn("size", F.when(F.abs("d") > 1e-9, F.abs("d")))
     sums = d.groupBy("_all").agg(F.count("*").alias("n"), F.count("size").alias("changed"),
                                  F.avg("size").alias("mean_abs"), F.max("size").alias("max_abs"))
-    return sums.join(quantile(d, ["_all"], "size", 0.5, "median_abs", split), "_all", "left").select(
+    return sums.join(quantile(d, ["_all"], "size", 0.5, "median_abs"), "_all", "left").select(
         "n", "changed", "median_abs", "mean_abs", "max_abs")

@@ -61,8 +61,7 @@ class Tables:
     labels: DataFrame | None = None
 
 
-def annotate(tables: Tables, quality: str | Config = "balanced", split: bool | None = None
-             ) -> tuple[DataFrame, DataFrame]:
+def annotate(tables: Tables, quality: str | Config = "balanced", split: bool | None = None) -> cl.Cleaned:
     """(segments, warnings). Stages the preset leaves out are left out of the plan."""
     cfg = PRESETS[quality] if isinstance(quality, str) else quality
     t = tables
@@ -77,15 +76,17 @@ def annotate(tables: Tables, quality: str | Config = "balanced", split: bool | N
     segments, notes = cl.to_segments(spans), []
     if cfg.repeat_pass and t.second is not None:
         segments, unstable = cl.flag_unstable(segments, coarse(t.second), keys, split)
-        notes.append(unstable.select(*keys, F.lit(3).alias("stage"), "warning"))
-    segments, first = cl.clean(segments, t.episodes, t.requests, split=split)
-    notes.append(first.select(*keys, F.lit(1).alias("stage"), "warning"))
+        notes.append(lambda: unstable.select(*keys, F.lit(3).alias("stage"), "warning"))
+    first = cl.clean(segments, t.episodes, t.requests, split=split)
+    segments = first.segments
+    notes.append(lambda: first.warnings.select(*keys, F.lit(1).alias("stage"), "warning"))
     if cfg.refine and t.choices is not None:
         segments, moved = pr.apply_refinement(segments, t.choices, t.episodes, keys, cfg.refine_half_window,
                                               mode=cfg.refine_input, split=split)
-        notes.append(moved.select(*keys, F.lit(4).alias("stage"), "warning"))
+        notes.append(lambda: moved.select(*keys, F.lit(4).alias("stage"), "warning"))
     if cfg.label and t.labels is not None:
         segments = pr.apply_labels(segments, t.labels, t.requests)
-        segments, more = cl.clean(segments, t.episodes, t.requests, split=split)
-        notes.append(more.select(*keys, F.lit(2).alias("stage"), "warning"))
-    return segments, reduce(DataFrame.unionByName, notes)
+        more = cl.clean(segments, t.episodes, t.requests, split=split)
+        segments = more.segments
+        notes.append(lambda: more.warnings.select(*keys, F.lit(2).alias("stage"), "warning"))
+    return cl.Cleaned(segments, lambda: reduce(DataFrame.unionByName, (note() for note in notes)))

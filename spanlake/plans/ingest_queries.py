@@ -182,28 +182,27 @@ def skill_steps(t: Tables):
 def session_raw(t: Tables):
     """Every line is a coarse action with two ragged fine actions inside and around it."""
     p, q = F.col("l_partkey"), F.col("qty")
-    start = F.col("pos") * 30 + p % 7
-
-    def event(label, s, e, attributes):
-        return F.struct(F.lit(label).alias("label"), (s / 10.0).alias("start"), (e / 10.0).alias("end"), attributes.alias("attributes"))
+    s10 = (F.col("pos") * 30 + p % 7) * 10
+    sentence = F.concat(F.lit("do "), (p % 9).cast("string"))
+    verb = F.when(p % 13 == 0, "none").otherwise(F.concat(F.lit("turn "), (p % 4).cast("string")))
+    noun = F.when(p % 13 == 0, "").otherwise(F.lit(" big  knob"))
 
-    def attrs(**kw):
-        return F.create_map(*[x for k, v in kw.items() for x in (F.lit(k), v)])
+    def event(k, s, e):
+        return F.struct("pos", F.lit(k).alias("k"), (s / 10.0).alias("s"), (e / 10.0).alias("e"),
+                        sentence.alias("a"), verb.alias("v"), noun.alias("n"))
 
-    s10 = start * 10
-    sentence = F.concat(F.lit("do "), (p % 9).cast("string"))
-    fine = attrs(Verb=F.when(p % 13 == 0, "none").otherwise(F.concat(F.lit("turn "), (p % 4).cast("string"))),
-                 Adjective=F.lit(" None "), Noun=F.when(p % 13 == 0, "").otherwise(F.lit(" big  knob")))
-    coarse = event(ing.COARSE, s10, s10 + q * 10, attrs(**{"Action sentence": sentence}))
-    one = event(ing.FINE, s10 - 5, s10 + q * 5, fine)
-    two = event(ing.FINE, s10 + q * 4, s10 + q * 9 + (p % 3) * 20, fine)
-    events = F.array(F.struct("pos", F.lit(0).alias("k"), coarse.alias("e")), F.struct("pos", F.lit(1).alias("k"), one.alias("e")),
-                     F.struct("pos", F.lit(2).alias("k"), two.alias("e")))
+    events = F.array(event(0, s10, s10 + q * 10), event(1, s10 - 5, s10 + q * 5), event(2, s10 + q * 4, s10 + q * 9 + (p % 3) * 20))
     rows = lines(t).select("l_orderkey", F.explode(events).alias("x"))
-    raw = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("x.pos", "x.k", F.to_json("x.e").alias("j")))).alias("_a"))
-    shape = "array<struct<label:string,start:double,end:double,attributes:map<string,string>>>"
+    raw = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("x")).alias("_a"))
+
+    def shape(x):
+        coarse = x["k"] == 0
+        fine = F.create_map(F.lit("Verb"), x["v"], F.lit("Adjective"), F.lit(" None "), F.lit("Noun"), x["n"])
+        return F.struct(F.when(coarse, ing.COARSE).otherwise(ing.FINE).alias("label"), x["s"].alias("start"), x["e"].alias("end"),
+                        F.when(coarse, F.create_map(F.lit("Action sentence"), x["a"])).otherwise(fine).alias("attributes"))
+
     return raw.select(F.concat(F.lit("s"), F.col("l_orderkey").cast("string")).alias("video_name"), F.lit("assembly").alias("taskType"),
-                      F.transform("_a", lambda a: F.from_json(a["j"], shape[6:-1])).alias("events"))
+                      F.transform("_a", shape).alias("events"))
 
 
 FIXED = "CASE WHEN l_partkey % 13 = 0 THEN '' ELSE 'turn ' || (l_partkey % 4) || ' big knob' END"

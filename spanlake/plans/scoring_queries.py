@@ -448,7 +448,7 @@ SELECT count(*) AS n, count(size) AS changed,
 FROM (SELECT CASE WHEN abs(d) > 1e-9 THEN abs(d) END AS size FROM (
   SELECT {f1_sql('b_m_0_5', 'b_n_pred', 'b_n_gold')} - {f1_sql('a_m_0_5', 'a_n_pred', 'a_n_gold')} AS d FROM paired))""")
 def delta_summary(t: Tables):
-    return st.delta_summary(episode_counts(t), "a", "b", t.split).withColumn("mean_abs", F.round("mean_abs", 9))
+    return st.delta_summary(episode_counts(t), "a", "b").withColumn("mean_abs", F.round("mean_abs", 9))
 
 
 # ---- reports --------------------------------------------------------------------------------------
@@ -549,7 +549,7 @@ FROM (SELECT family, end_s - start_s AS length FROM gold JOIN episodes USING (ep
 JOIN (SELECT family, count(*) AS episodes, round(sum(duration_s) / 60, 6) AS minutes FROM episodes GROUP BY family) e USING (family)
 GROUP BY family""")
 def dataset_profile(t: Tables):
-    return rp.dataset_profile(t.episodes, t.gold, split=t.split).withColumn("minutes", F.round("minutes", 6))
+    return rp.dataset_profile(t.episodes, t.gold).withColumn("minutes", F.round("minutes", 6))
 
 
 @query("coverage_profile", f"""

@@ -110,10 +110,10 @@ def test_taxonomy(spans):
         assert got == ["merged", "ok", "ok", "shifted", "missing"]
 
 
-def test_quantile_split(spark):
+def test_quantile_paths(spark):
     df = spark.createDataFrame([("a", float(x % 17)) for x in range(100)] + [("b", 1.0), ("b", 2.0)], "k string, x double")
-    want = sorted(scoring.quantile(df, ["k"], "x", 0.5, "q", False).collect())
-    assert want == sorted(scoring.quantile(df, ["k"], "x", 0.5, "q", True).collect()) and want[1].q == 1.5
+    want = sorted(scoring.quantile(df, ["k"], "x", 0.5, "q", True).collect())
+    assert want == sorted(scoring.quantile(df, ["k"], "x", 0.5, "q").collect()) and want[1].q == 1.5
 
 
 def test_bootstrap_ranks_and_guard(spark):
