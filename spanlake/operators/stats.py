@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.functions import intervals as iv
-from spanlake.operators.layout import ordered
+from spanlake.operators.layout import durable, ordered
 from spanlake.operators.scoring import COUNT_COLUMNS, quantile, report, tag
 from spanlake.schema import ALPHA, BOOTSTRAP, SEED, TOLERANCES
 
@@ -27,10 +27,11 @@ def paired_ids(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def paired(counts: DataFrame, a: str, b: str, columns: Sequence[str] = SUMS) -> DataFrame:
-    """One row per episode both runs were scored on: a_<column>, b_<column>."""
-    def side(run: str, p: str) -> DataFrame:
-        return counts.filter(F.col("run") == run).select("episode_id", *(F.col(c).alias(f"{p}_{c}") for c in columns))
-    return side(a, "a").join(side(b, "b"), "episode_id")
+    """One row per episode both runs were scored on: a_<column>, b_<column>. One pass over the counts;
+    an episode contributes at most one row per run."""
+    sides = [F.max(F.when(F.col("run") == run, F.col(c))).alias(f"{p}_{c}") for p, run in (("a", a), ("b", b)) for c in columns]
+    both = counts.filter(F.col("run").isin(a, b)).groupBy("episode_id").agg(F.count("*").alias("_n"), *sides)
+    return both.filter(F.col("_n") == 2).drop("_n")
 
 
 def _metrics(p: str) -> dict[str, Column]:
@@ -60,6 +61,10 @@ def _poisson(b: Column, key: Column, seed: int) -> Column:
     return reduce(lambda x, y: x + y, steps)
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def resample(pairs: DataFrame, n_boot: int = BOOTSTRAP, seed: int = SEED, method: str = "index",
              n: int | None = None, split: bool | None = None) -> DataFrame:
     """Summed counts of every resample, one row per ``b``; both runs share the drawn episodes.
@@ -72,7 +77,7 @@ def resample(pairs: DataFrame, n_boot: int = BOOTSTRAP, seed: int = SEED, method
     columns = [c for c in pairs.columns if c != "episode_id"]
     boots = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))
     if method == "poisson":
-        rows = pairs.withColumn("b", boots).withColumn("_w", _poisson(F.col("b"), F.col("episode_id"), seed))
+        rows = _spread(pairs).withColumn("b", boots).withColumn("_w", _poisson(F.col("b"), F.col("episode_id"), seed))
         return rows.filter("_w > 0").groupBy("b").agg(*(F.sum(F.col(c) * F.col("_w")).alias(c) for c in columns))
     if method != "index":
         raise ValueError(f"unknown resampling method {method!r}")
@@ -80,7 +85,8 @@ def resample(pairs: DataFrame, n_boot: int = BOOTSTRAP, seed: int = SEED, method
         n = pairs.count()
     numbered = ordered(pairs.withColumn("_all", F.lit(0)), ["_all"], ["episode_id"],
                        n > BROADCAST_ROWS if split is None else split).number("_j").df.drop("_all")
-    draws = numbered.select("_j").withColumn("b", boots).select(
+    # A few rows per task become thousands each: spread them before they multiply.
+    draws = _spread(numbered.select("_j")).withColumn("b", boots).select(
         "b", draw(F.col("b"), F.col("_j"), F.lit(n).cast("long"), seed).alias("_j"))
     # Repeats of an episode inside a resample are counted before they meet the wide rows.
     drawn = numbered.drop("episode_id")
@@ -115,7 +121,8 @@ def paired_bootstrap(counts: DataFrame, a: str, b: str, n_boot: int = BOOTSTRAP,
                      alpha: float = ALPHA, method: str = "index", split: bool | None = None) -> DataFrame:
     """Pooled metrics of two runs on their common episodes with bootstrap intervals of the difference:
     (metric, a, b, delta, ci_low, ci_high, p_positive, significant)."""
-    pairs = paired(counts, a, b)
+    # One small row per episode, read several times below: computed once.
+    pairs = durable(paired(counts, a, b))
     sums = resample(pairs, n_boot, seed, method, split=split)
     intervals = significance(ci(deltas(sums), ["metric"], "delta", n_boot, alpha))
     pooled = pairs.agg(*(F.sum(c).alias(c) for c in pairs.columns if c != "episode_id"))
@@ -136,11 +143,11 @@ def replicated(first: DataFrame, second: DataFrame) -> DataFrame:
 def paired_report(counts: DataFrame, a: str, b: str, by: str | None = "family",
                   errors: DataFrame | None = None) -> DataFrame:
     """Long comparison on the common episodes: (scope, metric, a, b, delta)."""
-    common = counts.filter(F.col("run") == a).select("episode_id").join(
-        counts.filter(F.col("run") == b).select("episode_id"), "episode_id", "left_semi")
-    both = counts.filter(F.col("run").isin(a, b)).join(common, "episode_id", "left_semi")
+    # At most two rows share an episode here.
+    both = counts.filter(F.col("run").isin(a, b)).withColumn("_n", F.count("*").over(Window.partitionBy("episode_id")))
+    both = both.filter(F.col("_n") == 2).drop("_n")
     if errors is not None:
-        errors = errors.filter(F.col("run").isin(a, b)).join(common, "episode_id", "left_semi")
+        errors = errors.join(both.select("run", "episode_id"), ["run", "episode_id"], "left_semi")
     wide = report(both, by, errors)
     metrics = [c for c in wide.columns if c not in ("run", "scope")]
     long = wide.select("run", "scope", *(F.col(m).cast("double").alias(m) for m in metrics)).unpivot(

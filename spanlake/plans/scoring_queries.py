@@ -11,6 +11,7 @@ from spanlake.operators import judging as jd
 from spanlake.operators import report as rp
 from spanlake.operators import scoring as sc
 from spanlake.operators import stats as st
+from spanlake.operators.layout import durable
 from spanlake.operators.scoring import BUCKETS, COUNT_COLUMNS, tag
 from spanlake.plans.registry import block, cov_sql, f1_sql, greedy_sql, iou_sql, query, ratio_sql
 from spanlake.functions.rounding import round_true_sql
@@ -416,7 +417,7 @@ def poisson_bootstrap(t: Tables):
 @query("replicated_change", """
 SELECT metric, delta AS delta_1, delta AS delta_2, significant AS replicated FROM bootstrap""")
 def replicated_change(t: Tables):
-    first = paired_bootstrap(t)
+    first = durable(paired_bootstrap(t))
     return st.replicated(first, first)
 
 
