@@ -11,7 +11,7 @@ from spanlake.functions import text
 from spanlake.functions.intervals import col
 from spanlake.functions.phrases import skill_phrase
 from spanlake.functions.rounding import round_true
-from spanlake.operators.layout import decide, fold_groups, ordered
+from spanlake.operators.layout import SPLIT_ROWS, decide, fold_groups, ordered
 from spanlake.operators.scoring import point_join
 
 COARSE, FINE = "Coarse grained action", "Fine grained action"
@@ -285,7 +285,7 @@ def natural_order(c) -> list[Column]:
 def quota(groups: DataFrame, limit: int, order: str) -> DataFrame:
     """Split ``limit`` over the groups: the first limit % n get one more. Adds ``k``."""
     n = groups.count()
-    o = ordered(groups.withColumn("_all", F.lit(0)), ["_all"], [order], False).number("_i")
+    o = ordered(groups.withColumn("_all", F.lit(0)), ["_all"], [order], n > SPLIT_ROWS).number("_i")
     k = F.lit(limit // n) + (F.col("_i") < limit % n).cast("int")
     return o.df.withColumn("k", k).drop("_all", "_i")
 

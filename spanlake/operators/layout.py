@@ -115,18 +115,18 @@ class Ordered:
         in their chunk."""
         w = self._window()
         rows = self.rows.withColumns({
-            "_first": F.lag(F.lit(1)).over(w).isNull(),
-            "_last": F.lead(F.lit(1)).over(w).isNull()})
-        rows = rows.withColumn("_lane", F.when(F.col("_first") | F.col("_last"), -1)
+            "_at_first": F.lag(F.lit(1)).over(w).isNull(),
+            "_at_last": F.lead(F.lit(1)).over(w).isNull()})
+        rows = rows.withColumn("_at_lane", F.when(F.col("_at_first") | F.col("_at_last"), -1)
                                .otherwise(F.col(_CHUNK)))
-        return rows, Window.partitionBy(*self.keys, "_lane")
+        return rows, Window.partitionBy(*self.keys, "_at_lane")
 
     # -- scans -----------------------------------------------------------------------------------
 
     def shift(self, prev: dict | None = None, next: dict | None = None) -> "Ordered":
         """Values of the neighbouring row: ``prev={"new": column}``, ``next={"new": column}``."""
-        wanted = [(name, col(c), F.lag, "_first") for name, c in (prev or {}).items()]
-        wanted += [(name, col(c), F.lead, "_last") for name, c in (next or {}).items()]
+        wanted = [(name, col(c), F.lag, "_at_first") for name, c in (prev or {}).items()]
+        wanted += [(name, col(c), F.lead, "_at_last") for name, c in (next or {}).items()]
         if not self.split:
             w = self._window()
             return self._with(self.rows.withColumns({n: f(c).over(w) for n, c, f, _ in wanted}))
@@ -136,7 +136,7 @@ class Ordered:
         rows = rows.withColumns({f"_over_{n}": f(c).over(across) for n, c, f, _ in wanted})
         rows = rows.withColumns({n: F.when(F.col(edge), F.col(f"_over_{n}")).otherwise(F.col(f"_here_{n}"))
                                  for n, _, _, edge in wanted})
-        return self._with(rows.drop("_first", "_last", "_lane",
+        return self._with(rows.drop("_at_first", "_at_last", "_at_lane",
                                     *(f"{p}{n}" for n, *_ in wanted for p in ("_here_", "_over_"))))
 
     def running(self, scans: dict[str, tuple[str, object]], inclusive: bool = False,
@@ -153,7 +153,7 @@ class Ordered:
                 out[name] = F.coalesce(value, F.lit(0)) if kind == "sum" else value
             return self._with(self.rows.withColumns(out))
         rows, lane = self._edges()
-        enter, leave = ("_last", "_first") if backwards else ("_first", "_last")
+        enter, leave = ("_at_last", "_at_first") if backwards else ("_at_first", "_at_last")
         across = lane.orderBy(F.col(_SEQ).desc() if backwards else F.col(_SEQ))
         whole = w.rowsBetween(Window.unboundedPreceding, 0)
         inside = Window.partitionBy(*self.keys, _CHUNK)
@@ -166,7 +166,7 @@ class Ordered:
             f"_in_{n}": F.max(F.when(F.col(enter), F.col(f"_in_{n}"))).over(inside) for n in scans})
         rows = rows.withColumns({
             n: _combine(k, F.col(f"_in_{n}"), F.col(f"_here_{n}")) for n, (k, _) in scans.items()})
-        return self._with(rows.drop("_first", "_last", "_lane",
+        return self._with(rows.drop("_at_first", "_at_last", "_at_lane",
                                     *(f"{p}{n}" for n in scans for p in ("_here_", "_sum_", "_in_"))))
 
     def total(self, scans: dict[str, tuple[str, object]]) -> "Ordered":
@@ -178,10 +178,10 @@ class Ordered:
         rows, lane = self._edges()
         inside = Window.partitionBy(*self.keys, _CHUNK)
         rows = rows.withColumns({n: _SCANS[k](col(c)).over(inside) for n, (k, c) in scans.items()})
-        rows = rows.withColumns({n: _SCANS[k](F.when(F.col("_last"), F.col(n))).over(lane)
+        rows = rows.withColumns({n: _SCANS[k](F.when(F.col("_at_last"), F.col(n))).over(lane)
                                  for n, (k, _) in scans.items()})
-        rows = rows.withColumns({n: F.max(F.when(F.col("_last"), F.col(n))).over(inside) for n in scans})
-        return self._with(rows.drop("_first", "_last", "_lane"))
+        rows = rows.withColumns({n: F.max(F.when(F.col("_at_last"), F.col(n))).over(inside) for n in scans})
+        return self._with(rows.drop("_at_first", "_at_last", "_at_lane"))
 
     def number(self, name: str = "idx") -> "Ordered":
         """Position in the group, from 0."""
