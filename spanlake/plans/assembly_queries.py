@@ -81,9 +81,9 @@ def frame_states(t: Tables):
 
 
 def state_runs(t: Tables):
-    """Every fourth event starts a run at an uneven time."""
+    """Every event starts a run at an uneven time."""
     e = F.col("event_id")
-    return t.timed.filter(e % 4 == 0).select(
+    return t.timed.select(
         "episode_id", "idx", ((F.col("idx") * 500 + (e % 5) * 130) / 1000.0).alias("t"),
         F.when(e % 3 == 0, "none").otherwise(F.col("event_type")).alias("subtask"))
 
@@ -392,7 +392,7 @@ state_segments AS (
   FROM (SELECT *, greatest(s, lag({round_true_sql('e', 2)}) OVER (PARTITION BY episode_id ORDER BY idx)) AS s2 FROM state_spans)),
 state_runs AS (
   SELECT episode_id, idx, (idx * 500 + (event_id % 5) * 130) / 1000.0::DOUBLE AS t, CASE WHEN event_id % 3 = 0 THEN 'none' ELSE event_type END AS subtask
-  FROM timed WHERE event_id % 4 = 0),
+  FROM timed),
 expanded AS (
   SELECT g.episode_id, g.frame_idx, g.t, coalesce((SELECT arg_max(r.subtask, {{'t': r.t, 'i': r.idx}}) FROM state_runs r
     WHERE r.episode_id = g.episode_id AND r.t <= g.t + 0.5 * 0.49), 'none') AS subtask FROM grid g)""")

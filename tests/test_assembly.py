@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanlake.functions import text
 from spanlake.operators import clean, frames, proposals
-from spanlake.operators.layout import fold_groups
+from spanlake.operators.layout import fold_groups, needs_split, ordered
 from spanlake.plans import annotate as an
 from spanlake.schema import NO_EVENT_LABEL
 
@@ -199,3 +199,16 @@ def test_request_text(spark):
     body = proposals.render_requests(df).first().request
     assert "50.00s to 109.50s" in body and "'Pick Box'" in body and "No task description was supplied" in body
     assert "MUST" in body and "- Fold Left" in body and "{" not in body
+
+
+def test_hot_groups_are_counted_and_split(spark):
+    rows = [("hot", i, float(i), i + 0.8, "a" if i % 3 else "b") for i in range(300)] + [("cold", 0, 0.0, 1.0, "a")]
+    df = spark.createDataFrame(rows, SEG)
+    assert needs_split(df, ["episode_id"], 100) and not needs_split(df, ["episode_id"], 300)
+    wide = ordered(df, ["episode_id"], ["idx"], True)
+    assert wide.rows.filter("episode_id = 'hot'").select("_chunk").distinct().count() > 1
+    # Column names of the caller may look like anything.
+    out = wide.with_columns({"_last": F.when(F.col("idx") % 50 == 0, F.col("label"))}).running({"seen": ("last", "_last")}).df
+    plain_out = ordered(df, ["episode_id"], ["idx"], False).with_columns(
+        {"_last": F.when(F.col("idx") % 50 == 0, F.col("label"))}).running({"seen": ("last", "_last")}).df
+    assert sorted(out.select(plain_out.columns).collect(), key=str) == sorted(plain_out.collect(), key=str)
