@@ -22,14 +22,14 @@ def write(path, value):
 
 def test_benchmark_and_sidecars(spark, tmp_path):
     item = {"start_sec": 1.0, "end_sec": 2.0, "subtask": "b"}
-    df = spark.createDataFrame([("droid_1", "do", bytearray(b"x"), [(3.0, 4.0, "a"), (1.0, 2.0, "b")], '{"k": "v"}', ("galaxea",)),
-                                ("homer_2", "do", bytearray(b"x"), [(0.0, 1.0, "c")], None, None)],
+    df = spark.createDataFrame([("famx_1", "do", bytearray(b"x"), [(3.0, 4.0, "a"), (1.0, 2.0, "b")], '{"k": "v"}', ("giant",)),
+                                ("homy_2", "do", bytearray(b"x"), [(0.0, 1.0, "c")], None, None)],
                                "id string, instruction string, video binary, segments array<struct<start_sec:double,end_sec:double,subtask:string>>, "
                                "metadata string, perception_state struct<robot_family:string>")
     df.write.parquet(str(tmp_path / "b"))
     episodes, gold = readers.read_benchmark(spark, str(tmp_path / "b"))
-    assert {r.episode_id: (r.family, r.meta) for r in episodes.collect()} == {"droid_1": ("galaxea", {"k": "v"}), "homer_2": ("homer", {})}
-    assert [r.label for r in gold.filter("episode_id = 'droid_1'").orderBy("idx").collect()] == ["a", "b"]
+    assert {r.episode_id: (r.family, r.meta) for r in episodes.collect()} == {"famx_1": ("giant", {"k": "v"}), "homy_2": ("homy", {})}
+    assert [r.label for r in gold.filter("episode_id = 'famx_1'").orderBy("idx").collect()] == ["a", "b"]
     assert "video" not in re.search(r"ReadSchema: (.*)", gold._jdf.queryExecution().executedPlan().toString())[1]
     side = tmp_path / "side"
     write(side / "a.json", {"id": "x_1", "segments": [{"start_sec": 3, "end_sec": 4, "subtask": "late"}, item], "family": ""})
