@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from spanlake.llm import quality, simhash, substring, url_filter
+from spanlake.llm import decontaminate, quality, simhash, substring, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +46,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_substring_dedup", substring.SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op10_decontamination", decontaminate.SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
