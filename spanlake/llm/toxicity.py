@@ -28,13 +28,13 @@ FOLDS = 5
 #: Bounds of the training sample and of the model.
 TRAIN_ROWS = 40_000
 MAX_TOKENS = 100_000
-#: Weight of the prior in tokens, least |z| of a scoring token, largest |score|, score of all other tokens.
+#: Weight of the prior in tokens, least z of a scoring token, largest |score|, score of all other tokens.
 PRIOR = 1_000.0
-LEAST_Z = 3.0
-LARGEST = 6.0
+LEAST_Z = 4.0
+LARGEST = 8.0
 DRIFT = -0.5
 #: Letters of the stems that stand in for tokens not seen in training; a stem is scored like a token.
-STEM = 5
+STEM = 4
 _EDGES = ".,;:!?\"'()[]{}<>-*#"
 
 
@@ -106,17 +106,22 @@ def _texts(batch: pa.RecordBatch, col: str) -> Iterator[tuple[int, Words]]:
 
 
 def count_tokens(labelled: DataFrame) -> DataFrame:
-    """token, n0, n1: occurrences in texts labelled 0 and 1, of tokens and of stems."""
+    """token, n0, n1: texts labelled 0 and 1 that have a token, or a stem. Counting texts, not occurrences, keeps a
+    single text that repeats a token from making it look telling."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column("toxic").fill_null(0).to_numpy(zero_copy_only=False) == 1
             for lo, words in _texts(batch, "text"):
-                label = toxic[lo + words.doc]
-                n1 = np.bincount(words.codes[label], minlength=len(words.forms))
-                n0 = np.bincount(words.codes[~label], minlength=len(words.forms))
                 tokens = normal(words.forms.to_pylist())
-                both = tokens + [stem(t) for t in tokens]
-                yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), pa.array(np.tile(n0, 2)), pa.array(np.tile(n1, 2))], ["token", "n0", "n1"])
+                for kind in (tokens, [stem(t) for t in tokens]):
+                    coded = pa.array(kind, pa.string()).dictionary_encode()
+                    forms = coded.dictionary
+                    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[words.codes] if len(words.codes) else words.codes
+                    pair = np.unique(words.doc * np.int64(max(1, len(forms))) + code)
+                    label = toxic[lo + pair // max(1, len(forms))]
+                    n1 = np.bincount(pair[label] % max(1, len(forms)), minlength=len(forms))
+                    n0 = np.bincount(pair[~label] % max(1, len(forms)), minlength=len(forms))
+                    yield pa.RecordBatch.from_arrays([forms, pa.array(n0), pa.array(n1)], ["token", "n0", "n1"])
     found = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "token string, n0 long, n1 long")
     return found.groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
@@ -132,9 +137,11 @@ def token_scores(counts: DataFrame) -> tuple[dict[str, float], frozenset[str], f
     prior = (F.col("n0") + F.col("n1")) * (PRIOR / (t0 + t1))
     y0, y1 = F.col("n0") + prior, F.col("n1") + prior
     odds = F.log(y1 / (t1 + PRIOR - y1)) - F.log(y0 / (t0 + PRIOR - y0))
-    scored = counts.select("token", "n0", odds.alias("odds"), (odds / F.sqrt(1 / y0 + 1 / y1)).alias("z")).where(
-        (F.abs("z") >= LEAST_Z) & ~F.isnan("odds"))
-    rows = scored.orderBy(F.abs("z").desc(), "token").limit(MAX_TOKENS).collect()
+    # Significance by the root of the likelihood ratio, which also holds for counts of zero.
+    part = lambda n, share: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / ((F.col("n0") + F.col("n1")) * share))).otherwise(0.0)
+    ratio = part("n0", t0 / (t0 + t1)) + part("n1", t1 / (t0 + t1))
+    scored = counts.select("token", "n0", odds.alias("odds"), F.sqrt(2 * F.greatest(ratio, F.lit(0.0))).alias("z")).where(F.col("z") >= LEAST_Z)
+    rows = scored.orderBy(F.desc("z"), "token").limit(MAX_TOKENS).collect()
     scores = {r["token"]: float(np.clip(r["odds"] + DRIFT, -LARGEST, LARGEST)) for r in rows}
     # Tokens that are frequent but score nothing must not fall back to their stem.
     known = frozenset(r[0] for r in counts.where((F.col("n0") + F.col("n1") >= 8) & ~F.col("token").startswith("\0"))
