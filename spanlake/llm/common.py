@@ -8,18 +8,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task holds in decoded form at once.
 CHUNK_BYTES = 4_000_000
-SPACE = r"[\x20\x09-\x0D]"
 
 _FOLDERS: list[str] = []
 
@@ -51,6 +50,16 @@ def clear(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def others(docs: DataFrame, col: str = "text") -> Column:
+    """All columns but one as a struct, so that no name can clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != col])
+
+
+def restored(df: DataFrame, docs: DataFrame, col: str = "text") -> DataFrame:
+    """The columns of docs, in their order, from the struct rest and the column col."""
+    return df.select(*[F.col(col) if c == col else F.col("rest").getField(c).alias(c) for c in docs.columns])
+
+
 def text_bytes(docs: DataFrame, col: str = "text") -> int:
     """UTF-8 bytes of a text column, for sizing blocks and buckets."""
     return docs.agg(F.sum(F.octet_length(col))).first()[0] or 0
@@ -109,6 +118,19 @@ def ascii_words(texts: pa.Array) -> pa.Array:
     return pc.ascii_split_whitespace(pc.if_else(pc.equal(trimmed, ""), None, trimmed))
 
 
-def spread(rows: Iterable[np.ndarray], dtype) -> np.ndarray:
-    rows = list(rows)
-    return np.concatenate(rows) if rows else np.zeros(0, dtype)
+_FOLD = np.full(256, 32, np.uint8)
+_FOLD[ord("0"):ord("9") + 1] = np.arange(ord("0"), ord("9") + 1)
+_FOLD[ord("a"):ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
+_FOLD[ord("A"):ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
+_FOLD[128:] = np.arange(128, 256)
+
+
+def folded_words(texts: pa.Array) -> pa.Array:
+    """Runs of ASCII letters, digits and any character beyond ASCII, with A-Z in lower case."""
+    if texts.nbytes == 0 or not len(texts):
+        return pa.array([None] * len(texts), pa.list_(pa.string()))
+    valid, offsets, data = texts.buffers()
+    folded = pa.py_buffer(_FOLD[np.frombuffer(data, np.uint8)]) if data is not None and data.size else data
+    texts = pa.Array.from_buffers(texts.type, len(texts), [valid, offsets, folded], offset=texts.offset)
+    trimmed = pc.ascii_trim_whitespace(texts)
+    return pc.ascii_split_whitespace(pc.if_else(pc.equal(trimmed, ""), None, trimmed))

@@ -14,6 +14,7 @@ a larger broadcast. Null texts have no words; an item without words is in no doc
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import Words, chunks, text_bytes
+from spanlake.llm.common import Words, chunks, folded_words, others, restored, text_bytes
 
 WINDOW = 10
 #: Bytes of test items in a block.
@@ -31,24 +32,6 @@ SAMPLE = 8
 #: Bytes of text in a shard, on average.
 SHARD_BYTES = 8_000_000
 
-_FOLD = np.full(256, 32, np.uint8)
-_FOLD[ord("0"):ord("9") + 1] = np.arange(ord("0"), ord("9") + 1)
-_FOLD[ord("a"):ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
-_FOLD[ord("A"):ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
-_FOLD[128:] = np.arange(128, 256)
-
-
-def word_lists(texts: pa.Array) -> pa.Array:
-    """Runs of ASCII letters, digits and any character beyond ASCII, with A-Z in lower case."""
-    if texts.nbytes == 0 or not len(texts):
-        return pa.array([None] * len(texts), pa.list_(pa.string()))
-    valid, offsets, data = texts.buffers()
-    folded = pa.py_buffer(_FOLD[np.frombuffer(data, np.uint8)]) if data is not None and data.size else data
-    texts = pa.Array.from_buffers(texts.type, len(texts), [valid, offsets, folded], offset=texts.offset)
-    trimmed = pc.ascii_trim_whitespace(texts)
-    return pc.ascii_split_whitespace(pc.if_else(pc.equal(trimmed, ""), None, trimmed))
-
-
 class Bits:
     """A bit vector with ranks."""
 
@@ -156,7 +139,7 @@ class Patterns:
     """The distinct windows of some test items, and which items each is from."""
 
     def __init__(self, item_ids: list, texts: list[str | None], window: int = WINDOW):
-        lists = word_lists(pa.array(texts, pa.string())).to_pylist()
+        lists = folded_words(pa.array(texts, pa.string())).to_pylist()
         words = sorted({w for x in lists if x for w in x})
         code = {w: i + 2 for i, w in enumerate(words)}   # 0 ends the text, 1 separates runs
         seen: dict[tuple[int, ...], set[int]] = {}
@@ -236,7 +219,7 @@ def _search(patterns: Patterns):
         for batch in batches:
             for lo, hi in chunks(batch.column("text"), SHARD_BYTES):
                 part = batch.slice(lo, hi - lo)
-                words = Words(word_lists(part.column("text")))
+                words = Words(folded_words(part.column("text")))
                 inside, pairs = patterns.find(words)
                 found = [{"n_words": int(n), "items": [], "spans": []} for n in np.diff(words.bounds)]
                 starts = np.searchsorted(pairs[:, 0], np.arange(len(found) + 1)) if len(pairs) else None
@@ -251,11 +234,11 @@ def _search(patterns: Patterns):
     return run
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, *, keep_row: bool = False, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text, found: n_words, items (ids as strings) and spans (half-open word ranges, merged); row with keep_row."""
+def occurrences(docs: DataFrame, benchmark: DataFrame, *, keep_rest: bool = False, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, text, found: n_words, items (ids as strings) and spans (half-open word ranges, merged); with keep_rest also rest, the other columns."""
     blocks = max(1, -(-text_bytes(benchmark) // block_bytes))
     found = "struct<n_words: long, items: array<string>, spans: array<struct<start: long, end: long>>>"
-    out = docs.select(*([F.struct("*").alias("row")] if keep_row else []), F.col("doc_id"), F.col("text").cast("string").alias("text"),
+    out = docs.select(*([others(docs).alias("rest")] if keep_rest else []), F.col("doc_id"), F.col("text").cast("string").alias("text"),
                       F.lit(None).cast(found).alias("found"))
     for k in range(blocks):
         rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).select("item_id", "text").collect()
@@ -273,13 +256,10 @@ def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut the spans out of the texts: from the first letter of a span to its last."""
-    import re
-
     word = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
     for batch in batches:
-        found = batch.column("found")
-        texts = batch.column("text").to_pylist() if batch.num_rows else []
-        for i, spans in enumerate(found.field("spans").to_pylist() if batch.num_rows else []):
+        texts = batch.column("text").to_pylist()
+        for i, spans in enumerate(batch.column("spans").to_pylist()):
             if spans:
                 at = [m.span() for m in word.finditer(texts[i])]
                 end, kept = 0, []
@@ -292,11 +272,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with all occurrences cut out of their texts; a document of which no word is left goes."""
-    hits = occurrences(docs, benchmark, keep_row=True)
+    hits = occurrences(docs, benchmark, keep_rest=True)
     n_hit = F.aggregate("found.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    left = hits.where((F.size("found.spans") == 0) | (n_hit < F.col("found.n_words")))
-    cut = left.mapInArrow(_cut, left.schema)
-    return cut.select(F.col("row").withField("text", F.col("text")).alias("row")).select("row.*")
+    left = hits.where((F.size("found.spans") == 0) | (n_hit < F.col("found.n_words"))).select("rest", "text", F.col("found.spans").alias("spans"))
+    return restored(left.mapInArrow(_cut, left.schema), docs)
 
 
 #: The same in DuckDB SQL.

@@ -21,15 +21,15 @@ make each other's words repeat; a null doc_id counts as larger than all others.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import Words, ascii_words, chunks, form_hashes, mix, text_bytes
+from spanlake.llm.common import Words, ascii_words, form_hashes, mix, others, restored, text_bytes
 
 WINDOW = 13
 PERIOD = 7
@@ -44,11 +44,10 @@ _LAST = np.iinfo(np.int64).max
 _MESSAGE = "block long, bucket int, kind int, a binary, b binary, c binary"
 
 
-def blocks_of(docs: DataFrame, extra: list[str] = ()) -> DataFrame:
-    """doc_id, text and the block of each row."""
-    n = max(1, -(-text_bytes(docs) // BLOCK_BYTES))
+def blocks_of(docs: DataFrame, total: int, extra: list[Column]) -> DataFrame:
+    """doc_id, text and the block of each row, of about BLOCK_BYTES of the total."""
     return docs.select(*extra, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn(
-        "block", F.pmod(F.xxhash64("doc_id"), F.lit(n)))
+        "block", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-total // BLOCK_BYTES)))))
 
 
 def buckets(docs_bytes: int) -> int:
@@ -115,7 +114,7 @@ def _answers(messages: pa.Table, kind: int) -> dict[int, bytes]:
     return {b: a for b, k, a in zip(*(messages.column(c).to_pylist() for c in ("bucket", "kind", "a"))) if k == kind}
 
 
-def _parts(table: pa.Table, block: Block | None = None) -> Block:
+def _parts(table: pa.Table) -> Block:
     table = table.combine_chunks()
     get = lambda c: table.column(c).combine_chunks() if table.num_rows else pa.array([], table.schema.field(c).type)
     return Block(get("doc_id"), get("text"))
@@ -219,36 +218,43 @@ def _covered(block: Block, n: int, messages: pa.Table) -> np.ndarray:
     return np.cumsum(mark)[:len(block.codes)] > 0
 
 
-def cut(n: int, keep_row: bool):
-    """Per document what is left of it."""
+def cut(n: int, keep_rest: bool):
+    """Per document what is left of it; with keep_rest, texts that lose nothing stay as they are."""
     def run(table: pa.Table, messages: pa.Table) -> pa.Table:
+        rest = {"rest": table.column("rest").combine_chunks()} if keep_rest else {}
         if not table.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()),
-                             "text": pa.array([], pa.string()), **({"row": table.column("row")} if keep_row else {})})
+            empty = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "text": pa.string()}
+            return pa.table({**{c: pa.array([], kind) for c, kind in empty.items()}, **rest})
         block = _parts(table)
         gone = _covered(block, n, messages)
-        lost = np.add.reduceat(np.append(gone, False), np.minimum(block.bounds[:-1], len(gone))) * (np.diff(block.bounds) > 0)
-        forms = block.forms.take(pa.array(block.codes[~gone]))
-        kept = np.concatenate([[0], np.cumsum(np.diff(block.bounds) - lost)]).astype(np.int32)
-        texts = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(kept), forms.cast(pa.string())), " ")
+        words = np.diff(block.bounds)
+        before = np.concatenate([[0], np.cumsum(gone)])
+        lost = before[block.bounds[1:]] - before[block.bounds[:-1]]
+        forms = block.forms.take(pa.array(block.codes[~gone])).cast(pa.string())
+        kept = np.concatenate([[0], np.cumsum(words - lost)]).astype(np.int32)
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(kept), forms), " ")
+        if keep_rest:
+            texts = pc.if_else(pa.array(lost == 0), block.texts, texts)
         order = pa.array(block.order)
-        return pa.table({"doc_id": table.column("doc_id").combine_chunks().take(order), "n_words": pa.array(np.diff(block.bounds), pa.int64()), "n_removed": pa.array(lost, pa.int64()),
-                         "text": texts, **({"row": table.column("row").combine_chunks().take(order)} if keep_row else {})})
+        return pa.table({"doc_id": table.column("doc_id").combine_chunks().take(order), "n_words": pa.array(words, pa.int64()),
+                         "n_removed": pa.array(lost, pa.int64()), "text": texts, **{c: x.take(order) for c, x in rest.items()}})
     return run
 
 
-def without_repeats(docs: DataFrame, *, keep_row: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed and text (the kept words, joined by one space); with keep_row also the row as row."""
-    dealt = blocks_of(docs, [F.struct("*").alias("row")] if keep_row else [])
-    n = buckets(text_bytes(docs))
+def without_repeats(docs: DataFrame, *, keep_rest: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed and text: the kept words, joined by one space. With keep_rest, the text as it was where
+    nothing is removed, and rest, the other columns of docs."""
+    total = text_bytes(docs)
+    dealt = blocks_of(docs, total, [others(docs).alias("rest")] if keep_rest else [])
+    n = buckets(total)
     by_block = dealt.groupBy("block")
     anchors = by_block.applyInArrow(send_anchors(n), _MESSAGE)
     shared = anchors.groupBy("bucket").applyInArrow(answer_anchors, _MESSAGE)
     windows = by_block.cogroup(shared.groupBy("block")).applyInArrow(send_windows(n), _MESSAGE)
     earlier = windows.groupBy("bucket").applyInArrow(answer_windows, _MESSAGE)
     both = shared.union(earlier)
-    row = f", row {dealt.schema['row'].dataType.simpleString()}" if keep_row else ""
-    return by_block.cogroup(both.groupBy("block")).applyInArrow(cut(n, keep_row), f"doc_id long, n_words long, n_removed long, text string{row}")
+    rest = f", rest {dealt.schema['rest'].dataType.simpleString()}" if keep_rest else ""
+    return by_block.cogroup(both.groupBy("block")).applyInArrow(cut(n, keep_rest), f"doc_id long, n_words long, n_removed long, text string{rest}")
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -257,10 +263,8 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with their texts cut; a text that lost no word stays as it is, and a document that lost all goes."""
-    cut_rows = without_repeats(docs, keep_row=True)
-    kept = cut_rows.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.col("text"))
-    return kept.select(F.col("row").withField("text", text).alias("row")).select("row.*")
+    cut_rows = without_repeats(docs, keep_rest=True)
+    return restored(cut_rows.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))), docs)
 
 
 #: The same in DuckDB SQL.
