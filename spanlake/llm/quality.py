@@ -89,8 +89,8 @@ def thresholds(features: DataFrame) -> DataFrame:
         F.max(F.when(F.col("measure") == "word_length", F.col("lo"))).alias("lo_word_length"))
     limits = [f"hi_{m}" for m in MEASURES] + ["lo_word_length"]
     pick = lambda level, *keys: wide.where(F.col("level") == level).select(
-        *[F.col(k).alias(f"{k}{level}") for k in keys], F.col("total").alias(f"total{level}"), F.struct(*limits).alias(f"t{level}"))
-    joined = pick(0, "lang", "source").join(pick(1, "lang"), F.col("lang0").eqNullSafe(F.col("lang1"))).join(F.broadcast(pick(2)))
+        F.col("level").alias(f"level{level}"), *[F.col(k).alias(f"{k}{level}") for k in keys], F.col("total").alias(f"total{level}"), F.struct(*limits).alias(f"t{level}"))
+    joined = pick(0, "lang", "source").join(pick(1, "lang"), F.col("lang0").eqNullSafe(F.col("lang1"))).join(pick(2), F.col("level0") + 2 == F.col("level2"))
     best = F.when(F.col("total0") >= MIN_ROWS, F.col("t0")).when(F.col("total1") >= MIN_ROWS, F.col("t1")).otherwise(F.col("t2"))
     return written(joined.select(F.col("lang0").alias("t_lang"), F.col("source0").alias("t_source"), best.alias("t")), "quality-thresholds")
 

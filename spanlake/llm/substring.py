@@ -35,9 +35,10 @@ WINDOW = 13
 PERIOD = 7
 COVER = (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
-#: Bytes of text in a block, on average; codes in a bucket, on average.
-BLOCK_BYTES = 4_000_000
-BUCKET_CODES = 2_000_000
+#: Bytes of text in a block, on average: the first, or more once there are so many blocks, up to the last.
+BLOCK_BYTES, BLOCKS, MOST_BLOCK_BYTES = 4_000_000, 4_000, 16_000_000
+#: Anchor codes in a bucket, on average.
+BUCKET_CODES = 1_000_000
 _LAST = np.iinfo(np.int64).max
 
 # A message: from block to bucket (or back), kind, and packed arrays.
@@ -45,9 +46,10 @@ _MESSAGE = "block long, bucket int, kind int, a binary, b binary, c binary"
 
 
 def blocks_of(docs: DataFrame, total: int, extra: list[Column]) -> DataFrame:
-    """doc_id, text and the block of each row, of about BLOCK_BYTES of the total."""
+    """doc_id, text and the block of each row."""
+    size = min(MOST_BLOCK_BYTES, max(BLOCK_BYTES, total // BLOCKS))
     return docs.select(*extra, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn(
-        "block", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-total // BLOCK_BYTES)))))
+        "block", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-total // size)))))
 
 
 def buckets(docs_bytes: int) -> int:
