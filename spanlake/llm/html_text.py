@@ -19,7 +19,6 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -311,15 +310,15 @@ def _loaded(wrapper: str | None) -> dict:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON) of every host with at least two different pages."""
+    """host, wrapper (JSON, empty for a host without two different pages)."""
     h = F.xxhash64("page_id", "url")
     # At most SAMPLE_PAGES rows a host, chosen by a map-side combined minimum.
     some = pages.where("html is not null").groupBy("host", F.pmod(h, F.lit(SAMPLE_PAGES)).alias("part")).agg(F.min_by("html", h).alias("html"))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = induce(pdf["html"].tolist())
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(made)]} if made else {"host": [], "wrapper": []})
-    return some.groupBy("host").applyInPandas(one, "host string, wrapper string")
+    def one(table: pa.Table) -> pa.Table:
+        made = induce(table.column("html").to_pylist())
+        return pa.table({"host": pa.array([table.column("host")[0].as_py()], pa.string()), "wrapper": pa.array([json.dumps(made)], pa.string())})
+    return some.groupBy("host").applyInArrow(one, "host string, wrapper string")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
