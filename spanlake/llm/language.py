@@ -149,10 +149,12 @@ class Matcher:
             for r, gram in enumerate(learned[lang]):
                 ranks.setdefault(self.letters.pack(gram), np.full(len(self.langs), -1))[k] = r
         self.grams = np.array(sorted(ranks), np.int64)
-        self.ranks = np.array([ranks[g] for g in sorted(ranks)]).reshape(-1, len(self.langs))
+        self.ranks = np.array([ranks[g] for g in sorted(ranks)], np.int64).reshape(len(ranks), len(self.langs))
 
     def match(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text: 1 - nearest / second nearest distance."""
+        """Language and score of each text: 1 - nearest / second nearest distance. Nothing learned: all unknown."""
+        if not len(self.grams):
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
         rows, values, has = grams(texts, self.letters)
         bits = 3 * self.letters.bits
         doc, gram, n = counted(rows, values, bits)
@@ -166,8 +168,6 @@ class Matcher:
         place = np.arange(len(doc)) - starts[doc]
         top = place < self.size
         doc, gram, place = doc[top], gram[top], place[top]
-        if not self.langs:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
         at = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
         there = self.grams[at] == gram
         distance = np.empty((len(texts), len(self.langs)))
