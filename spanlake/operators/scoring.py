@@ -100,6 +100,20 @@ def point_join(outer: DataFrame, points: DataFrame, keys: Sequence[str], o0: str
     return outer.join(points, [*keys, "_level", "_cell"]).filter(holds).drop("_level", "_cell")
 
 
+def overlaps(pred: DataFrame, gold: DataFrame, keys: Sequence[str] = RUN_KEYS, split: bool | None = None) -> DataFrame:
+    """All pairs that share time, however little: (keys, p_idx, g_idx, iou, p0, p1, g0, g1).
+
+    Of two spans that overlap, one starts inside the other, so this is two point lookups.
+    """
+    split = decide(split, (pred, keys), (gold, keys))
+    p, g = _sides(pred, gold, keys)
+    touching = (F.col("p0") < F.col("g1")) & (F.col("g0") < F.col("p1"))
+    later_gold = point_join(p, g, keys, "p0", "p1", "g0", split).filter(touching & (F.col("g0") >= F.col("p0")))
+    later_pred = point_join(g, p, keys, "g0", "g1", "p0", split).filter(touching & (F.col("p0") > F.col("g0")))
+    columns = [*keys, "p_idx", "g_idx", "p0", "p1", "g0", "g1"]
+    return later_gold.select(columns).union(later_pred.select(columns)).withColumn("iou", iv.iou("p0", "p1", "g0", "g1"))
+
+
 def inside_pairs(outer: DataFrame, inner: DataFrame, min_cov: float, keys: Sequence[str] = RUN_KEYS,
                  split: bool | None = None) -> DataFrame:
     """Pairs where ``outer`` covers at least ``min_cov`` (> 0.5) of ``inner``: (keys, o_idx, i_idx).
@@ -234,7 +248,9 @@ def _with_boundaries(o: Ordered) -> DataFrame:
     # An exact repeat never survives and never becomes the last one kept.
     fresh = F.col("t").isNotNull() & F.coalesce(F.col("t") != F.col("_t"), F.lit(True))
     o = o.with_columns({"_u": F.when(fresh, F.col("t"))}).running({"_t": ("last", "_u")})
-    near = ~F.col("first") & F.coalesce(F.abs(F.col("_u") - F.col("_t")) <= EPS, F.col("_u").isNull())
+    # A stretch ends where the next value is over 2 EPS from the one before: that one is kept or within EPS of the
+    # last kept, so the next is over EPS from the last kept and starts afresh. Inside a stretch the fold decides.
+    near = ~F.col("first") & F.coalesce(F.abs(F.col("_u") - F.col("_t")) <= 2 * EPS, F.col("_u").isNull())
     o = o.islands("_near", ~near)
     earlier = (Window.partitionBy(*o.keys, "_near").orderBy("idx")
                .rowsBetween(Window.unboundedPreceding, -1))

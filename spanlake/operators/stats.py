@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.functions import intervals as iv
-from spanlake.operators.layout import durable, ordered
+from spanlake.operators.layout import SPLIT_ROWS, durable, ordered
 from spanlake.operators.scoring import COUNT_COLUMNS, quantile, report, tag
 from spanlake.schema import ALPHA, BOOTSTRAP, SEED, TOLERANCES
 
@@ -50,15 +50,21 @@ def draw(b: Column, j: Column, n: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n
 
 
-def _poisson(b: Column, key: Column, seed: int) -> Column:
-    """Poisson(1) weight from a hash, by inverting the distribution function."""
-    u = (F.xxhash64(F.lit(seed), b, key).bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))
-    steps, p, total = [], 0.36787944117144233, 0.0
+def poisson_steps() -> list[float]:
+    """Values of the Poisson(1) distribution function at 0, 1, ..., 16."""
+    out, p, total = [], 0.36787944117144233, 0.0
     for k in range(1, 18):
         total += p
-        steps.append((u >= total).cast("long"))
+        out.append(total)
         p /= k
-    return reduce(lambda x, y: x + y, steps)
+    return out
+
+
+def _poisson(b: Column, key: Column, seed: int) -> Column:
+    """Poisson(1) weight from a hash, by inverting the distribution function; the same in any engine with md5."""
+    text = F.concat(F.lit(f"{seed}:"), b.cast("string"), F.lit(":"), key.cast("string"))
+    u = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return reduce(lambda x, y: x + y, [(u >= t).cast("long") for t in poisson_steps()])
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -83,12 +89,12 @@ def resample(pairs: DataFrame, n_boot: int = BOOTSTRAP, seed: int = SEED, method
         raise ValueError(f"unknown resampling method {method!r}")
     if n is None:
         n = pairs.count()
+    # All episodes are one group here, so their number decides, whatever the rows of an episode say.
     numbered = ordered(pairs.withColumn("_all", F.lit(0)), ["_all"], ["episode_id"],
-                       n > BROADCAST_ROWS if split is None else split).number("_j").df.drop("_all")
+                       n > SPLIT_ROWS or bool(split)).number("_j").df.drop("_all")
     # A few rows per task become thousands each: spread them before they multiply.
     draws = _spread(numbered.select("_j")).withColumn("b", boots).select(
         "b", draw(F.col("b"), F.col("_j"), F.lit(n).cast("long"), seed).alias("_j"))
-    # Repeats of an episode inside a resample are counted before they meet the wide rows.
     drawn = numbered.drop("episode_id")
     if n <= BROADCAST_ROWS:
         drawn = F.broadcast(drawn)

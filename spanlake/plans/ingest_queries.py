@@ -324,9 +324,12 @@ def quota_sample(t: Tables):
     return ing.quota(_cases(t).select("scene").distinct(), 40, "scene")
 
 
-@query("natural_order", "SELECT 'case' || c_custkey AS case_id FROM customer ORDER BY c_custkey LIMIT 30")
+@query("natural_order", "SELECT 'case' || c_custkey AS case_id, row_number() OVER (ORDER BY c_custkey) - 1 AS position FROM customer")
 def natural_order(t: Tables):
-    return _cases(t).orderBy(*ing.natural_order("case_id")).limit(30).select("case_id")
+    prefix, number = ing.natural_order("case_id")
+    rows = _cases(t).select("case_id", prefix.alias("prefix"), number.alias("number"), F.lit(0).alias("all_rows"))
+    # One group of all rows: always numbered in ranges.
+    return ordered(rows, ["all_rows"], ["prefix", "number", "case_id"], True).number("position").df.select("case_id", "position")
 
 
 @query("id_rules", """

@@ -11,7 +11,6 @@ from spanlake.operators import judging as jd
 from spanlake.operators import report as rp
 from spanlake.operators import scoring as sc
 from spanlake.operators import stats as st
-from spanlake.operators.layout import durable
 from spanlake.operators.scoring import BUCKETS, COUNT_COLUMNS, tag
 from spanlake.plans.registry import block, cov_sql, f1_sql, greedy_sql, iou_sql, query, ratio_sql
 from spanlake.functions.rounding import round_true_sql
@@ -49,10 +48,14 @@ mids AS (
   SELECT run, episode_id, side, idx, (end_s + n0) / 2.0 AS t FROM (
     SELECT *, lead(start_s) OVER (PARTITION BY run, episode_id, side ORDER BY idx) AS n0 FROM sided)
   WHERE n0 IS NOT NULL),
-bounds AS (
-  SELECT run, episode_id, side, idx AS b_idx, t FROM (
-    SELECT *, lag(t) OVER (PARTITION BY run, episode_id, side ORDER BY idx) AS pt FROM mids)
-  WHERE pt IS NULL OR abs(t - pt) > 1e-6),
+folded AS (
+  SELECT run, episode_id, side, list_reduce(
+    list_prepend({{'i': -1::BIGINT, 't': 0.0::DOUBLE, 'kept': []::STRUCT(i BIGINT, t DOUBLE)[]}},
+                 list({{'i': idx, 't': t, 'kept': []::STRUCT(i BIGINT, t DOUBLE)[]}} ORDER BY idx)),
+    lambda a, x: {{'i': -1::BIGINT, 't': 0.0::DOUBLE, 'kept': CASE WHEN len(a.kept) > 0 AND abs(x.t - a.kept[-1].t) <= 1e-6 THEN a.kept
+                                                          ELSE list_append(a.kept, {{'i': x.i, 't': x.t}}) END}}).kept AS kept
+  FROM mids GROUP BY ALL),
+bounds AS (SELECT run, episode_id, side, k.i AS b_idx, k.t AS t FROM (SELECT run, episode_id, side, unnest(kept) AS k FROM folded)),
 errors AS (
   SELECT b.run, b.episode_id, b.side, b.b_idx, b.t, min(abs(b.t - o.t)) AS err
   FROM bounds b LEFT JOIN bounds o ON b.run = o.run AND b.episode_id = o.episode_id AND b.side <> o.side
@@ -63,7 +66,7 @@ errors AS (
 SELECT run, episode_id, p_idx, g_idx, iou, {cov_sql('p0', 'p1', 'g0', 'g1')} AS coverage,
        p1 - p0 AS p_len, g1 - g0 AS g_len FROM pairs""")
 def span_arithmetic(t: Tables):
-    pairs = sc.candidates(t.pred(), t.gold_of(), 1e-9, split=t.split)
+    pairs = sc.overlaps(t.pred(), t.gold_of(), split=t.split)
     return pairs.select("run", "episode_id", "p_idx", "g_idx", "iou", iv.coverage("p0", "p1", "g0", "g1").alias("coverage"),
                         iv.duration("p0", "p1").alias("p_len"), iv.duration("g0", "g1").alias("g_len"))
 
@@ -374,29 +377,46 @@ def _metric_list(p: str) -> str:
     return "[" + ", ".join(f"{{'metric': '{n}', 'v': {e}}}" for n, e in rows) + "]"
 
 
-block(f"""
-common AS (SELECT episode_id FROM run_rows WHERE run = 'a' AND ok INTERSECT SELECT episode_id FROM run_rows WHERE run = 'b' AND ok),
-paired AS (
+def _bootstrap_sql(p: str, source: str, weights: str) -> str:
+    """CTEs {p}paired, ..., {p}bootstrap over per-episode counts; weights: a relation (b, episode_id, w)."""
+    return f"""
+{p}paired AS (
   SELECT a.episode_id, {', '.join(f"a.{c} AS a_{c}, b.{c} AS b_{c}" for c in BOOT)},
          row_number() OVER (ORDER BY a.episode_id) - 1 AS j, count(*) OVER () AS n
-  FROM counts a JOIN counts b USING (episode_id) WHERE a.run = 'a' AND b.run = 'b'),
-draws AS (
-  SELECT b, ('0x' || substr(md5('{SEED}:' || b || ':' || j), 1, 8))::BIGINT % n AS j
-  FROM paired, (SELECT unnest(range({BOOTSTRAP})) AS b)),
-boot AS (SELECT b, {', '.join(f"sum({s}_{c})::BIGINT AS {s}_{c}" for s in 'ab' for c in BOOT)} FROM draws JOIN paired USING (j) GROUP BY b),
-boot_deltas AS (
+  FROM ({source}) a JOIN ({source}) b USING (episode_id) WHERE a.run = 'a' AND b.run = 'b'),
+{p}weights AS ({weights}),
+{p}boot AS (SELECT b, {', '.join(f"sum(w * {s}_{c})::BIGINT AS {s}_{c}" for s in 'ab' for c in BOOT)} FROM {p}weights JOIN {p}paired USING (episode_id) WHERE w > 0 GROUP BY b),
+{p}boot_deltas AS (
   SELECT b, x.metric AS metric, y.v - x.v AS delta
-  FROM (SELECT b, unnest({_metric_list('a')}) AS x, unnest({_metric_list('b')}) AS y FROM boot)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY delta) - 1 AS r FROM boot_deltas),
-cis AS (
+  FROM (SELECT b, unnest({_metric_list('a')}) AS x, unnest({_metric_list('b')}) AS y FROM {p}boot)),
+{p}ranked AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY delta) - 1 AS r FROM {p}boot_deltas),
+{p}cis AS (
   SELECT metric, max(delta) FILTER (r = {int(BOOTSTRAP * 0.05 / 2)}) AS ci_low,
          max(delta) FILTER (r = {int(BOOTSTRAP * (1 - 0.05 / 2))}) AS ci_high, avg((delta > 0)::INT::DOUBLE) AS p_positive
-  FROM ranked GROUP BY metric),
-point AS (
+  FROM {p}ranked GROUP BY metric),
+{p}point AS (
   SELECT x.metric AS metric, x.v AS a, y.v AS b, y.v - x.v AS delta
   FROM (SELECT unnest({_metric_list('a')}) AS x, unnest({_metric_list('b')}) AS y
-        FROM (SELECT {', '.join(f"sum({s}_{c})::BIGINT AS {s}_{c}" for s in 'ab' for c in BOOT)} FROM paired))),
-bootstrap AS (SELECT point.*, ci_low, ci_high, p_positive, ci_low > 0 OR ci_high < 0 AS significant FROM point JOIN cis USING (metric))""")
+        FROM (SELECT {', '.join(f"sum({s}_{c})::BIGINT AS {s}_{c}" for s in 'ab' for c in BOOT)} FROM {p}paired))),
+{p}bootstrap AS (SELECT {p}point.*, ci_low, ci_high, p_positive, ci_low > 0 OR ci_high < 0 AS significant FROM {p}point JOIN {p}cis USING (metric))"""
+
+
+def _draws_sql(p: str) -> str:
+    return f"""SELECT d.b, q.episode_id, count(*) AS w FROM (
+      SELECT b, ('0x' || substr(md5('{SEED}:' || b || ':' || j), 1, 8))::BIGINT % n AS j
+      FROM {p}paired, (SELECT unnest(range({BOOTSTRAP})) AS b)) d JOIN {p}paired q USING (j) GROUP BY d.b, q.episode_id"""
+
+
+POISSON_SQL = f"""SELECT b, episode_id, {' + '.join(f'(u >= {t!r}::DOUBLE)::BIGINT' for t in st.poisson_steps())} AS w FROM (
+      SELECT b, episode_id, ('0x' || substr(md5('{SEED}:' || b || ':' || episode_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+      FROM poisson_paired, (SELECT unnest(range({BOOTSTRAP})) AS b))"""
+
+# Two independent samples of the episodes, by the parity of a hash of the id.
+HALF_SQL = "SELECT * FROM counts WHERE ('0x' || substr(md5(episode_id::VARCHAR), 1, 8))::BIGINT % 2 = {}"
+
+block(f"""
+common AS (SELECT episode_id FROM run_rows WHERE run = 'a' AND ok INTERSECT SELECT episode_id FROM run_rows WHERE run = 'b' AND ok),
+{_bootstrap_sql('', 'SELECT * FROM counts', _draws_sql('')).strip()}""")
 
 
 @query("paired_episodes", "SELECT * FROM common")
@@ -409,16 +429,20 @@ def paired_bootstrap(t: Tables):
     return st.paired_bootstrap(episode_counts(t), "a", "b", split=t.split)
 
 
-@query("poisson_bootstrap")
+@query("poisson_bootstrap", f"SELECT * FROM (WITH {_bootstrap_sql('poisson_', 'SELECT * FROM counts', POISSON_SQL)} SELECT * FROM poisson_bootstrap)")
 def poisson_bootstrap(t: Tables):
     return st.paired_bootstrap(episode_counts(t), "a", "b", method="poisson", split=t.split)
 
 
-@query("replicated_change", """
-SELECT metric, delta AS delta_1, delta AS delta_2, significant AS replicated FROM bootstrap""")
+@query("replicated_change", f"""
+SELECT metric, x.delta AS delta_1, y.delta AS delta_2, x.significant AND y.significant AND sign(x.delta) = sign(y.delta) AS replicated
+FROM (WITH {_bootstrap_sql('even_', HALF_SQL.format(0), _draws_sql('even_'))}, {_bootstrap_sql('odd_', HALF_SQL.format(1), _draws_sql('odd_')).strip()}
+      SELECT even_bootstrap.metric AS metric, even_bootstrap AS x, odd_bootstrap AS y FROM even_bootstrap JOIN odd_bootstrap USING (metric))""")
 def replicated_change(t: Tables):
-    first = durable(paired_bootstrap(t))
-    return st.replicated(first, first)
+    """The change from run a to run b, measured on two samples of episodes that share none."""
+    counts = episode_counts(t)
+    half = F.conv(F.substring(F.md5(F.col("episode_id").cast("string")), 1, 8), 16, 10).cast("long") % 2
+    return st.replicated(*(st.paired_bootstrap(counts.filter(half == k), "a", "b", split=t.split) for k in (0, 1)))
 
 
 PAIRED_METRICS = (["episodes", "segments_pred", "segments_gold", "segments_matched", "precision", "recall", "f1"]

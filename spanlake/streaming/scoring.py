@@ -13,23 +13,49 @@ from spanlake.sources.readers import spans_of
 
 COUNTS_SCHEMA = T.StructType([T.StructField("run", T.StringType()), T.StructField("episode_id", T.StringType()),
                               T.StructField("family", T.StringType()),
-                              *(T.StructField(c, T.LongType()) for c in COUNT_COLUMNS)])
+                              *(T.StructField(c, T.LongType()) for c in COUNT_COLUMNS),
+                              T.StructField("ok", T.BooleanType()), T.StructField("written", T.TimestampType()),
+                              T.StructField("file", T.StringType()), T.StructField("block", T.LongType()),
+                              T.StructField("place", T.LongType())])
+ORDER = ("written", "file", "block", "place")
+
+
+def with_file(rows: DataFrame) -> DataFrame:
+    """Add when and where a row was written: file time, file name and block."""
+    return rows.select("*", F.col("_metadata.file_modification_time").alias("written"), F.col("_metadata.file_name").alias("file"),
+                       F.col("_metadata.file_block_start").alias("block"))
+
+
+def row_schema() -> T.StructType:
+    return T.StructType([T.StructField("run", T.StringType()), *schema.RUN_ROW.fields])
 
 
 def stream_rows(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """Result rows (JSONL, with a ``run`` field) as they arrive."""
-    fields = T.StructType([T.StructField("run", T.StringType()), *schema.RUN_ROW.fields])
-    return (spark.readStream.schema(fields).option("maxFilesPerTrigger", max_files)
-            .option("pathGlobFilter", "*.jsonl").json(path))
+    """Result rows (JSONL, with a ``run`` field) as they arrive, with their files."""
+    return with_file(spark.readStream.schema(row_schema()).option("maxFilesPerTrigger", max_files)
+                      .option("pathGlobFilter", "*.jsonl").json(path))
+
+
+def batch_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The same rows, all at once."""
+    return with_file(spark.read.schema(row_schema()).option("pathGlobFilter", "*.jsonl").json(path))
+
+
+def latest(rows: DataFrame, keys=("run", "episode_id")) -> DataFrame:
+    """The last written row of every episode, whether it succeeded or not."""
+    names = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*names), F.struct(*ORDER)).alias("r")).select(*keys, "r.*")
 
 
 def score_rows(rows: DataFrame, split: bool | None = None) -> DataFrame:
-    """Per-episode counts of successful rows; the last row of an episode wins."""
-    ok = rows.filter(F.col("ok")).withColumnRenamed("id", "episode_id")
-    latest = ok.groupBy("run", "episode_id").agg(F.max_by(F.struct("family", "pred", "gold"), "elapsed").alias("r"))
-    latest = latest.select("run", "episode_id", "r.*")
-    return episode_counts(spans_of(latest, "pred"), spans_of(latest, "gold"),
-                          latest.select("run", "episode_id", "family"), split=split)
+    """Per-episode counts with their order; the last row of an episode wins, by file and then by the reader's row
+    order. A failed row has null counts, so that it also replaces an earlier success."""
+    last = latest(rows.withColumnRenamed("id", "episode_id").withColumns({
+        "ok": F.coalesce("ok", F.lit(False)), "place": F.monotonically_increasing_id()}))
+    good = last.filter("ok")
+    counts = episode_counts(spans_of(good, "pred"), spans_of(good, "gold"), good.select("run", "episode_id", "family"), split=split)
+    return last.select("run", "episode_id", "family", "ok", *ORDER).join(counts.drop("family"), ["run", "episode_id"], "left").select(
+        *COUNTS_SCHEMA.names)
 
 
 def score_stream(spark: SparkSession, source: str, target: str, checkpoint: str,
@@ -43,17 +69,17 @@ def score_stream(spark: SparkSession, source: str, target: str, checkpoint: str,
             .trigger(availableNow=True).start())
 
 
+def stored_counts(spark: SparkSession, target: str) -> DataFrame:
+    """Counts of every episode over all batches so far: an episode that was delivered again counts once."""
+    return latest(spark.read.schema(COUNTS_SCHEMA).parquet(f"{target}/batch=*")).filter("ok").drop("ok", *ORDER)
+
+
 def running_report(counts: DataFrame) -> DataFrame:
-    """Pooled report per (run, family) from a batch or stream of counts; for ``complete`` output mode."""
+    """Pooled report per (run, family) of counts with one row per episode, such as ``stored_counts``."""
     sums = counts.groupBy("run", "family").agg(F.count("*").alias("episodes"), *(F.sum(c).alias(c) for c in COUNT_COLUMNS))
     return sums.select("run", "family", "episodes", *pooled_columns())
 
 
-def stream_counts(spark: SparkSession, target: str) -> DataFrame:
-    """Counts written by ``score_stream`` as a stream of their own."""
-    return spark.readStream.schema(COUNTS_SCHEMA).parquet(f"{target}/batch=*")
-
-
 def keep_latest(spark: SparkSession, states: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Streaming last-write-wins on (episode, frame): each batch is reduced to its latest rows and stored
     with its number; ``latest_states`` resolves the batches against each other."""

@@ -130,22 +130,26 @@ def test_sessions(spark):
 
 
 def test_stream_equals_batch_and_resumes(spark, tmp_path):
-    def result(i, ok=True):
-        return json.dumps({"run": "r", "id": f"e{i}", "family": f"f{i % 2}", "ok": ok, "elapsed": 1.0,
-                           "pred": [[0, 2 + i * 0.1, "a"], [2 + i * 0.1, 9, "b"]], "gold": [[0, 2, "a"], [2, 9, "b"]]})
+    def result(i, ok=True, elapsed=1.0, cut=None):
+        cut = 2 + i * 0.1 if cut is None else cut
+        return json.dumps({"run": "r", "id": f"e{i}", "family": f"f{i % 2}", "ok": ok, "elapsed": elapsed,
+                           "pred": [[0, cut, "a"], [cut, 9, "b"]], "gold": [[0, 2, "a"], [2, 9, "b"]]})
     src, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
-    write(src / "1.jsonl", "\n".join(result(i, i != 2) for i in range(4)))
+    write(src / "1.jsonl", "\n".join([result(3, elapsed=9.0, cut=8.0), *(result(i, i != 2) for i in range(4))]))
     live.score_stream(spark, str(src), out, mark, split=False).awaitTermination()
-    assert spark.read.parquet(out).count() == 3
-    write(src / "2.jsonl", "\n".join(result(i) for i in range(4, 7)))
+    assert live.stored_counts(spark, out).count() == 3
+    # Later files: new episodes, a corrected one that took less time, one delivered again, and one that now fails.
+    write(src / "2.jsonl", "\n".join([*(result(i) for i in range(4, 7)), result(0, elapsed=0.1, cut=8.5), result(1), result(6, ok=False)]))
+    os.utime(src / "2.jsonl", (2_000_000_000, 2_000_000_000))
     live.score_stream(spark, str(src), out, mark, split=False).awaitTermination()
-    stored = spark.read.parquet(out).drop("batch")
-    batch = live.score_rows(spark.read.schema(live.stream_rows(spark, str(src)).schema).json(str(src)), split=False).select(stored.columns)
-    assert sorted(stored.collect()) == sorted(batch.collect()) and stored.count() == 6
-    query = (live.running_report(live.stream_counts(spark, out)).writeStream.outputMode("complete").format("memory")
-             .queryName("running").trigger(availableNow=True).start())
-    query.awaitTermination()
-    assert sorted(spark.table("running").collect()) == sorted(live.running_report(stored).collect())
+    stored = live.stored_counts(spark, out)
+    batch = live.score_rows(live.batch_rows(spark, str(src)), split=False).filter("ok").select(stored.columns)
+    assert sorted(stored.collect()) == sorted(batch.collect())
+    assert sorted(r.episode_id for r in stored.collect()) == ["e0", "e1", "e3", "e4", "e5"]
+    report = {r.family: r for r in live.running_report(stored).collect()}
+    assert {f: r.episodes for f, r in report.items()} == {"f0": 2, "f1": 3}
+    moved = {r.episode_id: r.m_0_5 for r in stored.collect()}
+    assert moved["e3"] == 2 and moved["e0"] < 2
 
 
 def test_stream_keeps_latest_state(spark, tmp_path):

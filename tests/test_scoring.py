@@ -123,3 +123,20 @@ def test_bootstrap_ranks_and_guard(spark):
     rows = spark.createDataFrame([("r", False), ("r", False)], "run string, ok boolean")
     with pytest.raises(Exception, match="every episode failed"):
         report.assert_any_ok(rows).collect()
+
+
+def test_all_overlaps_however_small(spark, spans):
+    pred, gold = {("r", "e"): [(0.0, 1e7), (3.0, 4.0), (9.0, 9.0)]}, {("r", "e"): [(5.0, 5.001), (3.0, 3.5), (3.5, 20.0), (4.0, 5.0)]}
+    expected = {(i, j) for i, p in enumerate(pred["r", "e"]) for j, g in enumerate(gold["r", "e"]) if p[0] < g[1] and g[0] < p[1]}
+    for split in (False, True):
+        got = scoring.overlaps(spans(pred), spans(gold), split=split).collect()
+        assert len(got) == len(expected) and {(r.p_idx, r.g_idx) for r in got} == expected
+
+
+def test_boundary_near_the_last_kept_goes(spark, spans):
+    """Midpoints 1, 1 + 0.9e-6, 1 - 0.2e-6: the third is far from the second but near the first, which was kept."""
+    ends = [1.0, 1.0 + 0.9e-6, 1.0 - 0.2e-6]
+    rows = [(0.0, ends[0])] + [(ends[k], ends[k + 1]) for k in range(2)] + [(ends[2], 5.0)]
+    for split in (False, True):
+        got = scoring.internal_boundaries(spans({("r", "e"): rows}), split=split).collect()
+        assert len(got) == 1
