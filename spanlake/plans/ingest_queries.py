@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanlake.fixtures import Tables
+from spanlake.functions import phrases
 from spanlake.functions.rounding import round_true_sql
 from spanlake.operators import ingest as ing
 from spanlake.operators.layout import ordered
@@ -172,7 +173,36 @@ def skill_raw(t: Tables):
     return rows.select(F.col("l_orderkey").alias("episode_id"), F.col("_a.s").alias("skill_annotation"))
 
 
-@query("skill_steps")
+_WORDS = "|".join(phrases.PREPOSITIONS)
+_LIST = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+SKILL_SQL = f"""
+SELECT episode_id, idx, start_frame, end_frame,
+       CASE WHEN len(names) > 1 AND verb IN ({', '.join(f"'{v}'" for v in phrases.TOOL_VERBS)}) THEN concat_ws(' ', verb, array_to_string(names[2:], ' and '), 'with', names[1])
+            WHEN text = 'hand over' AND len(names) = 3 AND names[2] IN ('left', 'right') AND names[3] IN ('left', 'right')
+              THEN 'hand over ' || names[1] || ' from ' || names[2] || ' hand to ' || names[3] || ' hand'
+            ELSE concat_ws(' ', CASE
+              WHEN len(names) > 1 THEN concat_ws(' ', verb, names[1], CASE WHEN back THEN 'back' END)
+              WHEN len(links) > 0 THEN concat_ws(' ', verb, CASE WHEN back THEN 'back' END, array_to_string(links, ' '), names[1])
+              WHEN last_word IN ({', '.join(f"'{v}'" for v in phrases.TRAILING_NOUNS)}) THEN concat_ws(' ', regexp_replace(verb, '\\s\\S+$', ''), names[1], CASE WHEN back THEN 'back' END, last_word)
+              ELSE concat_ws(' ', text, names[1], CASE WHEN back THEN 'back' END) END,
+              CASE WHEN len(names) > 1 THEN concat_ws(' ', CASE WHEN placed THEN 'to the right of' ELSE usual[1] END, names[2]) END,
+              CASE WHEN len(names) > 2 THEN concat_ws(' ', usual[least(2, len(usual))], names[3]) END) END AS label
+FROM (
+  SELECT *, regexp_extract(verb, '\\s(\\S+)$', 1) AS last_word,
+         CASE WHEN len(links) > 0 THEN links {' '.join(f"WHEN verb = '{v}' THEN {_LIST(x)}" for v, x in phrases.DEFAULT_PREPOSITIONS.items())} ELSE ['and'] END AS usual
+  FROM (
+    SELECT *, CASE WHEN regexp_matches(text, '^.+?(\\s+({_WORDS}))+$') THEN trim(regexp_extract(text, '^(.+?)((\\s+({_WORDS}))+)$', 1)) ELSE text END AS verb,
+           regexp_extract_all(regexp_extract(text, '^(.+?)((\\s+({_WORDS}))+)$', 2), '\\s+({_WORDS})', 1) AS links,
+           list_transform(objects, lambda o: replace(regexp_replace(regexp_replace(o, '(_\\d+)+$', ''), '(.)_[a-z]{{6}}$', '\\1'), '_', ' ')) AS names
+    FROM (
+      SELECT l_orderkey AS episode_id, pos AS idx, pos * 48 AS start_frame, pos * 48 + qty AS end_frame, ({_LIST(SKILLS)})[l_partkey % {len(SKILLS)} + 1] AS text,
+             ([t[l_partkey % 6 + 1], t[l_partkey // 7 % 6 + 1], t[l_partkey // 31 % 6 + 1]])[1:l_partkey % 3 + 1] AS objects,
+             l_partkey % 4 = 0 AS back, l_partkey % 5 = 0 AS placed
+      FROM lines, (SELECT {_LIST(THINGS)} AS t))))"""
+
+
+@query("skill_steps", SKILL_SQL)
 def skill_steps(t: Tables):
     return ing.steps_from_skills(skill_raw(t))
 

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanlake.fixtures import Tables
-from spanlake.functions.phrases import object_name, phrase, skill_phrase, split_verb
+from spanlake.functions import phrases
+from spanlake.functions.phrases import skill_phrase
 from spanlake.operators import clean, ingest, scoring
 from spanlake.plans.catalog import ORACLES, QUERIES
 from spanlake.sources import readers, writers
@@ -107,13 +108,19 @@ def test_episode_and_run_tables(spark, tmp_path, sample):
     (("pour", ['[["diced__onion"], "bowl_73"]', "pan_1", "pot_2"]), "pour diced onion and bowl from pan into pot"),
     (("put inside", ["cup_1", "box_2"]), "put cup inside box"),
     (("wait", []), "wait")])
-def test_skill_phrases(args, expected):
-    assert phrase(*args) == expected
+def test_skill_phrases(spark, args, expected):
+    description, objects, memory, spatial, handled = (*args, *[[]] * (5 - len(args)))
+    df = spark.createDataFrame([([description], [objects], memory, spatial, handled)],
+                               "d array<string>, o array<array<string>>, m array<string>, s array<string>, h array<string>")
+    assert df.select(skill_phrase("d", "o", "m", "s", "h")).first()[0] == expected
 
 
 def test_phrase_parts(spark):
-    assert split_verb("on") == ("on", []) and split_verb("place on next to") == ("place", ["on", "next to"])
-    assert object_name("tool_wrench_12", {"wrench"}) == "tool wrench"
+    df = spark.createDataFrame([("on",), ("place on next to",)], "d string")
+    assert [tuple(r) for r in df.select(phrases.verb_of(F.col("d")), phrases.prepositions_of(F.col("d"))).collect()] == [
+        ("on", []), ("place", ["on", "next to"])]
+    assert spark.range(1).select(phrases.object_name(F.lit("tool_wrench_12"), F.array(F.lit("wrench")))).first()[0] == "tool wrench"
+    assert spark.range(1).select(phrases.object_name(F.lit("tool_wrench_12"), F.array(F.lit("x")))).first()[0] == "tool"
     df = spark.createDataFrame([(["pick up from", "hold"], [["cup_1", "table_2"], ["cup_1"]])], "d array<string>, o array<array<string>>")
     assert df.select(skill_phrase("d", "o")).first()[0] == "pick up cup from table and hold cup"
 
