@@ -53,10 +53,10 @@ def mismatch_note(last_end, n_frames, trailing: bool = True) -> Column:
     last_end, n = col(last_end), col(n_frames)
     if not trailing:
         return F.when(F.abs(n - last_end) > 2, F.format_string(
-            " (MISMATCH %+d frames; end times clamped to video duration)", n - last_end)).otherwise("")
+            "; the recording is %+d frames off the last step, times are cut to it", n - last_end)).otherwise("")
     return (F.when(last_end > n + 2, F.format_string(
-        " (MISMATCH: annotation exceeds video by %d frames; clamped)", last_end - n))
-        .when(n - last_end > 2, F.format_string("; trailing %d frames unannotated", n - last_end)).otherwise(""))
+        "; steps run %d frames past the end and are cut to it", last_end - n))
+        .when(n - last_end > 2, F.format_string("; no step in the last %d frames", n - last_end)).otherwise(""))
 
 
 def fine_text(attributes) -> Column:

@@ -252,8 +252,8 @@ def apply_refinement(segments: DataFrame, choices: DataFrame, episodes: DataFram
         "flags": F.concat("flags", F.array_compact(F.array("_pf", "_flag"))),
         "confidence": F.when(touched, "low").otherwise(F.col("confidence"))}).select(*segments.columns)
     notes = settled.filter(big).select(*keys, F.col("idx").alias("boundary_idx"), F.concat(
-        F.lit("boundary between '"), "label", F.lit("' and '"), "_nl", F.lit("' moved "), fixed2("_moved"),
-        F.lit("s in refinement")).alias("warning"))
+        F.lit("refinement shifted '"), "label", F.lit("' | '"), "_nl", F.lit("' by "), fixed2("_moved"),
+        F.lit("s")).alias("warning"))
     return out, notes
 
 
@@ -326,28 +326,28 @@ def render_requests(df: DataFrame, template: str = SEGMENT_TEMPLATE, name: str =
         return F.coalesce(F.col(c), empty) if c in have else empty
 
     task = F.when(text.strip(some("prompt")) != "", F.concat(F.lit("Task: "), text.strip(some("prompt")))).otherwise(
-        "No task description was supplied.")
+        "The task is not stated.")
     window = empty
     if {"lo", "hi"} <= have:
-        window = F.concat(F.lit("Only the part from "), fixed2("lo"), F.lit("s to "), fixed2("hi"),
-                          F.lit("s is shown; keep every time inside it."))
+        window = F.concat(F.lit("This excerpt runs "), fixed2("lo"), F.lit("s to "), fixed2("hi"),
+                          F.lit("s, and all times lie within it."))
         window = F.when(F.col("lo").isNull(), empty).otherwise(window)
         window = F.concat(window, F.when(some("previous_label") != "", F.concat(
-            F.lit(" In progress at its start: '"), some("previous_label"), F.lit("'."))).otherwise(""))
+            F.lit(" It opens in the middle of '"), some("previous_label"), F.lit("'."))).otherwise(""))
     around = F.concat(
         F.when(some("previous") != "", F.concat(F.lit("Before: "), some("previous"), F.lit("\n"))).otherwise(""),
         F.when(some("following") != "", F.concat(F.lit("After: "), some("following"))).otherwise(""))
-    free_choice = F.lit("Use short verb-object labels.")
+    free_choice = F.lit("Label each event with a few words, action first.")
     vocabulary = free_choice
     if "subtasks" in have:
         listed = F.array_join(F.transform("subtasks", lambda s: F.concat(F.lit("    - "), s)), "\n")
         vocabulary = F.when(F.coalesce(F.size("subtasks"), F.lit(0)) > 0, F.concat(
-            F.lit("You MUST use exactly one of these labels:\n"), listed,
+            F.lit("Choose every label from this list:\n"), listed,
             F.lit(f"\n    - {NO_EVENT_LABEL}"))).otherwise(free_choice)
-    attributes = F.lit("No rubric was supplied.")
+    attributes = F.lit("There is no list of attributes.")
     if "attributes" in have:
         attributes = F.when(F.coalesce(F.size("attributes"), F.lit(0)) > 0, F.concat(
-            F.lit("Allowed attributes: "), F.array_join("attributes", ", "))).otherwise(attributes)
+            F.lit("Attributes to choose from: "), F.array_join("attributes", ", "))).otherwise(attributes)
     parts = {"{task}": task, "{window}": window, "{neighbours}": around, "{vocabulary}": vocabulary,
              "{attributes}": attributes}
     filled = reduce(lambda out, kv: F.replace(out, F.lit(kv[0]), kv[1]), parts.items(), F.lit(template))

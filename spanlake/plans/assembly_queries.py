@@ -265,7 +265,7 @@ def refine_sql(p: str, src: str) -> str:
          CASE WHEN flag IS NOT NULL OR pf IS NOT NULL THEN 'low' ELSE confidence END AS confidence,
          list_concat(flags, list_filter([pf, flag], lambda f: f IS NOT NULL)) AS flags FROM {p}_k),
 {p}_n AS (
-  SELECT episode_id, idx AS boundary_idx, 'boundary between ''' || label || ''' and ''' || nl || ''' moved ' || printf('%.2f', moved) || 's in refinement' AS warning
+  SELECT episode_id, idx AS boundary_idx, 'refinement shifted ''' || label || ''' | ''' || nl || ''' by ' || printf('%.2f', moved) || 's' AS warning
   FROM {p}_j WHERE flag IS NOT NULL)"""
 
 
@@ -551,10 +551,10 @@ def unflagged_segments(t: Tables):
 
 @query("request_text", """
 SELECT c.episode_id, c.window_id, 'List the completed events of this recording as start, end and label.' || chr(10) || 'Task: ' || prompt || chr(10)
-  || 'Only the part from ' || printf('%.2f', lo) || 's to ' || printf('%.2f', hi) || 's is shown; keep every time inside it.' || chr(10)
-  || CASE WHEN len(subtasks) > 0 THEN 'You MUST use exactly one of these labels:' || chr(10)
+  || 'This excerpt runs ' || printf('%.2f', lo) || 's to ' || printf('%.2f', hi) || 's, and all times lie within it.' || chr(10)
+  || CASE WHEN len(subtasks) > 0 THEN 'Choose every label from this list:' || chr(10)
      || array_to_string(list_transform(subtasks, lambda s: '    - ' || s), chr(10)) || chr(10) || '    - no_completed_subtask'
-     ELSE 'Use short verb-object labels.' END AS request
+     ELSE 'Label each event with a few words, action first.' END AS request
 FROM clips c JOIN requests USING (episode_id)""")
 def request_text(t: Tables):
     rows = fr.clip_windows(t.episodes).join(requests(t), "episode_id")

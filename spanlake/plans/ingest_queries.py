@@ -65,8 +65,8 @@ videos AS (
            last_end + episode_id % 9 - 4 AS n_frames, last_end FROM last_frames)),
 in_seconds AS (
   SELECT episode_id, idx, {round_true_sql('s', 3)} AS start_s, {round_true_sql('e', 3)} AS end_s, label,
-    CASE WHEN last_end > n_frames + 2 THEN ' (MISMATCH: annotation exceeds video by ' || (last_end - n_frames) || ' frames; clamped)'
-         WHEN n_frames - last_end > 2 THEN '; trailing ' || (n_frames - last_end) || ' frames unannotated' ELSE '' END AS note
+    CASE WHEN last_end > n_frames + 2 THEN '; steps run ' || (last_end - n_frames) || ' frames past the end and are cut to it'
+         WHEN n_frames - last_end > 2 THEN '; no step in the last ' || (n_frames - last_end) || ' frames' ELSE '' END AS note
   FROM (SELECT m.*, n_frames, last_end, least(start_frame / fps, duration_s) AS s, least(end_frame / fps, duration_s) AS e
         FROM monotonic m JOIN videos USING (episode_id)))""")
 

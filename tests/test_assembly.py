@@ -197,7 +197,7 @@ def test_request_text(spark):
     df = spark.createDataFrame([("", 50.0, 109.5, "Pick Box", ["Pick Box", "Fold Left"])],
                                "prompt string, lo double, hi double, previous_label string, subtasks array<string>")
     body = proposals.render_requests(df).first().request
-    assert "50.00s to 109.50s" in body and "'Pick Box'" in body and "No task description was supplied" in body
+    assert "50.00s to 109.50s" in body and "'Pick Box'" in body and "The task is not stated" in body
     assert "MUST" in body and "- Fold Left" in body and "{" not in body
 
 
