@@ -198,7 +198,7 @@ def test_request_text(spark):
                                "prompt string, lo double, hi double, previous_label string, subtasks array<string>")
     body = proposals.render_requests(df).first().request
     assert "50.00s to 109.50s" in body and "'Pick Box'" in body and "The task is not stated" in body
-    assert "MUST" in body and "- Fold Left" in body and "{" not in body
+    assert "Choose every label" in body and "- Fold Left" in body and "{" not in body
 
 
 def test_hot_groups_are_counted_and_split(spark):
