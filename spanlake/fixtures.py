@@ -71,35 +71,30 @@ class Tables:
                 .select("episode_id", "idx", seconds("t_ms").alias("start_s"),
                         seconds("next_ms").alias("end_s"), F.col("event_type").alias("label")))
 
-    def boundaries(self, run: str) -> DataFrame:
-        """Jittered boundaries of one run: kept events plus some midpoints."""
-        drop, width, offset = RUNS[run]
-        jitter = (F.col("event_id") * 37) % width - offset
-        kept = (F.col("idx") == 0) | (F.col("event_id") % drop != 0)
-        at = F.when(F.col("idx") == 0, F.col("t_ms")).otherwise(
-            F.greatest(F.lit(0).cast("long"), F.col("t_ms") + jitter))
+    def boundaries(self, *runs: str) -> DataFrame:
+        """Jittered boundaries of the runs, from one read: kept events plus some midpoints."""
         middle = (F.col("event_id") % 11 == 0) & F.col("next_ms").isNotNull()
         half = ((F.col("t_ms") + F.col("next_ms")) / 2).cast("long")
-        marks = F.array(
-            F.when(kept, F.struct(at.alias("b_ms"), F.lit(0).alias("part"), F.col("event_type").alias("label"))),
-            F.when(middle, F.struct(half.alias("b_ms"), F.lit(1).alias("part"),
-                                    F.concat("event_type", F.lit("_part")).alias("label"))))
-        return (self.timed
-                .select(F.lit(run).alias("run"), "episode_id", "event_id", "value",
-                        F.explode(F.array_compact(marks)).alias("m"))
-                .select("run", "episode_id", "event_id", "value", "m.*"))
+        marks = []
+        for run in runs:
+            drop, width, offset = RUNS[run]
+            jitter = (F.col("event_id") * 37) % width - offset
+            kept = (F.col("idx") == 0) | (F.col("event_id") % drop != 0)
+            at = F.when(F.col("idx") == 0, F.col("t_ms")).otherwise(
+                F.greatest(F.lit(0).cast("long"), F.col("t_ms") + jitter))
+            marks += [F.when(kept, F.struct(F.lit(run).alias("run"), at.alias("b_ms"), F.lit(0).alias("part"),
+                                            F.col("event_type").alias("label"))),
+                      F.when(middle, F.struct(F.lit(run).alias("run"), half.alias("b_ms"), F.lit(1).alias("part"),
+                                              F.concat("event_type", F.lit("_part")).alias("label")))]
+        return (self.timed.select("episode_id", "event_id", "value", F.explode(F.array_compact(F.array(*marks))).alias("m"))
+                .select("m.run", "episode_id", "event_id", "value", "m.b_ms", "m.part", "m.label"))
 
     def pred_ms(self, *runs: str) -> DataFrame:
         """Predicted spans in milliseconds, zero-length ones dropped."""
-        if runs in self._pred:
-            return self._pred[runs]
-        marks = None
-        for run in runs:
-            marks = self.boundaries(run) if marks is None else marks.unionByName(self.boundaries(run))
-        o = ordered(marks, ["run", "episode_id"], ["b_ms", "event_id", "part"], self.split)
-        o = o.shift(next={"e_ms": "b_ms"}).where(F.col("e_ms") > F.col("b_ms")).number("idx")
-        self._pred[runs] = o.df
-        return o.df
+        if runs not in self._pred:
+            o = ordered(self.boundaries(*runs), ["run", "episode_id"], ["b_ms", "event_id", "part"], self.split)
+            self._pred[runs] = o.shift(next={"e_ms": "b_ms"}).where(F.col("e_ms") > F.col("b_ms")).number("idx").df
+        return self._pred[runs]
 
     def pred(self, *runs: str) -> DataFrame:
         return self.pred_ms(*(runs or tuple(RUNS))).select(

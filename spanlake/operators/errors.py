@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanlake.functions import intervals as iv
 from spanlake.operators.layout import decide, ordered
-from spanlake.operators.scoring import candidates, greedy, inside_pairs
+from spanlake.operators.scoring import greedy, inside_pairs, overlaps
 from spanlake.schema import COVERAGE_CUT, RUN_KEYS, SHIFTED_CUT, TAXONOMY
 
 
@@ -30,19 +30,26 @@ def split_up(pred: DataFrame, gold: DataFrame, keys: Sequence[str] = RUN_KEYS, s
 
 
 def classify(pred: DataFrame, gold: DataFrame, keys: Sequence[str] = RUN_KEYS, split: bool | None = None) -> DataFrame:
-    """Gold rows with ``class``: ok, merged, split, shifted or missing."""
+    """Gold rows with ``class``: ok, merged, split, shifted or missing.
+
+    One interval join carries IoU and both coverages; every class is read off its rows.
+    """
     keys = list(keys)
     split = decide(split, (pred, keys), (gold, keys))
-    near = candidates(pred, gold, SHIFTED_CUT, keys, split)
-    hits = greedy(near.filter(F.col("iou") >= 0.5), keys, split)
-    flags = {"ok": hits.select(*keys, F.col("g_idx").alias("idx")), "merged": merged(pred, gold, keys, split),
-             "split": split_up(pred, gold, keys, split), "shifted": near.select(*keys, F.col("g_idx").alias("idx"))}
-    parts = [gold.select(*keys, "idx", "start_s", "end_s")]
-    parts += [df.withColumn(name, F.lit(True)) for name, df in flags.items()]
+    covers, inside = iv.coverage("p0", "p1", "g0", "g1"), iv.coverage("g0", "g1", "p0", "p1")
+    pairs = overlaps(pred, gold, keys, split).withColumns({"_covers": covers >= COVERAGE_CUT, "_inside": inside >= COVERAGE_CUT})
+    pairs = pairs.filter(F.col("_covers") | F.col("_inside") | (F.col("iou") >= SHIFTED_CUT))
+    hits = greedy(pairs.filter(F.col("iou") >= 0.5).drop("_covers", "_inside"), keys, split)
+    o = ordered(pairs, [*keys, "p_idx", "_covers"], ["g_idx"], split).shift(prev={"_p": "g_idx"}, next={"_n": "g_idx"})
+    together = F.col("_covers") & ((F.col("_p") == F.col("g_idx") - 1) | (F.col("_n") == F.col("g_idx") + 1))
+    marks = o.df.groupBy(*keys, F.col("g_idx").alias("idx")).agg(
+        F.max(together).alias("merged"), (F.count_if("_inside") >= 2).alias("split"), F.max(F.col("iou") >= SHIFTED_CUT).alias("shifted"))
+    parts = [gold.select(*keys, "idx", "start_s", "end_s"), marks,
+             hits.select(*keys, F.col("g_idx").alias("idx"), F.lit(True).alias("ok"))]
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     rows = union.groupBy(*keys, "idx").agg(F.max("start_s").alias("start_s"), F.max("end_s").alias("end_s"),
-                                           *(F.max(name).alias(name) for name in flags))
-    verdict = reduce(lambda c, name: c.when(F.col(name), name), list(flags)[1:], F.when(F.col("ok"), "ok"))
+                                           *(F.max(name).alias(name) for name in TAXONOMY[:-1]))
+    verdict = reduce(lambda c, name: c.when(F.col(name), name), TAXONOMY[1:-1], F.when(F.col("ok"), "ok"))
     return rows.select(*keys, "idx", "start_s", "end_s", verdict.otherwise(TAXONOMY[-1]).alias("class"))
 
 

@@ -103,11 +103,15 @@ def point_join(outer: DataFrame, points: DataFrame, keys: Sequence[str], o0: str
 def overlaps(pred: DataFrame, gold: DataFrame, keys: Sequence[str] = RUN_KEYS, split: bool | None = None) -> DataFrame:
     """All pairs that share time, however little: (keys, p_idx, g_idx, iou, p0, p1, g0, g1).
 
-    Of two spans that overlap, one starts inside the other, so this is two point lookups.
+    Small episodes join on the episode. With ``split``: of two spans that overlap, one starts inside the
+    other, so this is two point lookups.
     """
     split = decide(split, (pred, keys), (gold, keys))
     p, g = _sides(pred, gold, keys)
     touching = (F.col("p0") < F.col("g1")) & (F.col("g0") < F.col("p1"))
+    if not split:
+        return (p.join(g, list(keys)).filter(touching).select(*keys, "p_idx", "g_idx", "p0", "p1", "g0", "g1")
+                .withColumn("iou", iv.iou("p0", "p1", "g0", "g1")))
     later_gold = point_join(p, g, keys, "p0", "p1", "g0", split).filter(touching & (F.col("g0") >= F.col("p0")))
     later_pred = point_join(g, p, keys, "g0", "g1", "p0", split).filter(touching & (F.col("p0") > F.col("g0")))
     columns = [*keys, "p_idx", "g_idx", "p0", "p1", "g0", "g1"]

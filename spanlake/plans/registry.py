@@ -21,9 +21,10 @@ def block(sql: str) -> None:
 
 
 def query(name: str, sql: str | None = None):
-    """Register ``fn(tables) -> DataFrame`` under ``name``; ``sql`` may use every block defined so far."""
+    """Register ``fn(tables) -> DataFrame`` under ``name``; ``sql`` may use every block defined so far. The registered
+    callable takes ``split`` to choose the plan for hot groups instead of measuring."""
     def wrap(fn: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir, split=None: fn(Tables(spark, sf_dir, split))
         if sql is not None:
             ORACLES[name] = "WITH " + ",\n".join(b.strip() for b in BLOCKS) + "\n" + sql.strip()
         return fn
