@@ -128,10 +128,10 @@ def track_instructions(raw: DataFrame, tasks: DataFrame, episodes: DataFrame) ->
 
 def join_meta(rows: DataFrame, tasks: DataFrame, episodes: DataFrame) -> DataFrame:
     """Task text by episode number, defaulting to task 0 and then to the first task listed."""
-    first = tasks.agg(F.min_by("task", "task_index")).first()[0]
+    first = tasks.agg(F.min_by("task", "task_index")).scalar()
     out = rows.join(episodes.select(F.col("episode_index").alias("episode_no"), "task_index", "length"), "episode_no", "left")
     out = out.withColumn("task_index", F.coalesce("task_index", F.lit(0).cast("long"))).join(tasks, "task_index", "left")
-    return out.withColumn("task", F.coalesce("task", F.lit(first), F.lit("")))
+    return out.withColumn("task", F.coalesce(F.col("task"), first, F.lit("")))
 
 
 def instruction_text(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sentence: str,

@@ -104,8 +104,9 @@ def assemble(proposals: DataFrame, windows: DataFrame, mode: str = "sheets", key
     if mode == "state":
         rows = frames.snap_rows(proposals, windows, interval, keys)
     else:
-        shown = grid.join(windows.select(*keys, "window_id", "first_frame", "last_frame"), keys).filter(
-            (F.col("frame_idx") >= F.col("first_frame")) & (F.col("frame_idx") <= F.col("last_frame")))
+        # The grid is regular, so a window's frames are counted out; no frame table is joined.
+        shown = windows.select(*keys, "window_id", F.explode(F.sequence("first_frame", "last_frame")).alias("frame_idx"))
+        shown = shown.withColumn("t", round_true(F.col("frame_idx") * F.lit(float(interval)), 3))
         rows = frames.expand_runs(proposals, shown, interval, [*keys, "window_id"], split)
         rows = rows.withColumn("row_idx", F.col("frame_idx"))
     latest = frames.upsert_states(rows, keys)

@@ -80,6 +80,14 @@ def frame_states(t: Tables):
                        ((F.col("idx") * 500 + (e % 7 - 3) * 100) / 1000.0).alias("t"), label.alias("subtask"))
 
 
+def window_runs(t: Tables):
+    """The runs as every window reports them: those that start at its frames, some under another label."""
+    _, windows = frame_windows(t)
+    seen = windows.select("episode_id", "window_id", F.explode(F.sequence("first_frame", "last_frame")).alias("idx"))
+    label = F.when((F.col("idx") + F.col("window_id")) % 6 == 0, "other").otherwise(F.col("subtask"))
+    return state_runs(t).join(seen, ["episode_id", "idx"]).select("episode_id", "window_id", "idx", "t", label.alias("subtask"))
+
+
 def state_runs(t: Tables):
     """Every event starts a run at an uneven time."""
     e = F.col("event_id")
@@ -92,23 +100,25 @@ def coarse(t: Tables):
     return t.pred("a").drop("run")
 
 
-def pieces(t: Tables):
-    """Three ragged pieces for three of four parents."""
+def pieces(t: Tables, relative: bool = False):
+    """Three ragged pieces for three of four parents, in episode time or from the parent's start."""
     e = F.col("event_id")
     rows = t.pred_ms("a").filter(e % 4 != 0).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     third = F.floor((F.col("e_ms") - F.col("b_ms")) / 3)
-    start = F.col("b_ms") + F.col("k") * third - 300
-    end = F.col("b_ms") + (F.col("k") + 1) * third + (e % 3) * 200
+    origin = F.lit(0).cast("long") if relative else F.col("b_ms")
+    start = origin + F.col("k") * third - 300
+    end = origin + (F.col("k") + 1) * third + (e % 3) * 200
     return rows.select("episode_id", F.col("idx").alias("parent_idx"), F.col("k").cast("long").alias("idx"),
                        seconds(start).alias("start_s"), seconds(end).alias("end_s"),
                        F.concat("label", F.lit("_"), F.col("k").cast("string")).alias("label"))
 
 
-def choices(t: Tables):
-    """An answer for nine of ten borders, up to 1.8 s off."""
+def choices(t: Tables, relative: bool = False):
+    """An answer for nine of ten borders, up to 1.8 s off; relative ones count from the window's start."""
     e = F.col("event_id")
+    at = (e % 17) * 210 - 60 if relative else F.col("e_ms") + (e % 9 - 4) * 450
     return t.pred_ms("a").filter(e % 10 != 0).select(
-        "episode_id", F.col("idx").alias("boundary_idx"), seconds(F.col("e_ms") + (e % 9 - 4) * 450).alias("boundary_s"))
+        "episode_id", F.col("idx").alias("boundary_idx"), seconds(at).alias("boundary_s"))
 
 
 def labels(t: Tables):
@@ -226,8 +236,12 @@ def stitch_sql(src: str) -> str:
       FROM {src} WHERE n_windows = 1 GROUP BY episode_id))"""
 
 
-def refine_sql(p: str, src: str) -> str:
+def refine_sql(p: str, src: str, choices: str = "choices", mode: str = "sheets") -> str:
     """CTEs ``<p>`` (refined segments of ``src``) and ``<p>_n`` (notes)."""
+    chosen = "CASE WHEN c >= 3 AND high - low >= 0.5 AND ans >= mn - 1e-6 AND ans <= mx + 1e-6 THEN best ELSE cand END"
+    if mode == "video":
+        chosen = ("CASE WHEN high - low >= 0.5 AND ans >= -1e-6 AND ans <= high - low + 1e-6 "
+                  f"THEN {round_true_sql('(low + ans)', 2)} ELSE cand END")
     return f"""
 {p}_b AS (
   SELECT x.*, lead(x.start_s) OVER w AS ns, lead(x.end_s) OVER w AS ne, lead(x.label) OVER w AS nl, e.duration_s
@@ -236,7 +250,7 @@ def refine_sql(p: str, src: str) -> str:
   SELECT *, (end_s + ns) / 2.0 AS cand, greatest(0, (end_s + ns) / 2.0 - 1.5) AS low, least(duration_s, (end_s + ns) / 2.0 + 1.5) AS high FROM {p}_b),
 {p}_d AS (
   SELECT d.*, c.boundary_s AS ans, floor((high - low + 1e-6) / 0.25) + 1 AS n
-  FROM {p}_c d LEFT JOIN choices c ON c.episode_id = d.episode_id AND c.boundary_idx = d.idx),
+  FROM {p}_c d LEFT JOIN {choices} c ON c.episode_id = d.episode_id AND c.boundary_idx = d.idx),
 {p}_f AS (
   SELECT episode_id, idx, f, {round_true_sql('ft', 3)} AS ft FROM (
     SELECT episode_id, idx, f, low + f * 0.25 AS ft FROM {p}_d, unnest(range(n::BIGINT)) u(f) WHERE ns IS NOT NULL)),
@@ -244,7 +258,7 @@ def refine_sql(p: str, src: str) -> str:
   SELECT f.episode_id, f.idx, count(*) AS c, min(ft) AS mn, max(ft) AS mx, arg_min(ft, {{'g': abs(ft - ans), 'f': ft}}) AS best
   FROM {p}_f f JOIN {p}_d d ON d.episode_id = f.episode_id AND d.idx = f.idx WHERE ans IS NOT NULL GROUP BY ALL),
 {p}_g AS (
-  SELECT d.*, CASE WHEN c >= 3 AND high - low >= 0.5 AND ans >= mn - 1e-6 AND ans <= mx + 1e-6 THEN best ELSE cand END AS t
+  SELECT d.*, {chosen} AS t
   FROM {p}_d d LEFT JOIN {p}_fa f ON f.episode_id = d.episode_id AND f.idx = d.idx),
 {p}_h AS (
   SELECT episode_id, list_reduce(list_prepend({{'t': 0.0::DOUBLE, 's': NULL::DOUBLE, 'ne': NULL::DOUBLE, 'carry': NULL::DOUBLE, 'acc': []::STRUCT(b DOUBLE, a DOUBLE, t DOUBLE)[]}},
@@ -289,7 +303,7 @@ def label_sql(p: str, src: str) -> str:
   FROM {p}_a)"""
 
 
-def subdivide_sql(src: str) -> str:
+def subdivide_sql(src: str, pieces: str = "pieces") -> str:
     return f"""
   SELECT episode_id, row_number() OVER (PARTITION BY episode_id ORDER BY parent_idx, k) - 1 AS idx, start_s, end_s, label FROM (
     SELECT episode_id, parent_idx, k, greatest(s, lag(e) OVER (PARTITION BY episode_id, parent_idx ORDER BY k)) AS start_s, e AS end_s, label FROM (
@@ -297,17 +311,44 @@ def subdivide_sql(src: str) -> str:
         SELECT *, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY episode_id, parent_idx) AS n FROM (
           SELECT p.episode_id, p.parent_idx, p.idx AS pi, p.start_s AS s0, least(greatest(p.start_s, c.start_s), c.end_s) AS s,
                  least(greatest(p.end_s, c.start_s), c.end_s) AS e, p.label, c.start_s AS lo, c.end_s AS hi
-          FROM pieces p JOIN {src} c ON c.episode_id = p.episode_id AND c.idx = p.parent_idx
+          FROM {pieces} p JOIN {src} c ON c.episode_id = p.episode_id AND c.idx = p.parent_idx
           WHERE c.end_s - c.start_s >= 3.0 AND p.end_s - p.start_s >= 0.4)
         WHERE e - s >= 0.4 WINDOW w AS (PARTITION BY episode_id, parent_idx ORDER BY s0, pi)) WHERE n >= 2)
     QUALIFY end_s - start_s >= 0.4
     UNION ALL
     SELECT episode_id, idx, 0, start_s, end_s, label FROM {src} c WHERE NOT EXISTS (
-      SELECT 1 FROM pieces p WHERE p.episode_id = c.episode_id AND p.parent_idx = c.idx AND c.end_s - c.start_s >= 3.0 AND p.end_s - p.start_s >= 0.4
+      SELECT 1 FROM {pieces} p WHERE p.episode_id = c.episode_id AND p.parent_idx = c.idx AND c.end_s - c.start_s >= 3.0 AND p.end_s - p.start_s >= 0.4
         AND least(greatest(p.end_s, c.start_s), c.end_s) - least(greatest(p.start_s, c.start_s), c.end_s) >= 0.4
       GROUP BY p.parent_idx HAVING count(*) >= 2))"""
 
 
+def frames_sql(p: str, src: str) -> str:
+    """CTEs from the latest state of every frame (``src``) to ``<p>state_segments``."""
+    return f"""
+{p}filled AS (
+  SELECT g.episode_id, g.frame_idx, g.t, CASE WHEN lower({strip_sql("coalesce(subtask, 'none')")}) IN ('', 'none', 'null', 'idle', 'no subtask', 'n/a', '-')
+    THEN 'none' ELSE {strip_sql("coalesce(subtask, 'none')")} END AS label
+  FROM grid g LEFT JOIN {src} USING (episode_id, frame_idx)),
+{p}run_ids AS (
+  SELECT *, sum(brk) OVER (PARTITION BY episode_id ORDER BY frame_idx) AS run FROM (
+    SELECT *, (lag(label) OVER (PARTITION BY episode_id ORDER BY frame_idx) IS DISTINCT FROM label)::INT AS brk FROM {p}filled)),
+{p}run_sizes AS (SELECT *, count(*) OVER (PARTITION BY episode_id, run) AS size, count(*) OVER (PARTITION BY episode_id) AS total FROM {p}run_ids),
+{p}smoothed AS (
+  SELECT episode_id, frame_idx, t, CASE WHEN total < 3 THEN label ELSE coalesce(
+    last_value(CASE WHEN size >= 2 THEN label END IGNORE NULLS) OVER (PARTITION BY episode_id ORDER BY frame_idx),
+    max(CASE WHEN frame_idx = 1 THEN label END) OVER (PARTITION BY episode_id)) END AS label FROM {p}run_sizes),
+{p}low_runs AS (
+  SELECT *, sum(brk) OVER (PARTITION BY episode_id ORDER BY frame_idx) AS run FROM (
+    SELECT *, lag(t) OVER w AS pt, (lag(lower(label)) OVER w IS DISTINCT FROM lower(label))::INT AS brk FROM {p}smoothed WINDOW w AS (PARTITION BY episode_id ORDER BY frame_idx))),
+{p}state_spans AS (
+  SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY run) - 1 AS idx FROM (
+    SELECT episode_id, run, arg_min(label, frame_idx) AS label, arg_min(coalesce((pt + t) / 2.0, t), frame_idx) AS s, max(t) + 0.25 AS e
+    FROM {p}low_runs GROUP BY episode_id, run) WHERE label <> 'none'),
+{p}state_segments AS (
+  SELECT episode_id, idx, CASE WHEN idx = 0 THEN 0.0::DOUBLE ELSE {round_true_sql('s2', 2)} END AS start_s, {round_true_sql('e', 2)} AS end_s, label
+  FROM (SELECT *, greatest(s, lag({round_true_sql('e', 2)}) OVER (PARTITION BY episode_id ORDER BY idx)) AS s2 FROM {p}state_spans))"""
+
+
 block(f"""
 requests AS (
   SELECT episode_id, instruction AS prompt,
@@ -325,7 +366,7 @@ raw_segments AS (
     '' AS description, 'medium' AS confidence, []::VARCHAR[] AS flags FROM pred_a),
 clips AS (
   SELECT episode_id, k AS window_id, count(*) OVER (PARTITION BY episode_id) AS n_windows, k * 55.0::DOUBLE AS lo, least(duration_s, k * 55.0::DOUBLE + 60) AS hi
-  FROM episodes, unnest(range(1000)) u(k) WHERE k = 0 OR (duration_s > 60 AND (k - 1) * 55.0::DOUBLE + 60 < duration_s - 1e-6)),
+  FROM episodes, unnest(range((duration_s / 55)::BIGINT + 2)) u(k) WHERE k = 0 OR (duration_s > 60 AND (k - 1) * 55.0::DOUBLE + 60 < duration_s - 1e-6)),
 proposals AS (
   SELECT p.episode_id, w.window_id, p.idx, w.n_windows, w.lo, w.hi, b_ms / 1000.0::DOUBLE AS start_s, e_ms / 1000.0::DOUBLE AS end_s,
          ['pick', 'Place', 'pick '][(event_id // 2) % 3 + 1] AS label
@@ -344,18 +385,24 @@ pieces AS (
   FROM pred_a, unnest(range(3)) u(k) WHERE event_id % 4 <> 0),
 choices AS (
   SELECT episode_id, idx AS boundary_idx, (e_ms + (event_id % 9 - 4) * 450) / 1000.0::DOUBLE AS boundary_s FROM pred_a WHERE event_id % 10 <> 0),
+pieces_placed AS (
+  SELECT p.episode_id, p.idx AS parent_idx, k AS idx, (k * ((e_ms - b_ms) // 3) - 300) / 1000.0::DOUBLE + b_ms / 1000.0::DOUBLE AS start_s,
+         ((k + 1) * ((e_ms - b_ms) // 3) + (event_id % 3) * 200) / 1000.0::DOUBLE + b_ms / 1000.0::DOUBLE AS end_s, label || '_' || k AS label
+  FROM pred_a p, unnest(range(3)) u(k) WHERE event_id % 4 <> 0),
+clip_choices AS (
+  SELECT episode_id, idx AS boundary_idx, ((event_id % 17) * 210 - 60) / 1000.0::DOUBLE AS boundary_s FROM pred_a WHERE event_id % 10 <> 0),
 labels AS (
   SELECT episode_id, idx, CASE event_id % 5 WHEN 0 THEN label WHEN 1 THEN 'the ' || label WHEN 2 THEN 'other thing' WHEN 3 THEN '' ELSE label || '-twice' END AS label,
     CASE WHEN event_id % 2 = 0 THEN ' PASS' ELSE 'nope' END AS result, ['retry'] AS attributes, ' seen ' || chr(10) AS description
   FROM pred_a WHERE event_id % 12 <> 0),
 frame_eps AS (SELECT episode_id, count(*) * 0.5::DOUBLE AS duration_s FROM timed GROUP BY episode_id),
-grid AS (SELECT episode_id, k AS frame_idx, k * 0.5::DOUBLE AS t FROM frame_eps, unnest(range(100000)) u(k) WHERE k * 0.5 <= duration_s + 1e-6),
+grid AS (SELECT episode_id, k AS frame_idx, k * 0.5::DOUBLE AS t FROM frame_eps, unnest(range((duration_s / 0.5)::BIGINT + 2)) u(k) WHERE k * 0.5 <= duration_s + 1e-6),
 sheet_spans AS (SELECT episode_id, frame_idx // {PER_SHEET} AS sheet_idx, min(t) AS start_s, max(t) AS end_s, count(*) AS n_frames FROM grid GROUP BY ALL),
 sheet_n AS (SELECT episode_id, count(*) AS n FROM sheet_spans GROUP BY ALL),
 frame_windows AS (
   SELECT w.episode_id, k AS window_id, count(*) OVER (PARTITION BY w.episode_id) AS n_windows, k * 5 AS first_sheet, least(k * 5 + 6, n) - 1 AS last_sheet,
          a.start_s AS lo, b.end_s AS hi, k * 5 * {PER_SHEET} AS first_frame, (least(k * 5 + 6, n) - 1) * {PER_SHEET} + b.n_frames - 1 AS last_frame
-  FROM (SELECT episode_id, n, k FROM sheet_n, unnest(range(1000)) u(k) WHERE k = 0 OR (n > 6 AND (k - 1) * 5 + 6 < n)) w
+  FROM (SELECT episode_id, n, k FROM sheet_n, unnest(range(n // 5 + 2)) u(k) WHERE k = 0 OR (n > 6 AND (k - 1) * 5 + 6 < n)) w
   JOIN sheet_spans a ON a.episode_id = w.episode_id AND a.sheet_idx = k * 5
   JOIN sheet_spans b ON b.episode_id = w.episode_id AND b.sheet_idx = least(k * 5 + 6, n) - 1),
 frame_states AS (
@@ -367,7 +414,7 @@ snapped_rows AS (
   SELECT s.episode_id, s.window_id, s.row_idx, s.subtask, g.frame_idx FROM frame_states s JOIN grid g
     ON g.episode_id = s.episode_id AND g.frame_idx BETWEEN s.first_frame AND s.last_frame AND abs(g.t - s.t) <= 0.5 * 0.51
   QUALIFY row_number() OVER (PARTITION BY s.episode_id, s.window_id, s.row_idx ORDER BY abs(g.t - s.t), g.frame_idx) = 1),
-latest AS (SELECT episode_id, frame_idx, arg_max(subtask, window_id * 1000000 + row_idx) AS subtask FROM snapped_rows GROUP BY ALL),
+latest AS (SELECT episode_id, frame_idx, arg_max(subtask, {{'w': window_id, 'r': row_idx}}) AS subtask FROM snapped_rows GROUP BY ALL),
 filled AS (
   SELECT g.episode_id, g.frame_idx, g.t, CASE WHEN lower({strip_sql("coalesce(subtask, 'none')")}) IN ('', 'none', 'null', 'idle', 'no subtask', 'n/a', '-')
     THEN 'none' ELSE {strip_sql("coalesce(subtask, 'none')")} END AS label
@@ -395,13 +442,22 @@ state_runs AS (
   FROM timed),
 expanded AS (
   SELECT g.episode_id, g.frame_idx, g.t, coalesce((SELECT arg_max(r.subtask, {{'t': r.t, 'i': r.idx}}) FROM state_runs r
-    WHERE r.episode_id = g.episode_id AND r.t <= g.t + 0.5 * 0.49), 'none') AS subtask FROM grid g)""")
+    WHERE r.episode_id = g.episode_id AND r.t <= g.t + 0.5 * 0.49), 'none') AS subtask FROM grid g),
+window_runs AS (
+  SELECT r.episode_id, w.window_id, r.idx, r.t, CASE WHEN (r.idx + w.window_id) % 6 = 0 THEN 'other' ELSE r.subtask END AS subtask
+  FROM state_runs r JOIN frame_windows w ON w.episode_id = r.episode_id AND r.idx BETWEEN w.first_frame AND w.last_frame),
+run_latest AS (
+  SELECT episode_id, frame_idx, arg_max(subtask, window_id) AS subtask FROM (
+    SELECT w.episode_id, w.window_id, g.frame_idx, coalesce((SELECT arg_max(r.subtask, {{'t': r.t, 'i': r.idx}}) FROM window_runs r
+      WHERE r.episode_id = w.episode_id AND r.window_id = w.window_id AND r.t <= g.t + 0.5 * 0.49), 'none') AS subtask
+    FROM frame_windows w JOIN grid g ON g.episode_id = w.episode_id AND g.frame_idx BETWEEN w.first_frame AND w.last_frame) GROUP BY ALL),
+{frames_sql('run_', 'run_latest')}""")
 
 # ---- frames ---------------------------------------------------------------------------------------
 
 
 @query("sample_grid", """
-SELECT episode_id, k AS frame_idx, k * 0.25::DOUBLE AS t FROM episodes, unnest(range(100000)) u(k) WHERE k * 0.25 <= duration_s + 1e-6""")
+SELECT episode_id, k AS frame_idx, k * 0.25::DOUBLE AS t FROM episodes, unnest(range((duration_s / 0.25)::BIGINT + 2)) u(k) WHERE k * 0.25 <= duration_s + 1e-6""")
 def sample_grid(t: Tables):
     return fr.sample_grid(t.episodes, 0.25)
 
@@ -449,6 +505,13 @@ def expand_runs(t: Tables):
     return fr.expand_runs(state_runs(t), frame_windows(t)[0], split=t.split)
 
 
+@query("run_segments", "SELECT * FROM run_state_segments")
+def run_segments(t: Tables):
+    """Assembly from one row per change instead of one per frame."""
+    grid, windows = frame_windows(t)
+    return pr.assemble(window_runs(t), windows, "runs", grid=grid, split=t.split)
+
+
 # ---- proposals ------------------------------------------------------------------------------------
 
 @query("window_discipline", "SELECT episode_id, window_id, idx, start_s, end_s, label, n_windows FROM own")
@@ -472,7 +535,7 @@ def stitch_video(t: Tables):
 
 
 @query("previous_label", """
-SELECT w.*, (SELECT arg_max(p.label, p.window_id * 1000000 + p.idx) FROM own p WHERE p.episode_id = w.episode_id AND p.window_id < w.window_id) AS previous_label
+SELECT w.*, (SELECT arg_max(p.label, {'w': p.window_id, 'i': p.idx}) FROM own p WHERE p.episode_id = w.episode_id AND p.window_id < w.window_id) AS previous_label
 FROM clips w""")
 def previous_label(t: Tables):
     return pr.previous_label(fr.clip_windows(t.episodes), window_discipline(t), split=t.split)
@@ -498,6 +561,12 @@ def apply_subdivision(t: Tables):
     return pr.apply_subdivision(coarse(t), pieces(t), split=t.split)
 
 
+@query("subdivide_clips", subdivide_sql("coarse", "pieces_placed"))
+def subdivide_clips(t: Tables):
+    """Pieces timed from their parent's start."""
+    return pr.apply_subdivision(coarse(t), pieces(t, relative=True), relative=True, split=t.split)
+
+
 @query("refine_windows", """
 SELECT episode_id, idx AS boundary_idx, cand AS candidate, low, high, high - low >= 0.5 AND floor((high - low + 1e-6) / 0.25) + 1 >= 3 AS inspect, before, after FROM (
   SELECT *, greatest(0, cand - 1.5) AS low, least(duration_s, cand + 1.5) AS high FROM (
@@ -507,7 +576,8 @@ def refine_windows(t: Tables):
     return pr.refine_windows(coarse(t), t.episodes, split=t.split)
 
 
-block(f"fresh AS ({fresh_sql('coarse')}),{refine_sql('refined', 'fresh')},{label_sql('labelled', 'fresh')}")
+block(f"fresh AS ({fresh_sql('coarse')}),{refine_sql('refined', 'fresh')},"
+      f"{refine_sql('refined_v', 'fresh', 'clip_choices', 'video')},{label_sql('labelled', 'fresh')}")
 
 
 @query("apply_refinement", "SELECT * FROM refined")
@@ -515,6 +585,12 @@ def apply_refinement(t: Tables):
     return pr.apply_refinement(cl.to_segments(coarse(t)), choices(t), t.episodes, split=t.split)[0]
 
 
+@query("refine_clips", "SELECT * FROM refined_v")
+def refine_clips(t: Tables):
+    """Borders answered in seconds from the start of the inspected clip."""
+    return pr.apply_refinement(cl.to_segments(coarse(t)), choices(t, relative=True), t.episodes, mode="video", split=t.split)[0]
+
+
 @query("refinement_notes", "SELECT * FROM refined_n")
 def refinement_notes(t: Tables):
     return pr.apply_refinement(cl.to_segments(coarse(t)), choices(t), t.episodes, split=t.split)[1]

@@ -86,6 +86,16 @@ def frames_to_segments(t: Tables):
     return ing.to_seconds(monotonic_episodes(t), videos(t))
 
 
+@query("strict_frames", f"""
+SELECT m.episode_id, idx, {round_true_sql('s', 3)} AS start_s, {round_true_sql('e', 3)} AS end_s, label,
+  CASE WHEN abs(n_frames - last_end) > 2 THEN '; the recording is ' || printf('%+d', n_frames - last_end) || ' frames off the last step, times are cut to it' ELSE '' END AS note
+FROM (SELECT m.*, n_frames, last_end, least(start_frame / fps, duration_s) AS s, least(end_frame / fps, duration_s) AS e
+      FROM monotonic m JOIN videos USING (episode_id)) m WHERE e > s""")
+def strict_frames(t: Tables):
+    """One note for a difference in either direction."""
+    return ing.to_seconds(monotonic_episodes(t), videos(t), trailing=False)
+
+
 # ---- instruction tracks ---------------------------------------------------------------------------
 
 def order_numbers(t: Tables):
