@@ -16,6 +16,7 @@ Which plan to use is decided by counting (``needs_split``), never assumed.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -50,7 +51,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return path
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can read")
-    return tempfile.mkdtemp(prefix="spanlake-")
+    path = tempfile.mkdtemp(prefix="spanlake-")
+    spark.conf.set("spark.checkpoint.dir", path)  # one folder a session
+    return path
+
+
+_SCRATCH: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder; ``clear`` deletes all of this session's."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the scratch paths of this session; results that still read them must be written before."""
+    jvm = spark.sparkContext._jvm
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def durable(df: DataFrame) -> DataFrame:
