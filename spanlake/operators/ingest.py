@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.functions import text
@@ -173,10 +173,15 @@ def session_events(raw: DataFrame) -> DataFrame:
                        F.when(F.col("e.label") == COARSE, sentence).otherwise(fine_text(F.col("e.attributes"))).alias("text"))
 
 
-def eligible_sessions(events: DataFrame, min_fine: int = 3, min_coarse: int = 1) -> DataFrame:
-    """Events of the sessions with enough fine and coarse actions."""
-    good = events.groupBy("session").agg(F.count_if(F.col("kind") == "fine").alias("_f"),
-                                         F.count_if(F.col("kind") == "coarse").alias("_c"))
+def eligible_sessions(events: DataFrame, min_fine: int = 3, min_coarse: int = 1, split: bool | None = None) -> DataFrame:
+    """Events of the sessions with enough fine and coarse actions. Small sessions are counted in the window whose
+    shuffle later steps reuse; otherwise counts are combined before they move."""
+    fine, coarse = F.col("kind") == "fine", F.col("kind") == "coarse"
+    if not decide(split, (events, ["session"])):
+        w = Window.partitionBy("session")
+        rows = events.withColumns({"_f": F.count_if(fine).over(w), "_c": F.count_if(coarse).over(w)})
+        return rows.filter((F.col("_f") >= min_fine) & (F.col("_c") >= min_coarse)).drop("_f", "_c")
+    good = events.groupBy("session").agg(F.count_if(fine).alias("_f"), F.count_if(coarse).alias("_c"))
     good = good.filter((F.col("_f") >= min_fine) & (F.col("_c") >= min_coarse))
     return events.join(good.select("session"), "session", "left_semi")
 
@@ -239,9 +244,16 @@ def trim_fine(assigned: DataFrame, split: bool | None = None) -> DataFrame:
 
 def steps_from_events(raw: DataFrame, videos: DataFrame | None = None, max_sec: float = 180.0,
                       split: bool | None = None) -> tuple[DataFrame, DataFrame]:
-    """(episodes, gold) from coarse/fine sessions: chunks of at least 2 s become episodes
-    ``<session>_<nn>``, fine actions their segments. ``videos``: (session, duration_s)."""
-    events = eligible_sessions(session_events(raw))
+    """``session_steps`` of nested sessions (``schema.SESSION_EVENTS``)."""
+    return session_steps(session_events(raw), videos, max_sec, split)
+
+
+def session_steps(events: DataFrame, videos: DataFrame | None = None, max_sec: float = 180.0,
+                  split: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """(episodes, gold) from the events of coarse/fine sessions, as from ``session_events``: chunks of at least
+    2 s become episodes ``<session>_<nn>``, fine actions their segments. ``videos``: (session, duration_s)."""
+    split = decide(split, (events, ["session"]))
+    events = eligible_sessions(events, split=split)
     chunks = chunk_bounds(chunk_sessions(events.filter("kind = 'coarse'"), max_sec, split))
     if videos is not None:
         chunks = chunks.join(videos.select("session", "duration_s"), "session").withColumn(
@@ -251,7 +263,7 @@ def steps_from_events(raw: DataFrame, videos: DataFrame | None = None, max_sec:
     number = F.col("chunk").cast("string")
     episode = F.concat("session", F.lit("_"), F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number))
     gold = gold.withColumn("episode_id", episode)
-    kinds = raw.select(F.col("video_name").alias("session"), F.col("taskType").alias("task_type")).distinct()
+    kinds = events.groupBy("session").agg(F.max("task_type").alias("task_type"))
     used = chunks.join(gold.select("session", "chunk").distinct(), ["session", "chunk"], "left_semi")
     episodes = used.join(kinds, "session").select(
         episode.alias("episode_id"), F.coalesce(F.nullif("instruction", F.lit("")), "task_type", F.lit("")).alias("instruction"),

@@ -219,8 +219,8 @@ def skill_steps(t: Tables):
 
 # ---- coarse/fine sessions -------------------------------------------------------------------------
 
-def session_raw(t: Tables):
-    """Every line is a coarse action with two ragged fine actions inside and around it."""
+def _session_parts(t: Tables):
+    """Every line is a coarse action with two ragged fine actions inside and around it: (l_orderkey, x)."""
     p, q = F.col("l_partkey"), F.col("qty")
     s10 = (F.col("pos") * 30 + p % 7) * 10
     sentence = F.concat(F.lit("do "), (p % 9).cast("string"))
@@ -232,12 +232,19 @@ def session_raw(t: Tables):
                         sentence.alias("a"), verb.alias("v"), noun.alias("n"))
 
     events = F.array(event(0, s10, s10 + q * 10), event(1, s10 - 5, s10 + q * 5), event(2, s10 + q * 4, s10 + q * 9 + (p % 3) * 20))
-    rows = lines(t).select("l_orderkey", F.explode(events).alias("x"))
-    raw = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("x")).alias("_a"))
+    return lines(t).select("l_orderkey", F.explode(events).alias("x"))
+
+
+def _fine(x):
+    return F.create_map(F.lit("Verb"), x["v"], F.lit("Adjective"), F.lit(" None "), F.lit("Noun"), x["n"])
+
+
+def session_raw(t: Tables):
+    """The sessions as their layout nests them."""
+    raw = _session_parts(t).groupBy("l_orderkey").agg(F.sort_array(F.collect_list("x")).alias("_a"))
 
     def shape(x):
-        coarse = x["k"] == 0
-        fine = F.create_map(F.lit("Verb"), x["v"], F.lit("Adjective"), F.lit(" None "), F.lit("Noun"), x["n"])
+        coarse, fine = x["k"] == 0, _fine(x)
         return F.struct(F.when(coarse, ing.COARSE).otherwise(ing.FINE).alias("label"), x["s"].alias("start"), x["e"].alias("end"),
                         F.when(coarse, F.create_map(F.lit("Action sentence"), x["a"])).otherwise(fine).alias("attributes"))
 
@@ -285,18 +292,24 @@ session_gold AS (
         FROM (SELECT *, unnest(range(1, len(acc) + 1)) AS i FROM fine_lists)))""")
 
 
-def session_events(t: Tables):
-    return ing.session_events(session_raw(t))
+def session_flat(t: Tables):
+    """The same sessions as flat events, so that no session is ever one row."""
+    x = F.col("x")
+    coarse = x["k"] == 0
+    return _session_parts(t).select(
+        F.concat(F.lit("s"), F.col("l_orderkey").cast("string")).alias("session"), F.lit("assembly").alias("task_type"),
+        (x["pos"] * 3 + x["k"]).cast("long").alias("idx"), F.when(coarse, "coarse").otherwise("fine").alias("kind"),
+        x["s"].alias("start_s"), x["e"].alias("end_s"), F.when(coarse, x["a"]).otherwise(ing.fine_text(_fine(x))).alias("text"))
 
 
 @query("session_events", "SELECT *, 'assembly' AS task_type FROM session_events")
-def session_events_query(t: Tables):
-    return session_events(t)
+def session_events(t: Tables):
+    return ing.session_events(session_raw(t))
 
 
 @query("eligible_sessions", "SELECT *, 'assembly' AS task_type FROM eligible")
 def eligible_sessions(t: Tables):
-    return ing.eligible_sessions(session_events(t))
+    return ing.eligible_sessions(session_flat(t), split=t.order_split)
 
 
 @query("session_chunks", "SELECT * FROM chunks")
@@ -312,7 +325,7 @@ def fine_assignment(t: Tables):
 
 @query("session_segments", "SELECT * FROM session_gold")
 def session_segments(t: Tables):
-    return ing.steps_from_events(session_raw(t), max_sec=MAX_SEC, split=t.order_split)[1]
+    return ing.session_steps(session_flat(t), max_sec=MAX_SEC, split=t.order_split)[1]
 
 
 @query("session_episodes", """
