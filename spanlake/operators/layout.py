@@ -260,7 +260,8 @@ def fold_groups(df: DataFrame, keys: Sequence[str], order: Sequence, item: Colum
         return lists.select(*keys, folded.alias("_f"))
 
     def rows_of(folded: DataFrame) -> DataFrame:
-        return folded.select(*keys, F.explode("_f.trail").alias("_t")).select(
+        # No slice is empty; the outer form keeps the optimizer from folding once more to test for that.
+        return folded.select(*keys, F.explode_outer("_f.trail").alias("_t")).select(
             *keys, "_t.item.*", F.col("_t.before").alias("before"), F.col("_t.after").alias("after"))
 
     if not source.split:

@@ -192,7 +192,8 @@ def _fold(pairs: DataFrame, group: Sequence[str]) -> DataFrame:
         .otherwise(F.concat(acc, F.array(x))))
     # A stretch of one pair, the common case, needs no fold.
     accepted = F.when(F.size("_c") == 1, F.col("_c")).otherwise(accepted)
-    return (ranked.select(*group, F.explode(accepted).alias("_m"))
+    # The outer form (no list is empty) keeps the optimizer from folding once more to test for that.
+    return (ranked.select(*group, F.explode_outer(accepted).alias("_m"))
             .select(*group, *(F.col("_m")[c].alias(c) if c != "iou" else (-F.col("_m")["n_iou"]).alias("iou")
                               for c in fields)))
 
