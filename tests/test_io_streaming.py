@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanlake.fixtures import Tables
 from spanlake.functions import phrases
 from spanlake.functions.phrases import skill_phrase
-from spanlake.operators import clean, ingest, scoring
+from spanlake.operators import clean, ingest, layout, scoring
 from spanlake.plans.catalog import ORACLES, QUERIES
 from spanlake.sources import readers, writers
 from spanlake.streaming import scoring as live
@@ -178,17 +178,27 @@ def test_plans_have_no_cross_joins(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string>" in plan
 
 
-CHECKED = list(ORACLES) if os.environ.get("ALL_QUERIES") else ["evaluate_run", "greedy_match", "clean_segments", "state_segments", "session_segments"]
+def test_scratch_is_deleted(spark):
+    layout.clear(spark)
+    assert QUERIES["checkpoint_rows"](spark, SF).count() > 0
+    [path] = layout._SCRATCH
+    assert os.listdir(path)
+    layout.clear(spark)
+    assert not os.path.exists(path) and layout._SCRATCH == []
 
 
+CHECKED = list(ORACLES) if os.environ.get("ALL_QUERIES") else ["evaluate_run", "failure_classes", "clean_segments", "run_segments", "session_segments"]
+
+
+@pytest.mark.parametrize("split", [False, True], ids=["windows", "split"])
 @pytest.mark.parametrize("name", CHECKED)
-def test_query_equals_sql(spark, name):
+def test_query_equals_sql(spark, name, split):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
     for f in os.listdir(SF):
         con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
-    df = QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF, split=split)
     result = con.execute(ORACLES[name])
     names = [d[0] for d in result.description]
     assert sorted(names) == sorted(df.columns)
