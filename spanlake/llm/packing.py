@@ -109,9 +109,19 @@ def tokenised(docs: DataFrame, path: str | None = None, ranks_path: str | None =
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
     """Runs (length, first rank, ranks, first sequence, offset) that place counts[length] pieces of every length.
 
+    Pieces that open sequences either share them with their own length or leave all the room to shorter ones. Neither
+    is better for all counts, so both are planned and the one with fewer sequences is taken.
+    """
+    return min((_planned(counts, capacity, shared) for shared in (True, False)), key=lambda runs: max((first + n for *_, n, first, _ in runs), default=0))
+
+
+def _planned(counts: dict[int, int], capacity: int, shared: bool) -> list[tuple[int, int, int, int, int]]:
+    """The runs of one plan.
+
     State: per length the next rank to place; per gap size the runs of sequences with that gap, (first sequence, how
     many). A round sweeps the lengths that are left from the longest to the shortest over the gaps as they were when
-    the round began, so a gap takes one piece a round; the lengths above half the capacity open their sequences first.
+    the round began, so a gap takes one piece a round. A length that no gap holds opens sequences: with shared as few
+    as hold its pieces, capacity // length in each, otherwise one a piece.
     """
     left = {k: n for k, n in counts.items() if n}
     if any(not 0 < k <= capacity for k in left):
@@ -133,8 +143,16 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
         todo = sorted((k for k, n in left.items() if n), reverse=True)
         widest = max(gaps, default=0)
         if todo[0] > widest:
-            put(todo[0], capacity, sequences, n := left[todo[0]], gaps)
-            sequences += n
+            length = todo[0]
+            layers = capacity // length if shared else 1
+            full, more = divmod(left[length], layers)
+            for k in range(layers):
+                last = k == layers - 1
+                if full:
+                    put(length, capacity - k * length, sequences, full, gaps if last else {})
+                if k < more:
+                    put(length, capacity - k * length, sequences + full, 1, gaps if k == more - 1 else {})
+            sequences += full + bool(more)
             continue
         # One sweep: every class onto its successor gaps, longer pieces first; filled gaps reopen in the next round.
         sizes, after = np.array(sorted(gaps)), {}

@@ -270,6 +270,20 @@ def test_packing_plan_is_gapless():
         [(0, 1)], [(0, 2048)], [(0, 1), (1, 2048)], [(0, 904), (904, 2048), (2952, 2048)]]
 
 
+@pytest.mark.parametrize("counts, most", [({100: 1_000}, 50), ({1: 5_000}, 3), ({300: 1_000, 50: 300, 20: 200}, 167), ({1_000: 100, 524: 200}, 100)])
+def test_packing_hot_length(counts, most):
+    """Pieces of one hot length share the sequences they open, where that takes fewer sequences."""
+    fill, placed, ranks = Counter(), Counter(), set()
+    for length, rank, n, first, offset in sorted(packing.plan(counts), key=lambda r: r[4]):
+        placed[length] += n
+        ranks |= {(length, r) for r in range(rank, rank + n)}
+        for s in range(first, first + n):
+            assert fill[s] == offset
+            fill[s] += length
+    assert placed == counts and len(ranks) == sum(counts.values()) and max(fill.values()) <= 2048
+    assert sorted(fill) == list(range(len(fill))) and len(fill) <= most
+
+
 def plain_segments(scores):
     """Recursive definition: the best segment (first, shortest), then the same to its left and right."""
     best = max(((sum(scores[i:j]), -i, i - j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=(0, 0, 0))
