@@ -1,14 +1,18 @@
 """Main text of web pages by wrapper induction.
 
-Per host a few pages are aligned by simple tree matching: the largest common top-down mapping of two DOM trees that
-keeps the order of children. Nodes that are matched on all of them and say the same are the host's template; nodes
-that say something else are slots. The content slot is the innermost node that holds most of the varying text. A page
-is then read from its content slot, without what is boilerplate by its element, role or class, and without template
-nodes that are no prose. A page that lacks its host's slot, or a host with a single page, is cut by the same choice of
-the innermost node that holds most of the text.
-
-Null html is empty. The wrapper of a host is fitted on at most ``SAMPLE_PAGES`` pages, those with the smallest hash in
-each of as many classes; every page is read whole. Pages without a host form one group.
+Per host and layout every distinct page is aligned with one of them, the reference, by simple tree matching: the largest
+common top-down mapping of two DOM trees that keeps the order of children. Nodes of the reference that say the same on
+all pages that have them, and that most pages have, are the layout's template; what is no template is varying text. The
+content slot is the lowest common ancestor of the varying text. A page is read from the layout's slot, widened to all
+varying text of the page, without what is boilerplate by its element, role or class, and without template nodes that are
+no prose. A page without a wrapper is read from the lowest common ancestor of its text.
+
+A layout is the names of the sections at the page's first branching. Pages that are alone in their layout form one more
+layout of their host. Alignment works on skeletons (names, words and text hashes), whole whatever their size, and sums
+its counts per task, so no task sees all pages of a host. Sizes of mappings depend on shapes alone and are kept per pair
+of shapes; equal subtrees at both ends of two lists of children are matched without search.
+
+Null html is empty. Pages without a host form one group.
 """
 
 from __future__ import annotations
@@ -19,21 +23,20 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.llm.common import written
 from spanlake.llm.url_filter import host_of
 
-SAMPLE_PAGES = 6
-#: Elements and levels of a page that take part in an alignment; the pages themselves are read whole.
-ALIGNED_NODES = 2_000
-ALIGNED_DEPTH = 100
-#: Share of the text that the content slot must hold.
-SHARE = 0.6
-#: Hosts up to which their wrappers are broadcast; beyond it they are joined by shuffle.
-BROADCAST_HOSTS = 20_000
+#: Bytes of references or wrappers up to which they are broadcast; beyond it they are joined by shuffle.
+BROADCAST_BYTES = 64_000_000
+#: Groups whose counts a task holds before it hands them on, and cells of an alignment table before it is divided.
+TASK_GROUPS = 1_000
+TABLE_CELLS = 20_000_000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*+(?:=\s*+("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -48,14 +51,15 @@ _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _SCOPE = frozenset("ul ol dl table div article section main body html nav aside footer header form td th li blockquote".split())
 _NOISE = re.compile(r"""(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|header|masthead|ads?|adv|advert\w*|banner|promo\w*|sponsor\w*|cookies?|
 notices?|alert|consent|gdpr|popup|modal|overlay|newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|disqus|respond|replies|widget|login|signup|search|pagination|pager|toc)(?:$|[\s_-])""", re.X | re.I)
+_SECTIONS = frozenset("html body center div section article main header table".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
 
 class Node:
-    __slots__ = ("tag", "mark", "noise", "kids")
+    __slots__ = ("tag", "mark", "noise", "kids", "own")
 
-    def __init__(self, tag: str, mark: str = "", noise: bool = False):
-        self.tag, self.mark, self.noise, self.kids = tag, mark, noise, []
+    def __init__(self, tag: str, mark: str = "", noise: bool = False, own: int | None = None):
+        self.tag, self.mark, self.noise, self.kids, self.own = tag, mark, noise, [], own
 
     @property
     def name(self) -> str:
@@ -126,7 +130,12 @@ def _is_noise(node: Node, inside: bool) -> bool:
     return node.noise
 
 
-def blocks(node: Node, skip=lambda path, node: False) -> list[str]:
+def _step(path: int, name: str) -> int:
+    """Hash of a path with one more name; the root's is 0."""
+    return xxhash.xxh64_intdigest(name.encode("utf-8", "replace"), path)
+
+
+def blocks(node: Node, skip=lambda node: False) -> list[str]:
     """Texts of the blocks below a node in page order, white space collapsed, without boilerplate."""
     out: list[str] = []
     parts: list[str] = []
@@ -137,154 +146,287 @@ def blocks(node: Node, skip=lambda path, node: False) -> list[str]:
         if text:
             out.append(text)
 
-    todo: list = [(node, "")]
+    todo: list = [node]
     while todo:
-        x, path = todo.pop()
+        x = todo.pop()
         if isinstance(x, str):
             parts.append(x)
         elif x is None:
             flush()
-        elif x is node or not (_is_noise(x, True) or skip(path, x)):
+        elif x is node or not (_is_noise(x, True) or skip(x)):
             if x.tag == "br":
                 parts.append(" ")
                 continue
             block = x.tag in _BLOCK or x is node
             if block:
                 flush()
-                todo.append((None, ""))
-            todo.extend((k, f"{path}/{k.name}" if isinstance(k, Node) else path) for k in reversed(x.kids))
+                todo.append(None)
+            todo.extend(reversed(x.kids))
     flush()
     return out
 
 
-def _weights(root: Node) -> dict[int, int]:
-    """Letters below every node, without boilerplate and links, by id(node)."""
-    out: dict[int, int] = {}
+def _own_text(node: Node) -> str:
+    return " ".join(" ".join(k for k in node.kids if isinstance(k, str)).split())
+
+
+def _own_hash(node: Node) -> int:
+    """Hash of a node's own text, 0 if it has none."""
+    if node.own is None:
+        text = _own_text(node)
+        node.own = xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) | 1 if text else 0
+    return node.own
+
+
+def _elements(node: Node) -> list[Node]:
+    return [k for k in node.kids if isinstance(k, Node)]
+
+
+def content(root: Node, varying: dict[int, int], slots: set[int] = frozenset()) -> Node | None:
+    """Lowest common ancestor of the words in varying (by id(node), without links and boilerplate), not below a slot,
+    prose, or an article or main element; the one article or main among siblings is taken before them."""
     order, todo = [], [root]
     while todo:
         x = todo.pop()
         order.append(x)
-        todo.extend(k for k in x.kids if isinstance(k, Node) and not _is_noise(k, x.tag in ("article", "main")) and k.tag != "a")
+        todo.extend(k for k in x.kids if isinstance(k, Node) and not _is_noise(k, True) and k.tag != "a")
+    weights: dict[int, int] = {}
     for x in reversed(order):
-        out[id(x)] = sum(len(k.split()) if isinstance(k, str) else out.get(id(k), 0) for k in x.kids)
-    return out
-
-
-def content_path(root: Node, weights: dict[int, int]) -> list[Node]:
-    """Nodes from the root to the innermost one that holds most of the weight; an article or main element ends it."""
-    path, x = [root], root
-    while x.tag not in ("article", "main"):
+        weights[id(x)] = varying.get(id(x), 0) + sum(weights.get(id(k), 0) for k in x.kids if isinstance(k, Node))
+    x = root
+    if not weights[id(root)]:
+        return None
+    while x.tag not in ("article", "main") and id(x) not in slots:
         kids = [k for k in x.kids if isinstance(k, Node) and weights.get(id(k), 0)]
         named = [k for k in kids if k.tag in ("article", "main")]
-        best = max(named or kids, key=lambda k: weights[id(k)], default=None)
-        if best is None or best.tag in _PROSE or (not named and weights[id(best)] < SHARE * weights[id(x)]) or best.tag not in _BLOCK:
+        if len(named) == 1:
+            x = named[0]
+        elif len(kids) == 1 and not varying.get(id(x), 0) and kids[0].tag in _BLOCK and kids[0].tag not in _PROSE:
+            x = kids[0]
+        else:
             break
-        path.append(best)
-        x = best
-    return path
+    return x
 
 
-def match(a: Node, b: Node, size: dict[tuple[int, int], int]) -> int:
-    """Simple tree matching: nodes in the largest mapping that has the roots matched and keeps the children's order."""
-    if a.name != b.name:
-        return 0
-    got = size.get((id(a), id(b)))
-    if got is not None:
-        return got
-    left, right = ([k for k in x.kids if isinstance(k, Node)] for x in (a, b))
-    row = [0] * (len(right) + 1)
-    for x in left:
-        before, row = row, [0] * (len(right) + 1)
-        for j, y in enumerate(right):
-            row[j + 1] = max(row[j], before[j + 1], before[j] + match(x, y, size) if x.name == y.name else 0)
-    size[id(a), id(b)] = row[-1] + 1
-    return row[-1] + 1
-
-
-def aligned(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """The matched pairs of nodes."""
-    size: dict[tuple[int, int], int] = {}
-    match(a, b, size)
-    out, todo = [], [(a, b)] if a.name == b.name else []
+def layout(root: Node) -> int:
+    """Hash of the names of the sections down to the first node that has other than one section, or content itself."""
+    x, out = root, 0
+    while True:
+        out = _step(out, x.name)
+        kids = [k for k in _elements(x) if not _is_noise(k, True) and k.tag in _SECTIONS]
+        if len(kids) != 1 or x.tag in ("article", "main") or _own_text(x) or any(k.tag in _PROSE for k in _elements(x)):
+            break
+        x = kids[0]
+    if x.tag not in ("article", "main"):
+        for name in sorted({k.name for k in kids}):
+            out = _step(out, name)
+    return out - (1 << 64) if out >> 63 else out
+
+
+class Shapes:
+    """Numbers for the shapes of subtrees (names alone) and for equal subtrees (names and texts), and the sizes of the
+    largest mappings between shapes."""
+
+    def __init__(self):
+        self.numbers: dict[tuple, int] = {}
+        self.names: dict[int, str] = {}
+        self.kids: dict[int, np.ndarray] = {}
+        self.nodes: dict[int, int] = {}
+        self.sizes: dict[tuple[int, int], int] = {}
+
+    def of(self, root: Node) -> dict[int, tuple[int, int]]:
+        """(shape, subtree) of every node, by id(node)."""
+        order, todo, out = [], [root], {}
+        while todo:
+            x = todo.pop()
+            order.append(x)
+            todo.extend(_elements(x))
+        for x in reversed(order):
+            below = [out[id(k)] for k in _elements(x)]
+            shapes = tuple(s for s, _ in below)
+            shape = self.numbers.setdefault(("s", x.name, shapes), len(self.numbers))
+            if shape not in self.kids:
+                self.names[shape], self.kids[shape] = x.name, np.array(shapes, np.int64)
+                self.nodes[shape] = 1 + sum(self.nodes[s] for s in shapes)
+            out[id(x)] = shape, self.numbers.setdefault(("t", x.name, _own_hash(x), tuple(t for _, t in below)), len(self.numbers))
+        return out
+
+    def table(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sizes between the distinct shapes of two lists, and the rows and columns of their items; all must be known."""
+        a, rows = np.unique(left, return_inverse=True)
+        b, cols = np.unique(right, return_inverse=True)
+        return np.array([[self._known(x, y) for y in b.tolist()] for x in a.tolist()], np.int64).reshape(len(a), len(b)), rows, cols
+
+    def _known(self, a: int, b: int) -> int | None:
+        return 0 if self.names[a] != self.names[b] else self.nodes[a] if a == b else self.sizes.get((a, b))
+
+    def size(self, a: int, b: int) -> int:
+        """Nodes in the largest mapping between two shapes that has the roots matched."""
+        todo = [(a, b)]
+        while todo:
+            x, y = todo[-1]
+            if self._known(x, y) is not None:
+                todo.pop()
+                continue
+            left, right = self.kids[x], self.kids[y]
+            lo, hi = _same_ends(left, right)
+            same = int(sum(self.nodes[s] for s in left[:lo].tolist()) + sum(self.nodes[s] for s in left[len(left) - hi:].tolist()))
+            left, right = left[lo:len(left) - hi], right[lo:len(right) - hi]
+            names: dict[str, list[int]] = {}
+            for s in dict.fromkeys(right.tolist()):
+                names.setdefault(self.names[s], []).append(s)
+            missing = [(p, q) for p in dict.fromkeys(left.tolist()) for q in names.get(self.names[p], ()) if self._known(p, q) is None]
+            if missing:
+                todo += missing
+                continue
+            table, rows, cols = self.table(left, right)
+            row = np.zeros(len(right) + 1, np.int64)
+            for r in rows:
+                row = _next_row(row, table[r][cols])
+            self.sizes[x, y] = 1 + same + int(row[-1])
+            todo.pop()
+        return self._known(a, b)
+
+
+def _same_ends(left: np.ndarray, right: np.ndarray) -> tuple[int, int]:
+    """How many items agree from the front, and of the rest from the back."""
+    n = min(len(left), len(right))
+    differ = np.flatnonzero(left[:n] != right[:n])
+    lo = int(differ[0]) if len(differ) else n
+    differ = np.flatnonzero(left[len(left) - n + lo:][::-1] != right[len(right) - n + lo:][::-1])
+    return lo, int(differ[0]) if len(differ) else n - lo
+
+
+def _next_row(row: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    out = np.maximum(row[1:], row[:-1] + weights)
+    return np.concatenate([row[:1], np.maximum.accumulate(out)])
+
+
+def _paired(left: np.ndarray, right: np.ndarray, weight) -> list[tuple[int, int]]:
+    """Pairs of the heaviest order-keeping matching; weight(i, items) are the weights of an item of left with items of
+    right. Halved, in linear memory, where the table would have more than TABLE_CELLS cells."""
+    out: list[tuple[int, int]] = []
+    todo = [(left, right)]
     while todo:
-        x, y = todo.pop()
-        out.append((x, y))
-        left, right = ([k for k in n.kids if isinstance(k, Node)] for n in (x, y))
-        table = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-        for i, p in enumerate(left):
-            for j, q in enumerate(right):
-                table[i + 1][j + 1] = max(table[i + 1][j], table[i][j + 1], table[i][j] + size.get((id(p), id(q)), 0))
-        i, j = len(left), len(right)
+        rows, cols = todo.pop()
+        if not len(rows) or not len(cols):
+            continue
+        if len(rows) > 1 and (len(rows) + 1) * (len(cols) + 1) > TABLE_CELLS:
+            half = len(rows) // 2
+            before = after = np.zeros(len(cols) + 1, np.int64)
+            for i in rows[:half]:
+                before = _next_row(before, weight(i, cols))
+            for i in rows[half:][::-1]:
+                after = _next_row(after, weight(i, cols)[::-1])
+            cut = int(np.argmax(before + after[::-1]))
+            todo += [(rows[:half], cols[:cut]), (rows[half:], cols[cut:])]
+            continue
+        table = np.zeros((len(rows) + 1, len(cols) + 1), np.int64)
+        for k, i in enumerate(rows):
+            table[k + 1] = _next_row(table[k], weight(i, cols))
+        i, j = len(rows), len(cols)
         while i and j:
-            if table[i][j] == table[i - 1][j]:
+            if table[i, j] == table[i - 1, j]:
                 i -= 1
-            elif table[i][j] == table[i][j - 1]:
+            elif table[i, j] == table[i, j - 1]:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                todo.append((left[i], right[j]))
+                out.append((int(rows[i]), int(cols[j])))
     return out
 
 
-def _trimmed(node: Node, budget: list[int], depth: int = ALIGNED_DEPTH) -> Node:
-    """A copy with a bounded number of elements and levels, for the alignment."""
-    out = Node(node.tag, node.mark, node.noise)
-    for k in node.kids:
-        if isinstance(k, str):
-            out.kids.append(k)
-        elif budget[0] > 0 and depth:
-            budget[0] -= 1
-            out.kids.append(_trimmed(k, budget, depth - 1))
-    return out
+def match(a: Node, b: Node, size: dict[tuple[int, int], int]) -> int:
+    """Simple tree matching: nodes in the largest mapping that has the roots matched and keeps the children's order."""
+    shapes = Shapes()
+    size[id(a), id(b)] = n = shapes.size(shapes.of(a)[id(a)][0], shapes.of(b)[id(b)][0])
+    return n
 
 
-def _own_text(node: Node) -> str:
-    return " ".join(" ".join(k for k in node.kids if isinstance(k, str)).split())
+def aligned(a: Node, b: Node) -> list[tuple[Node, Node]]:
+    """The matched pairs of nodes; of mappings of one size one that pairs equal subtrees."""
+    shapes = Shapes()
+    of = shapes.of(a) | shapes.of(b)
+    if a.name != b.name:
+        return []
+    out, todo = [], [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        out.append((x, y))
+        left, right = _elements(x), _elements(y)
+        (sa, ta), (sb, tb) = (np.array([of[id(k)] for k in kids], np.int64).reshape(-1, 2).T for kids in (left, right))
+        lo, hi = _same_ends(ta, tb)
+        todo += zip(left[:lo] + left[len(left) - hi:], right[:lo] + right[len(right) - hi:])
+        rows, cols = np.arange(lo, len(left) - hi), np.arange(lo, len(right) - hi)
+        if not len(rows) or not len(cols):
+            continue
+        for p in set(sa[rows].tolist()):
+            for q in set(sb[cols].tolist()):
+                shapes.size(p, q)
+        table, at, to = shapes.table(sa[rows], sb[cols])
+        found = _paired(rows, cols, lambda i, js: 2 * table[at[i - lo]][to[js - lo]] + (ta[i] == tb[js]))
+        todo += ((left[i], right[j]) for i, j in found if left[i].name == right[j].name)
+    return out
 
 
-def induce(sources: list[str]) -> dict:
-    """Wrapper of pages of one host: slot (names from the root down) and template ([path, text] of constant nodes)."""
-    distinct = sorted(set(sources))[:SAMPLE_PAGES]
-    trees = [_trimmed(parse(s), [ALIGNED_NODES]) for s in distinct]
-    if len(trees) < 2:
-        return {}
-    first = trees[0]
-    paths: dict[int, str] = {id(first): ""}
-    todo = [first]
+def skeleton(root: Node) -> bytes:
+    """What alignment needs of a page: names, numbers of children, words and text hashes, without boilerplate."""
+    names, numbers, owns, todo = [], [], [], [root]
     while todo:
         x = todo.pop()
+        kids = [k for k in _elements(x) if not _is_noise(k, True)]
+        names.append(x.name)
+        numbers.append((len(kids), len(_own_text(x).split())))
+        owns.append(_own_hash(x))
+        todo.extend(reversed(kids))
+    return len(names).to_bytes(4, "little") + np.array(numbers, "<u4").tobytes() + np.array(owns, "<u8").tobytes() + "\n".join(names).encode("utf-8", "replace")
+
+
+def from_skeleton(raw: bytes) -> tuple[list[Node], np.ndarray]:
+    """The nodes in page order, the root first, and their words."""
+    n = int.from_bytes(raw[:4], "little")
+    numbers, owns = np.frombuffer(raw, "<u4", 2 * n, 4).reshape(n, 2), np.frombuffer(raw, "<u8", n, 4 + 8 * n).tolist()
+    nodes: list[Node] = []
+    open_: list[list] = []
+    for name, kids, own in zip(raw[4 + 16 * n:].decode().split("\n"), numbers[:, 0].tolist(), owns):
+        tag, _, mark = name.partition(".")
+        node = Node(tag, mark, False, own)
+        if open_:
+            open_[-1][0].kids.append(node)
+            open_[-1][1] -= 1
+        nodes.append(node)
+        open_.append([node, kids])
+        while open_ and not open_[-1][1]:
+            open_.pop()
+    return nodes, numbers[:, 1]
+
+
+_reference = lru_cache(maxsize=64)(from_skeleton)
+
+
+def agreement(reference: bytes, page: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Per node of the reference whether the page has it, and whether it says the same there."""
+    nodes, _ = _reference(reference)
+    at = {id(x): i for i, x in enumerate(nodes)}
+    has, same = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
+    for x, y in aligned(nodes[0], from_skeleton(page)[0][0]):
+        has[at[id(x)]], same[at[id(x)]] = 1, x.own == y.own
+    return has, same
+
+
+def induced(reference: bytes, pages: int, has: np.ndarray, same: np.ndarray) -> dict:
+    """Wrapper of a layout from the counts over its other pages: constant (pairs of the hashes of path and text) and slot
+    (hash of its path)."""
+    nodes, words = from_skeleton(reference)
+    paths = {id(nodes[0]): 0}
+    for x in nodes:
         for k in x.kids:
-            if isinstance(k, Node):
-                paths[id(k)] = f"{paths[id(x)]}/{k.name}"
-                todo.append(k)
-    texts: dict[int, list[str]] = {}
-    for other in trees[1:]:
-        for a, b in aligned(first, other):
-            texts.setdefault(id(a), []).append(_own_text(b))
-    constant: set[int] = set()
-    nodes = {id(first): first}
-    todo = [first]
-    while todo:
-        x = todo.pop()
-        nodes[id(x)] = x
-        todo.extend(k for k in x.kids if isinstance(k, Node))
-    for i, x in nodes.items():
-        own = _own_text(x)
-        if own and len(texts.get(i, ())) == len(trees) - 1 and all(t == own for t in texts[i]):
-            constant.add(i)
-    # Weigh only what varies.
-    weights: dict[int, int] = {}
-    order, todo = [], [first]
-    while todo:
-        x = todo.pop()
-        order.append(x)
-        todo.extend(k for k in x.kids if isinstance(k, Node) and not _is_noise(k, x.tag in ("article", "main")) and k.tag != "a")
-    for x in reversed(order):
-        weights[id(x)] = (0 if id(x) in constant else len(_own_text(x).split())) + sum(weights.get(id(k), 0) for k in x.kids if isinstance(k, Node))
-    if not weights[id(first)]:
+            paths[id(k)] = _step(paths[id(x)], k.name)
+    constant = (words > 0) & (has == same) & (has > 0) & (2 * (has + 1) > pages)
+    slot = content(nodes[0], {id(x): int(n) for x, n, c in zip(nodes, words, constant) if n and not c})
+    if slot is None:
         return {}
-    slot = [x.name for x in content_path(first, weights)][1:]
-    return {"slot": slot, "template": sorted({(paths[i], _own_text(nodes[i])) for i in constant if nodes[i].tag not in _PROSE})} if slot else {}
+    return {"slot": paths[id(slot)], "constant": sorted({(paths[id(x)], x.own) for x, c in zip(nodes, constant) if c})}
 
 
 def extract(source: str | None, wrapper: dict) -> str:
@@ -292,42 +434,119 @@ def extract(source: str | None, wrapper: dict) -> str:
     if not source:
         return ""
     root = parse(source)
-    found: list[tuple[Node, str]] = [(root, "")]
-    for name in wrapper.get("slot") or ():
-        found = [(k, f"{path}/{name}") for x, path in found for k in x.kids if isinstance(k, Node) and k.name == name]
-    if not wrapper.get("slot") or not found:
-        return "\n".join(blocks(content_path(root, _weights(root))[-1]))
-    template = {tuple(x) for x in wrapper["template"]}
-    out: list[str] = []
-    for node, base in found:
-        out += blocks(node, lambda path, x, base=base: x.tag not in _PROSE and (base + path, _own_text(x)) in template)
-    return "\n".join(out)
+    constant = wrapper.get("constant") or ()
+    words: dict[int, int] = {}
+    fixed: set[int] = set()
+    slots: set[int] = set()
+    todo = [(root, 0)]
+    while todo:
+        x, path = todo.pop()
+        if own := _own_hash(x):
+            words[id(x)] = len(_own_text(x).split())
+            if constant and (path, own) in constant:
+                fixed.add(id(x))
+        if path == wrapper.get("slot"):
+            slots.add(id(x))
+        todo.extend((k, _step(path, k.name) if wrapper else 0) for k in _elements(x) if not _is_noise(k, True))
+    slot = content(root, {i: n for i, n in words.items() if i not in fixed}, slots)
+    if slot is None:    # nothing varies, or no text outside links: the page as it is
+        return "\n".join(blocks(content(root, words) or root))
+    return "\n".join(blocks(slot, lambda x: id(x) in fixed and x.tag not in _PROSE))
 
 
 @lru_cache(maxsize=4096)
 def _loaded(wrapper: str | None) -> dict:
-    return json.loads(wrapper) if wrapper else {}
+    if not wrapper:
+        return {}
+    made = json.loads(wrapper)
+    return {"slot": made["slot"], "constant": {tuple(x) for x in made["constant"]}} if made else {}
+
+
+def _small(table: DataFrame, col: str) -> DataFrame:
+    """The table, broadcast if its column is small."""
+    return F.broadcast(table) if (table.agg(F.sum(F.octet_length(col))).first()[0] or 0) <= BROADCAST_BYTES else table
+
+
+def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[tuple[str, int]] = set()
+    for batch in batches:
+        rows = []
+        for host, source in zip(batch.column("host").to_pylist(), batch.column("html")):
+            root = parse(source.as_py())
+            tree = skeleton(root)
+            h = xxhash.xxh64_intdigest(tree) >> 1
+            if (host, h) not in seen:      # a copy within the task
+                seen.add((host, h))
+                rows.append((host, layout(root), h, tree))
+        if len(seen) > 1_000_000:
+            seen.clear()
+        cols = list(zip(*rows)) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["host", "layout", "h", "tree"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the agreements per task, layout and node of the reference."""
+    sums: dict[tuple[str, int], list[np.ndarray]] = {}
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for (host, group), (has, same) in sums.items():
+            n = len(has)
+            yield pa.RecordBatch.from_arrays([pa.array([host] * n, pa.string()), pa.array([group] * n, pa.int64()), pa.array(np.arange(n)), pa.array(has), pa.array(same)],
+                                             ["host", "grp", "node", "has", "same"])
+        sums.clear()
+
+    for batch in batches:
+        for host, group, tree, reference in zip(*(batch.column(k) for k in range(4))):
+            got = agreement(reference.as_py(), tree.as_py())
+            key = host.as_py(), group.as_py()
+            sums[key] = [a + b for a, b in zip(sums[key], got)] if key in sums else list(got)
+        if len(sums) > TASK_GROUPS:
+            yield from rows()
+    yield from rows()
+
+
+def _induced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = []
+        for tree, pages, nodes in zip(batch.column("reference").to_pylist(), batch.column("pages").to_pylist(), batch.column("nodes").to_pylist()):
+            counts = np.array(sorted((x["node"], x["has"], x["same"]) for x in nodes), np.int64)
+            made.append(json.dumps(induced(tree, pages, counts[:, 1], counts[:, 2])))
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("grp"), pa.array(made, pa.string())], ["host", "grp", "wrapper"])
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON, empty for a host without two different pages)."""
-    h = F.xxhash64("page_id", "url")
-    # At most SAMPLE_PAGES rows a host, chosen by a map-side combined minimum.
-    some = pages.where("html is not null").groupBy("host", F.pmod(h, F.lit(SAMPLE_PAGES)).alias("part")).agg(F.min_by("html", h).alias("html"))
-
-    def one(table: pa.Table) -> pa.Table:
-        made = induce(table.column("html").to_pylist())
-        return pa.table({"host": pa.array([table.column("host")[0].as_py()], pa.string()), "wrapper": pa.array([json.dumps(made)], pa.string())})
-    return some.groupBy("host").applyInArrow(one, "host string, wrapper string")
+    """host, layout, wrapper (JSON) of every layout of a host that has two different pages."""
+    trees = pages.where("html is not null").select("host", "html").mapInArrow(_skeletons, "host string, layout long, h long, tree binary")
+    distinct = written(trees.groupBy("host", "layout", "h").agg(F.first("tree").alias("tree")), "html-skeletons")
+    layouts = written(distinct.groupBy("host", "layout").agg(F.count("*").alias("pages"), F.min_by("tree", "h").alias("reference")), "html-layouts")
+    many, lone = layouts.where("pages > 1"), layouts.where("pages = 1")
+    # Pages alone in their layout are one group of their host, with number 0.
+    rest = lone.groupBy("host").agg(F.count("*").alias("pages"), F.min_by("reference", "layout").alias("reference")).where("pages > 1")
+    references = written(many.select("host", F.col("layout").alias("grp"), "pages", "reference").union(rest.select("host", F.lit(0).cast("long"), "pages", "reference")), "html-references")
+    members = distinct.select("host", F.col("layout").alias("grp"), "tree").union(lone.select("host", F.lit(0).cast("long"), F.col("reference")))
+    known = references.select(F.col("host").alias("r_host"), F.col("grp").alias("r_grp"), "reference")
+    pairs = members.join(_small(known, "reference"), (F.col("host") == F.col("r_host")) & (F.col("grp") == F.col("r_grp"))).where("tree != reference")
+    counts = pairs.select("host", "grp", "tree", "reference").mapInArrow(_counted, "host string, grp long, node long, has long, same long")
+    sums = counts.groupBy("host", "grp", "node").agg(F.sum("has").alias("has"), F.sum("same").alias("same"))
+    per_group = sums.groupBy("host", "grp").agg(F.collect_list(F.struct("node", "has", "same")).alias("nodes"))     # the nodes of one page
+    made = references.join(per_group, ["host", "grp"]).select("host", "grp", "pages", "reference", "nodes").mapInArrow(_induced, "host string, grp long, wrapper string")
+    of = layouts.select("host", "layout", F.when(F.col("pages") > 1, F.col("layout")).otherwise(0).alias("grp"))
+    return of.join(written(made, "html-induced"), ["host", "grp"]).select("host", "layout", "wrapper")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text of every page."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("host", F.coalesce(host_of(F.col("url")), F.lit("")))
-    learned = written(wrappers(rows), "html-wrappers").withColumnRenamed("host", "wrapper_host")
-    few = learned.count() <= BROADCAST_HOSTS
-    joined = rows.join(F.broadcast(learned) if few else learned, F.col("host") == F.col("wrapper_host"), "left")
+    learned = written(wrappers(rows), "html-wrappers").select(F.col("host").alias("w_host"), F.col("layout").alias("w_layout"), "wrapper")
+
+    def laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [layout(parse(h.as_py() or "")) for h in batch.column("html")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, "layout"])
+
+    rows = rows.mapInArrow(laid_out, "page_id long, url string, html string, host string, layout long")
+    joined = rows.join(_small(learned, "wrapper"), (F.col("host") == F.col("w_host")) & (F.col("layout") == F.col("w_layout")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -408,3 +408,17 @@ def test_tree_matching():
     a, b = html_text.parse("<div><p>x</p><ul><li>1<li>2</ul><p>y</p></div>"), html_text.parse("<div><p>z</p><p>y</p><i>w</i></div>")
     assert html_text.match(a, b, {}) == 4                   # root, div and both p
     assert [(x.tag, y.tag) for x, y in html_text.aligned(a, b)].count(("p", "p")) == 2
+
+
+def test_html_keeps_all_sections(spark):
+    """Headline, lead and every section stay, whatever share one of them has, with and without a wrapper."""
+    words = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    post = lambda k: (f'<div class="post"><h1>{words(k, 5)}</h1><div class="lead">{words(k + 1, 30)}</div><div class="body">{words(k + 2, 70)}</div>'
+                      f'<section><p>{words(k + 3, 300)}</p></section><section><p>{words(k + 4, 20)}</p></section></div>')
+    text = lambda k: "\n".join((words(k, 5), words(k + 1, 30), words(k + 2, 70), words(k + 3, 300), words(k + 4, 20)))
+    assert html_text.extract(page(post(0)), {}) == text(0)
+    assert html_text.extract(page("<article><p>one</p></article><article><p>two</p></article>"), {}) == "one\ntwo"
+    odd = 990       # has varying text beside its host's slot
+    pages = [(k, f"http://h.org/{k}", page(post(k) + '<div class="end"><span>Call us</span></div>' + ("<div><p>More here.</p></div>" if k == odd else ""))) for k in range(0, 1_000, 10)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {k: text(k) + ("\nCall us\nMore here." if k == odd else "") for k, *_ in pages}
