@@ -422,3 +422,17 @@ def test_html_keeps_all_sections(spark):
     pages = [(k, f"http://h.org/{k}", page(post(k) + '<div class="end"><span>Call us</span></div>' + ("<div><p>More here.</p></div>" if k == odd else ""))) for k in range(0, 1_000, 10)]
     got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {k: text(k) + ("\nCall us\nMore here." if k == odd else "") for k, *_ in pages}
+
+
+def test_html_wrappers_see_all_pages(spark):
+    """Copies, two layouts on a host and a byline that all pages but one share."""
+    who = lambda k: "Bob" if k == 77 else "Ann"
+    def body(k):
+        inner = f'<div class="by"><span>{who(k)}</span></div><div>Story {k} of many words.</div>'
+        if k % 2:
+            return f'<div class="a"><div class="top"><span>Site A</span></div><div class="box">{inner}</div><div class="end"><span>Call A</span></div></div>'
+        return f'<section class="b"><div class="up"><span>Site B</span></div><div class="text">{inner}<div>Tail {k}.</div></div><div class="low"><span>Call B</span></div></section>'
+    pages = [(k, f"http://h.org/{k}", page(body(k), k)) for k in range(100)] + [(1_000 + k, f"http://h.org/{k}", page(body(1), 1)) for k in range(200)]
+    pages = [(i, u, h.replace("Ann", "Eve") if i == 50 else h) for i, u, h in pages]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(7)).collect()}
+    assert got == {i: f"{'Eve' if i == 50 else who(k)}\nStory {k} of many words." + ("" if k % 2 else f"\nTail {k}.") for i, k in [(i, 1 if i >= 1_000 else i) for i, *_ in pages]}
