@@ -436,3 +436,39 @@ def test_html_wrappers_see_all_pages(spark):
     pages = [(i, u, h.replace("Ann", "Eve") if i == 50 else h) for i, u, h in pages]
     got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(7)).collect()}
     assert got == {i: f"{'Eve' if i == 50 else who(k)}\nStory {k} of many words." + ("" if k % 2 else f"\nTail {k}.") for i, k in [(i, 1 if i >= 1_000 else i) for i, *_ in pages]}
+
+
+def test_html_aligns_whole_pages(spark):
+    """A long menu before the text, text below 120 levels, and a box at the end of the page."""
+    menu = "<div>" + "".join(f"<div><a href='{i}'>item {i}</a></div>" for i in range(3_000)) + "</div>"
+    body = lambda k: menu + "<div>" * 120 + f"<div>Story {k}.</div><div>End {k}.</div><div class='x'>Call us</div>" + "</div>" * 120
+    pages = [(k, f"http://h.org/{k}", page(body(k), k)) for k in range(8)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Story {k}.\nEnd {k}." for k in range(8)}
+
+
+def plain_match(a, b):
+    """Simple tree matching by its recursion."""
+    if a.name != b.name:
+        return 0
+    left, right = ([k for k in x.kids if not isinstance(k, str)] for x in (a, b))
+    table = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+    for i, x in enumerate(left):
+        for j, y in enumerate(right):
+            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + plain_match(x, y))
+    return table[-1][-1] + 1
+
+
+@pytest.mark.parametrize("cells", [4, 20_000_000])
+def test_tree_matching_is_largest(monkeypatch, cells):
+    monkeypatch.setattr(html_text, "TABLE_CELLS", cells)
+    rng = random.Random(8)
+    def tree(depth):
+        node = html_text.Node(rng.choice("ab") if depth < 4 else "a")
+        node.kids = [rng.choice("xy")] * rng.randint(0, 1) + [tree(depth - 1) for _ in range(rng.randint(0, 5) if depth else 0)]
+        return node
+    for _ in range(60):
+        a, b = tree(4), tree(4)
+        pairs = html_text.aligned(a, b)
+        assert html_text.match(a, b, {}) == plain_match(a, b) == len(pairs)
+        assert len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs) and all(x.name == y.name for x, y in pairs)
