@@ -2,10 +2,11 @@
 
 Templates are grouped by length into classes of at most W words, W a power of two. A document is cut into windows of
 2 W words every W words, so every passage as long as a template lies whole in one of them. A window and a template
-collide if they agree in one of ``BANDS`` bands of ``ROWS`` MinHash values. A passage with ``CONTAINMENT`` of a
-template's shingles makes the Jaccard similarity at least about 0.2 even in the longest window of its class, so with 64
-bands of one row a match is missed with a probability below (1 - 0.2) ** 64, 1 in a million. Windows without any template shingle
-cannot collide and are skipped. Candidates are verified by the exact words of their shingles.
+collide if they agree in one of their class's bands of ``ROWS`` MinHash values. A template's values are fixed, so which
+windows with ``CONTAINMENT`` of its shingles it misses depends on the window's other shingles alone, and the probability
+follows exactly from those values: a class has as many bands, ``BANDS`` at least, as make it at most ``MISSED`` for each of
+its templates, however few shingles they have. Windows without any template shingle cannot collide and are
+skipped. Candidates are verified by the exact words of their shingles.
 
 A shingle is 5 words (a shorter template is one shingle). Words are runs of letters and digits, in lower case. Null
 texts have no window. The templates are the only broadcast; their number does not depend on the documents.
@@ -13,6 +14,7 @@ texts have no window. The templates are the only broadcast; their number does no
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,7 @@ from spanlake.llm.common import Words, chunks, folded_words, form_hashes, mix
 SHINGLE = 5
 BANDS, ROWS = 64, 1
 CONTAINMENT = 0.8
+MISSED = 1e-6
 
 #: License notices as their licensors publish them.
 TEMPLATES = {
@@ -55,13 +58,14 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
-_SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
+def seeds(bands: int) -> np.ndarray:
+    return mix(np.arange(1, bands * ROWS + 1, dtype=np.uint64))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
+def band_keys(shingles: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """One key per band: the MinHash values of its rows."""
-    least = np.array([mix(shingles ^ s).min() for s in _SEEDS]).reshape(BANDS, ROWS)
-    out = np.arange(BANDS, dtype=np.uint64)
+    least = np.array([mix(shingles ^ s).min() for s in seeds(bands)]).reshape(bands, ROWS)
+    out = np.arange(bands, dtype=np.uint64)
     for r in range(ROWS):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) ^ least[:, r])
     return out
@@ -74,9 +78,29 @@ class Template:
         self.size = min(SHINGLE, len(self.words))
         self.exact = {tuple(self.words[i:i + self.size]) for i in range(len(self.words) - self.size + 1)}
         self.hashes = shingle_hashes(form_hashes(pa.array(self.words, pa.string())), self.size)
-        self.bands = band_keys(self.hashes)
         self.width = max(4, 1 << (len(self.words) - 1).bit_length())
 
+    def missed(self, bands: int) -> float:
+        """Probability that no band agrees with the longest window that holds CONTAINMENT of the shingles, for the worst
+        choice of the shingles that it lacks."""
+        n = len(self.exact)
+        shared = next(k for k in range(1, n + 1) if k / n >= CONTAINMENT)
+        values = np.array([mix(np.unique(self.hashes) ^ s) for s in seeds(bands)])
+        # A band agrees if the template's least value is among the shared and no other shingle of the window is below it.
+        above = (1 - values.min(1) / 2.0 ** 64) ** (2 * self.width - self.size + 1 - shared)
+        fails = np.log1p(-np.minimum(above.reshape(bands, ROWS).prod(1), 1 - 1e-12))
+        by_shingle = np.zeros(values.shape[1])
+        np.add.at(by_shingle, values.argmin(1), np.repeat(fails, ROWS))
+        return math.exp(min(0.0, fails.sum() - np.sort(by_shingle)[:n - shared].sum()))
+
+    @property
+    def bands(self) -> int:
+        """Bands with which at most MISSED of the matches are missed."""
+        bands = BANDS
+        while self.missed(bands) > MISSED:
+            bands += 16
+        return bands
+
 
 class Scanner:
     def __init__(self, templates: dict[str, str]):
@@ -85,6 +109,8 @@ class Scanner:
         for t in made:
             if t.words:
                 self.classes.setdefault((t.size, t.width), []).append(t)
+        self.bands = {c: max(t.bands for t in ts) for c, ts in self.classes.items()}
+        self.keys = {t.name: band_keys(t.hashes, self.bands[c]) for c, ts in self.classes.items() for t in ts}
 
     def matches(self, words: Words) -> list[list[dict]]:
         """Per text the verified notices: name, word range from the first to the last shared shingle, containment."""
@@ -107,9 +133,9 @@ class Scanner:
                 own = hashes[lo:end - size + 1]
                 if not len(own):
                     continue
-                keys = band_keys(own)
+                keys = band_keys(own, self.bands[size, width])
                 for t in templates:
-                    if not (keys == t.bands).any():
+                    if not (keys == self.keys[t.name]).any():
                         continue
                     forms = words.forms if forms is None else forms
                     text = forms.take(pa.array(words.codes[lo:end])).to_pylist()
