@@ -12,7 +12,8 @@ plus the pieces of that length in earlier tasks. A length that a third of all pi
 
 Tokens are those of the ``tokenizers`` file (a path, never a copy). tiktoken with the same vocabulary gives the same
 ids several times faster, so it is used for texts of characters on which both splitters agree by definition
-(printable ASCII, line ends and Latin letters up to U+024F); all other texts go through ``tokenizers`` itself.
+(printable ASCII, line ends and Latin letters up to U+024F) and that hold no added token such as <|endoftext|>; all other
+texts go through ``tokenizers`` itself, with its defaults.
 
 Null texts are empty: one end token. Rows that repeat a doc_id are packed each.
 """
@@ -53,7 +54,7 @@ def encoder(path: str, ranks_path: str | None):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
+    added = [t.content for t in whole.get_added_tokens_decoder().values()]
     if ranks_path:
         import public_tokenizers
         import tiktoken
@@ -63,7 +64,7 @@ def encoder(path: str, ranks_path: str | None):
         fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(text: str) -> list[int]:
-        if ranks_path and _PLAIN.fullmatch(text):
+        if ranks_path and _PLAIN.fullmatch(text) and not any(a in text for a in added):
             return fast(text)
         return whole.encode(text, add_special_tokens=False).ids
 

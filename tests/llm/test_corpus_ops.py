@@ -254,6 +254,16 @@ def test_packing(docs, rows, nothing):
     assert packing.packed(nothing).count() == 0
 
 
+def test_packing_added_tokens():
+    """Ids are those of the tokenizer's defaults, also where a text holds the literal of an added token."""
+    from tokenizers import Tokenizer
+
+    whole, encode = Tokenizer.from_file(packing.default_paths()[0]), packing.encoder(*packing.default_paths())
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>\u4e2d", "<|endoftext| >", "plain text, é", ""):
+        assert encode(text) == whole.encode(text, add_special_tokens=False).ids
+    assert 50256 in encode("a <|endoftext|> b")
+
+
 def test_packing_plan_is_gapless():
     rng = np.random.default_rng(1)
     counts = {int(k): int(v) for k, v in zip(*np.unique(rng.integers(1, 2049, 5_000), return_counts=True))}
