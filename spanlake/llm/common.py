@@ -118,6 +118,10 @@ def ascii_words(texts: pa.Array) -> pa.Array:
     return pc.ascii_split_whitespace(pc.if_else(pc.equal(trimmed, ""), None, trimmed))
 
 
+#: Bytes with A-Z in lower case.
+ASCII_LOWER = np.arange(256, dtype=np.uint8)
+ASCII_LOWER[ord("A"):ord("Z") + 1] += 32
+
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[ord("0"):ord("9") + 1] = np.arange(ord("0"), ord("9") + 1)
 _FOLD[ord("a"):ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
