@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from spanlake.llm import centroids, decontaminate, html_text, language, licenses, lines, packing, quality, simhash, substring, toxicity, url_filter
+from spanlake.llm import centroids, decontaminate, html_text, language, licenses, lines, packing, quality, simhash, spelling, substring, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,6 +84,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.digests(table(spark, sf_dir, "embeddings"))
 
 
+@query("op12_spelling_variants", spelling.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.digests(table(spark, sf_dir, "documents"))
+
+
 @query("op13_line_dedup", lines.SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(table(spark, sf_dir, "documents"))
