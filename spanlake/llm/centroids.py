@@ -70,7 +70,11 @@ def squared(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _root(d) -> np.ndarray:
-    return np.sqrt(np.asarray(d).astype(np.float64))
+    """Lengths of squared distances; infinite beyond the range of doubles, where nothing is pruned."""
+    d = np.asarray(d)
+    if d.dtype == object:
+        return np.array([math.sqrt(v) if v < 2**1020 else float(math.isqrt(int(v))) if v < 2**2040 else np.inf for v in d.ravel().tolist()]).reshape(d.shape)
+    return np.sqrt(d.astype(np.float64))
 
 
 @dataclass
@@ -144,7 +148,9 @@ class Tree:
                     continue
                 d = offer(rows, one.vantage)
                 for child, (lo, hi), place in ((one.inner, one.inner_range, slot[here]), (one.outer, one.outer_range, free)):
-                    gap = np.maximum(lo - d, d - hi)
+                    with np.errstate(invalid="ignore"):
+                        gap = np.maximum(lo - d, d - hi)
+                    gap = np.where(np.isfinite(gap), gap, 0)
                     bound[rows, place] = np.maximum(least[here], gap - _MARGIN * (d + hi))
                     node[rows, place] = child
                 grown = True
