@@ -33,18 +33,19 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
-    def split(self) -> bool:
-        """Measured once on the base table; derived tables hold at most twice its rows per episode."""
+    def split(self) -> bool | None:
+        """Measured once on the base table; derived tables hold at most twice its rows per episode. None if some episode is
+        large: operators then divide large from small ones themselves."""
         if self._split is not None:
             return self._split
-        return needs_split(self.raw("events"), ["user_id"], SPLIT_ROWS // 2)
+        return None if needs_split(self.raw("events"), ["user_id"], SPLIT_ROWS // 2) else False
 
     @cached_property
-    def order_split(self) -> bool:
+    def order_split(self) -> bool | None:
         """The same for tables keyed by order; sessions hold three rows per order line."""
         if self._split is not None:
             return self._split
-        return needs_split(self.raw("lineitem"), ["l_orderkey"], SPLIT_ROWS // 3)
+        return None if needs_split(self.raw("lineitem"), ["l_orderkey"], SPLIT_ROWS // 3) else False
 
     @cached_property
     def timed(self) -> DataFrame:

@@ -9,33 +9,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.functions import intervals as iv
-from spanlake.operators.layout import decide, ordered
+from spanlake.operators.layout import by_size, ordered
 from spanlake.operators.scoring import greedy, inside_pairs, overlaps
 from spanlake.schema import COVERAGE_CUT, RUN_KEYS, SHIFTED_CUT, TAXONOMY
 
 
+@by_size("pred", "gold")
 def merged(pred: DataFrame, gold: DataFrame, keys: Sequence[str] = RUN_KEYS, split: bool | None = None) -> DataFrame:
     """Gold spans (keys, idx) that one prediction covers by 0.7 together with a neighbour in the list."""
-    split = decide(split, (pred, keys), (gold, keys))
     covered = inside_pairs(pred, gold, COVERAGE_CUT, keys, split)
     o = ordered(covered, [*keys, "o_idx"], ["i_idx"], split).shift(prev={"_p": "i_idx"}, next={"_n": "i_idx"})
     together = (F.col("_p") == F.col("i_idx") - 1) | (F.col("_n") == F.col("i_idx") + 1)
     return o.df.filter(together).select(*keys, F.col("i_idx").alias("idx")).distinct()
 
 
+@by_size("pred", "gold")
 def split_up(pred: DataFrame, gold: DataFrame, keys: Sequence[str] = RUN_KEYS, split: bool | None = None) -> DataFrame:
     """Gold spans (keys, idx) with at least two predictions lying 0.7 inside them."""
     inside = inside_pairs(gold, pred, COVERAGE_CUT, keys, split)
     return inside.groupBy(*keys, F.col("o_idx").alias("idx")).agg(F.count("*").alias("n")).filter("n >= 2").drop("n")
 
 
+@by_size("pred", "gold")
 def classify(pred: DataFrame, gold: DataFrame, keys: Sequence[str] = RUN_KEYS, split: bool | None = None) -> DataFrame:
     """Gold rows with ``class``: ok, merged, split, shifted or missing.
 
     One interval join carries IoU and both coverages; every class is read off its rows.
     """
     keys = list(keys)
-    split = decide(split, (pred, keys), (gold, keys))
     covers, inside = iv.coverage("p0", "p1", "g0", "g1"), iv.coverage("g0", "g1", "p0", "p1")
     pairs = overlaps(pred, gold, keys, split).withColumns({"_covers": covers >= COVERAGE_CUT, "_inside": inside >= COVERAGE_CUT})
     pairs = pairs.filter(F.col("_covers") | F.col("_inside") | (F.col("iou") >= SHIFTED_CUT))

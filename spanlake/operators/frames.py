@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spanlake.functions import text
 from spanlake.functions.rounding import round_true
-from spanlake.operators.layout import decide, ordered
+from spanlake.operators.layout import by_size, ordered
 from spanlake.schema import (CLIP_OVERLAP, CLIP_WINDOW, EPISODE_KEYS, EPS, FRAMES_PER_SHEET, GRID_INTERVAL,
                              SHEET_COLUMNS, SHEET_OVERLAP, SHEETS_PER_WINDOW)
 
@@ -120,11 +120,11 @@ def upsert_states(states: DataFrame, keys: Sequence[str] = EPISODE_KEYS,
     return states.groupBy(*keys, "frame_idx").agg(F.max_by("subtask", F.struct(*version)).alias("subtask"))
 
 
+@by_size("grid", "runs")
 def expand_runs(runs: DataFrame, grid: DataFrame, interval: float = GRID_INTERVAL,
                 keys: Sequence[str] = EPISODE_KEYS, split: bool | None = None) -> DataFrame:
     """One row per frame from run starts: the label of the last start no later than 0.49 intervals after
     the frame, 'none' before the first."""
-    split = decide(split, (grid, keys))
     points = grid.select(*keys, (F.col("t") + interval * 0.49).alias("_at"), F.lit(1).alias("_kind"),
                          F.col("frame_idx").alias("_pos"), "frame_idx", "t", F.lit(None).cast("string").alias("_label"))
     starts = runs.select(*keys, F.col("t").alias("_at"), F.lit(0).alias("_kind"), F.col("idx").alias("_pos"),
@@ -144,10 +144,10 @@ def fill_grid(states: DataFrame, grid: DataFrame, keys: Sequence[str] = EPISODE_
         *keys, "frame_idx", "t", "label")
 
 
+@by_size("rows")
 def smooth(rows: DataFrame, keys: Sequence[str] = EPISODE_KEYS, split: bool | None = None) -> DataFrame:
     """Absorb single-frame runs into the run on their left; leading ones take the second frame's label.
     Sequences under three frames stay as they are; labels compare exactly."""
-    split = decide(split, (rows, keys))
     o = ordered(rows, keys, ["frame_idx"], split).shift(prev={"_p": "label"}, next={"_n": "label"}).number("_i")
     solid = F.coalesce(F.col("label") == F.col("_p"), F.lit(False)) | F.coalesce(F.col("label") == F.col("_n"), F.lit(False))
     o = o.with_columns({"_solid": F.when(solid, F.col("label"))})
@@ -157,12 +157,12 @@ def smooth(rows: DataFrame, keys: Sequence[str] = EPISODE_KEYS, split: bool | No
     return o.df.withColumn("label", label).drop("_p", "_n", "_i", "_solid", "_keep", "_second", "_top")
 
 
+@by_size("rows")
 def rows_to_segments(rows: DataFrame, interval: float = GRID_INTERVAL, keys: Sequence[str] = EPISODE_KEYS,
                      split: bool | None = None) -> DataFrame:
     """Label runs to segments: borders halfway between frames, 'none' runs are gaps, the first segment
     starts at 0. Input as from ``fill_grid``/``smooth``; (keys, idx, start_s, end_s, label)."""
     keys = list(keys)
-    split = decide(split, (rows, keys))
     low = F.lower("label")
     o = ordered(rows.withColumn("_low", low), keys, ["frame_idx"], split)
     o = o.shift(prev={"_p": "_low", "_pt": "t"})

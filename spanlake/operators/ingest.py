@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,12 +12,14 @@ from spanlake.functions import text
 from spanlake.functions.intervals import col
 from spanlake.functions.phrases import skill_phrase
 from spanlake.functions.rounding import round_true
-from spanlake.operators.layout import SPLIT_ROWS, decide, fold_groups, ordered
+from spanlake.operators.layout import (SPLIT_ROWS, by_size, durable, first_beyond, fold_groups, last_within,
+                                       on_path, ordered)
 from spanlake.operators.scoring import point_join
 
 COARSE, FINE = "Coarse grained action", "Fine grained action"
 MIN_CHUNK = 2.0
 MIN_REST = 0.05
+SESSION, CHUNK = ["session"], ["session", "chunk"]
 
 
 # ---- scalar rules ---------------------------------------------------------------------------------
@@ -69,6 +72,7 @@ def fine_text(attributes) -> Column:
 
 # ---- whole-episode rules --------------------------------------------------------------------------
 
+@by_size("steps")
 def drop_non_monotonic(steps: DataFrame, keys: Sequence[str] = ("episode_id",), start: str = "start_frame",
                        end: str = "end_frame", split: bool | None = None) -> DataFrame:
     """Remove episodes in which any step is empty, inverted or starts before the previous one ends."""
@@ -173,11 +177,12 @@ def session_events(raw: DataFrame) -> DataFrame:
                        F.when(F.col("e.label") == COARSE, sentence).otherwise(fine_text(F.col("e.attributes"))).alias("text"))
 
 
+@by_size("events", keys=SESSION)
 def eligible_sessions(events: DataFrame, min_fine: int = 3, min_coarse: int = 1, split: bool | None = None) -> DataFrame:
     """Events of the sessions with enough fine and coarse actions. Small sessions are counted in the window whose
     shuffle later steps reuse; otherwise counts are combined before they move."""
     fine, coarse = F.col("kind") == "fine", F.col("kind") == "coarse"
-    if not decide(split, (events, ["session"])):
+    if not split:
         w = Window.partitionBy("session")
         rows = events.withColumns({"_f": F.count_if(fine).over(w), "_c": F.count_if(coarse).over(w)})
         return rows.filter((F.col("_f") >= min_fine) & (F.col("_c") >= min_coarse)).drop("_f", "_c")
@@ -186,25 +191,48 @@ def eligible_sessions(events: DataFrame, min_fine: int = 3, min_coarse: int = 1,
     return events.join(good.select("session"), "session", "left_semi")
 
 
+@by_size("coarse", keys=SESSION)
 def chunk_sessions(coarse: DataFrame, max_sec: float = 180.0, split: bool | None = None) -> DataFrame:
     """Cut sessions at coarse-action borders: a new chunk starts when the action would end more than
     ``max_sec`` after the running chunk began. Returns the coarse rows with ``chunk`` and chunk bounds.
 
-    The rule depends on where the running chunk began, so it is a fold carrying that one time.
+    In small sessions this is a fold carrying the start of the running chunk. In large ones every action points to the one
+    that would start the next chunk if a chunk began with it, and the chunks are the path along these pointers.
     """
-    split = decide(split, (coarse, ["session"]))
-    item = F.struct(*[c for c in coarse.columns if c != "session"])
-
     def breaks(start: Column, end: Column) -> Column:
         return start.isNull() | (end - start > max_sec)
 
-    rows = fold_groups(coarse, ["session"], ["start_s", "idx"], item, F.lit(None).cast("double"),
-                       lambda start, x: F.when(breaks(start, x["end_s"]), x["start_s"]).otherwise(start), split)
-    o = ordered(rows, ["session"], ["start_s", "idx"], split)
+    if split:
+        return _chunk_by_pointers(coarse, max_sec)
+    item = F.struct(*[c for c in coarse.columns if c != "session"])
+    rows = fold_groups(coarse, SESSION, ["start_s", "idx"], item, F.lit(None).cast("double"),
+                       lambda start, x: F.when(breaks(start, x["end_s"]), x["start_s"]).otherwise(start), False)
+    o = ordered(rows, SESSION, ["start_s", "idx"], False)
     o = o.islands("_n", breaks(F.col("before"), F.col("end_s")))
     return o.df.withColumn("chunk", F.col("_n") - 1).drop("_n", "before", "after")
 
 
+def _chunk_by_pointers(coarse: DataFrame, max_sec: float) -> DataFrame:
+    """The first action that ends beyond the limit of an earlier start: an action longer than the limit always does, for
+    whichever start before it. Of the others, none before a start can end beyond its limit, so their running maximum
+    tells which is the first."""
+    long = F.col("end_s") - F.col("start_s") > max_sec
+    o = ordered(coarse, SESSION, ["start_s", "idx"], True).number("_pos")
+    o = o.running({"_until": ("max", F.when(~long, F.col("end_s")))})
+    o = o.running({"_long": ("min", F.when(long, F.col("_pos")))}, backwards=True)
+    rows = durable(o.df)
+    record = ~long & (F.col("_until").isNull() | (F.col("end_s") > F.col("_until")))
+    points = rows.filter(record).select("session", F.col("end_s").alias("v"), F.lit(0).alias("kind"), F.col("_pos").alias("pos")).unionByName(
+        rows.select("session", last_within(F.col("start_s"), max_sec).alias("v"), F.lit(1).alias("kind"), F.col("_pos").alias("pos")))
+    found = first_beyond(points, SESSION)
+    links = found.join(rows.select("session", F.col("_pos").alias("pos"), "_long"), ["session", "pos"]).select(
+        "session", "pos", F.least("nxt", "_long").alias("nxt"), (F.col("pos") == 0).alias("start"))
+    starts = on_path(links, SESSION).select("session", F.col("pos").alias("_pos"), F.lit(True).alias("_starts"))
+    marked = rows.drop("_until", "_long").join(starts, ["session", "_pos"], "left")
+    o = ordered(marked, SESSION, ["_pos"], True).islands("_n", F.col("_starts").isNotNull())
+    return o.df.withColumn("chunk", F.col("_n") - 1).drop("_n", "_pos", "_starts")
+
+
 def chunk_bounds(chunked: DataFrame) -> DataFrame:
     """(session, chunk, cs, ce, instruction): the end is that of the last action in order."""
     bounds = chunked.groupBy("session", "chunk").agg(
@@ -213,9 +241,9 @@ def chunk_bounds(chunked: DataFrame) -> DataFrame:
     return bounds.join(said, ["session", "chunk"], "left")
 
 
+@by_size("fine", keys=SESSION)
 def assign_to_chunks(fine: DataFrame, chunks: DataFrame, split: bool | None = None) -> DataFrame:
     """Fine actions whose midpoint lies in a chunk, clipped to it. Blank texts are kept for counting."""
-    split = decide(split, (fine, ["session"]))
     points = fine.select("session", "idx", F.col("start_s").alias("f0"), F.col("end_s").alias("f1"), "text",
                          ((F.col("start_s") + F.col("end_s")) / 2).alias("_mid"))
     rows = point_join(chunks.select("session", "chunk", "cs", "ce"), points, ["session"], "cs", "ce", "_mid", split)
@@ -223,23 +251,53 @@ def assign_to_chunks(fine: DataFrame, chunks: DataFrame, split: bool | None = No
     return rows.filter(F.col("t") > F.col("s"))
 
 
+@by_size("assigned", keys=CHUNK)
 def trim_fine(assigned: DataFrame, split: bool | None = None) -> DataFrame:
     """Start overlapping fine actions where the previous kept one ends; drop those left with 0.05 s or
-    less. A dropped action may end later than the kept one, so this is a fold over kept ends only."""
-    keys = ["session", "chunk"]
-    split = decide(split, (assigned, keys))
-    item = F.struct(*[c for c in assigned.columns if c not in keys])
+    less. A dropped action may end later than the kept one, so only kept ends count: a fold in small chunks, the path of
+    the kept actions in large ones."""
+    said = assigned.filter(F.col("text") != "")
+    kept = _kept_by_pointers(said) if split else _kept_by_fold(said)
+    kept = kept.withColumn("s", F.greatest("s", "before"))
+    o = ordered(kept, CHUNK, ["f0", "f1", "idx"], split)
+    return o.number("_pos").df.select(
+        *CHUNK, F.col("_pos").alias("idx"), round_true(F.col("s") - F.col("cs"), 3).alias("start_s"),
+        round_true(F.col("t") - F.col("cs"), 3).alias("end_s"), F.col("text").alias("label"))
+
+
+def _kept_by_fold(said: DataFrame) -> DataFrame:
+    item = F.struct(*[c for c in said.columns if c not in CHUNK])
 
     def dropped(prev: Column, s: Column, t: Column) -> Column:
         return (s < prev) & (t - prev <= MIN_REST)
 
-    rows = fold_groups(assigned.filter(F.col("text") != ""), keys, ["f0", "f1", "idx"], item, F.lit(0.0),
-                       lambda prev, x: F.when(dropped(prev, x["s"], x["t"]), prev).otherwise(x["t"]), split)
-    kept = rows.filter(~dropped(F.col("before"), F.col("s"), F.col("t"))).withColumn("s", F.greatest("s", "before"))
-    o = ordered(kept, keys, ["f0", "f1", "idx"], split)
-    return o.number("_pos").df.select(
-        *keys, F.col("_pos").alias("idx"), round_true(F.col("s") - F.col("cs"), 3).alias("start_s"),
-        round_true(F.col("t") - F.col("cs"), 3).alias("end_s"), F.col("text").alias("label"))
+    rows = fold_groups(said, CHUNK, ["f0", "f1", "idx"], item, F.lit(0.0),
+                       lambda prev, x: F.when(dropped(prev, x["s"], x["t"]), prev).otherwise(x["t"]), False)
+    return rows.filter(~dropped(F.col("before"), F.col("s"), F.col("t"))).drop("after")
+
+
+def _kept_by_pointers(said: DataFrame) -> DataFrame:
+    """After a kept action the next one kept is the first that starts at its end or later, or ends more than the rest
+    beyond it. Starts never fall along the order. Ends do, but an action that ends well before an earlier one is itself never
+    kept: kept ends rise, and whatever kept or dropped the earlier one drops it too. So a running maximum serves for the others.
+    The path begins at an action before all others that ends at 0."""
+    o = ordered(said, CHUNK, ["f0", "f1", "idx"], True).number("_pos").running({"_until": ("max", "t")})
+    rows = durable(o.df)
+    within = last_within(F.col("t"), MIN_REST)
+    sources = rows.filter(F.col("_until").isNull() | (F.col("_until") <= within)).select(*CHUNK, F.col("_pos").alias("pos"), "t")
+    sources = sources.unionByName(rows.filter("_pos = 0").select(*CHUNK, F.lit(-1).cast("long").alias("pos"), F.lit(0.0).alias("t")))
+    record = F.col("_until").isNull() | (F.col("t") > F.col("_until"))
+    by_start, by_end = F.lit("start").alias("by"), F.lit("end").alias("by")
+    points = reduce(DataFrame.unionByName, (
+        rows.select(*CHUNK, by_start, F.col("s").alias("v"), F.lit(2).alias("kind"), F.col("_pos").alias("pos")),
+        sources.select(*CHUNK, by_start, F.col("t").alias("v"), F.lit(1).alias("kind"), "pos"),
+        rows.filter(record).select(*CHUNK, by_end, F.col("t").alias("v"), F.lit(0).alias("kind"), F.col("_pos").alias("pos")),
+        sources.select(*CHUNK, by_end, last_within(F.col("t"), MIN_REST).alias("v"), F.lit(1).alias("kind"), "pos")))
+    found = first_beyond(points, [*CHUNK, "by"]).groupBy(*CHUNK, "pos").agg(F.min("nxt").alias("nxt"))
+    path = on_path(found.withColumn("start", F.col("pos") == -1), CHUNK)
+    kept = rows.drop("_until").join(path.select(*CHUNK, F.col("pos").alias("_pos")), [*CHUNK, "_pos"])
+    o = ordered(kept, CHUNK, ["_pos"], True).shift(prev={"before": "t"})
+    return o.df.withColumn("before", F.coalesce("before", F.lit(0.0))).drop("_pos")
 
 
 def steps_from_events(raw: DataFrame, videos: DataFrame | None = None, max_sec: float = 180.0,
@@ -248,11 +306,11 @@ def steps_from_events(raw: DataFrame, videos: DataFrame | None = None, max_sec:
     return session_steps(session_events(raw), videos, max_sec, split)
 
 
+@by_size("events", keys=SESSION)
 def session_steps(events: DataFrame, videos: DataFrame | None = None, max_sec: float = 180.0,
                   split: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """(episodes, gold) from the events of coarse/fine sessions, as from ``session_events``: chunks of at least
     2 s become episodes ``<session>_<nn>``, fine actions their segments. ``videos``: (session, duration_s)."""
-    split = decide(split, (events, ["session"]))
     events = eligible_sessions(events, split=split)
     chunks = chunk_bounds(chunk_sessions(events.filter("kind = 'coarse'"), max_sec, split))
     if videos is not None:

@@ -15,7 +15,7 @@ from spanlake.functions import text
 from spanlake.functions.rounding import round_true
 from spanlake.operators import frames
 from spanlake.operators.clean import fixed2
-from spanlake.operators.layout import decide, fold_groups, ordered
+from spanlake.operators.layout import by_size, fold_groups, ordered
 from spanlake.schema import (EPISODE_KEYS, EPS, LABEL_CONTEXT, LABEL_MAX_FRAMES, MIN_PIECE, NO_EVENT_LABEL,
                              REFINE_FLAG, REFINE_GUARD, REFINE_HALF_WINDOW, REFINE_INTERVAL, RESULTS,
                              SUBDIVIDE_INTERVAL, SUBDIVIDE_MAX_FRAMES, SUBDIVIDE_MIN_FRAMES, SUBDIVIDE_MIN_SPAN, struct)
@@ -51,6 +51,7 @@ def in_window(proposals: DataFrame, windows: DataFrame, keys: Sequence[str] = EP
     return rows.filter((F.col("n_windows") == 1) | own).drop("lo", "hi")
 
 
+@by_size("proposals")
 def stitch(proposals: DataFrame, keys: Sequence[str] = EPISODE_KEYS, order: Sequence[str] = ("window_id", "idx"),
            split: bool | None = None) -> DataFrame:
     """Merge neighbours (by start, end) with the same normalised label that touch: (keys, idx, start_s,
@@ -60,7 +61,6 @@ def stitch(proposals: DataFrame, keys: Sequence[str] = EPISODE_KEYS, order: Sequ
     everything before it has ended. One running maximum over all rows would merge too much.
     """
     keys = list(keys)
-    split = decide(split, (proposals, keys))
     single = F.col("n_windows") == 1 if "n_windows" in proposals.columns else F.lit(False)
     rows = proposals.withColumns({"_single": single, "_name": text.normal("label")})
     sort = [F.when(F.col("_single"), F.lit(0.0)).otherwise(F.col(c)) for c in ("start_s", "end_s")]
@@ -76,12 +76,12 @@ def stitch(proposals: DataFrame, keys: Sequence[str] = EPISODE_KEYS, order: Sequ
     return ordered(merged, keys, ["_piece"], split).number("idx").df.select(*keys, "idx", "start_s", "end_s", "label")
 
 
+@by_size("windows")
 def previous_label(windows: DataFrame, proposals: DataFrame, keys: Sequence[str] = EPISODE_KEYS,
                    split: bool | None = None) -> DataFrame:
     """The label still in progress at the start of each window: the last label of the closest earlier
     window that has any."""
     keys = list(keys)
-    split = decide(split, (windows, keys))
     last = proposals.groupBy(*keys, "window_id").agg(F.max_by("label", "idx").alias("_last"))
     rows = windows.join(last, [*keys, "window_id"], "left")
     return ordered(rows, keys, ["window_id"], split).running({"previous_label": ("last", "_last")}).df.drop("_last")
@@ -125,6 +125,7 @@ def subdivide_windows(segments: DataFrame, min_span: float = SUBDIVIDE_MIN_SPAN,
     return rows.filter(F.col("n_frames") >= SUBDIVIDE_MIN_FRAMES)
 
 
+@by_size("segments", "pieces")
 def apply_subdivision(segments: DataFrame, pieces: DataFrame, keys: Sequence[str] = EPISODE_KEYS,
                       relative: bool = False, split: bool | None = None) -> DataFrame:
     """Replace segments by their pieces (keys, parent_idx, idx, start_s, end_s, label).
@@ -133,7 +134,6 @@ def apply_subdivision(segments: DataFrame, pieces: DataFrame, keys: Sequence[str
     stays. The outer borders never move and no piece starts before the previous one ends.
     """
     keys = list(keys)
-    split = decide(split, (segments, keys), (pieces, keys))
     parts = pieces.select(*keys, F.col("idx").alias("_i"), F.col("parent_idx"), F.col("start_s").alias("_s"),
                           F.col("end_s").alias("_e"), F.col("label").alias("_l"))
     rows = segments.select(*keys, F.col("idx").alias("parent_idx"), "start_s", "end_s", "label").join(
@@ -161,6 +161,7 @@ def apply_subdivision(segments: DataFrame, pieces: DataFrame, keys: Sequence[str
 
 # ---- refinement -----------------------------------------------------------------------------------
 
+@by_size("segments")
 def refine_windows(segments: DataFrame, episodes: DataFrame, keys: Sequence[str] = EPISODE_KEYS,
                    half: float = REFINE_HALF_WINDOW, interval: float = REFINE_INTERVAL, mode: str = "sheets",
                    split: bool | None = None) -> DataFrame:
@@ -219,6 +220,7 @@ def choose(borders: DataFrame, choices: DataFrame, keys: Sequence[str] = EPISODE
     return rows.withColumn("t", refined).drop("_at", "_n", "_hi", "boundary_s")
 
 
+@by_size("segments")
 def apply_refinement(segments: DataFrame, choices: DataFrame, episodes: DataFrame,
                      keys: Sequence[str] = EPISODE_KEYS, half: float = REFINE_HALF_WINDOW,
                      interval: float = REFINE_INTERVAL, mode: str = "sheets",
@@ -226,30 +228,20 @@ def apply_refinement(segments: DataFrame, choices: DataFrame, episodes: DataFram
     """Re-place every internal border: (segments, notes).
 
     A border may not invert the segment on its left, whose start was just set by the border before it,
-    so times are settled in order by a fold carrying that one start. Borders moved by 0.75 s or more
-    flag both neighbours and lower their confidence.
+    so times are settled in order: by a fold carrying that one start in small episodes, by composing what each border does to
+    it in large ones. Borders moved by 0.75 s or more flag both neighbours and lower their confidence.
     """
     keys = list(keys)
-    split = decide(split, (segments, keys))
     rows = choose(_borders(segments, episodes, keys, half, interval, mode, split), choices, keys, interval, mode, "idx")
     rows = rows.select(*segments.columns, "_ns", "_ne", "_nl", "t")
-    item = F.struct(*[c for c in rows.columns if c not in keys])
-
-    def step(state: Column, x: Column) -> Column:
-        start = F.coalesce(state["start"], x["start_s"])
-        t = F.least(F.greatest(x["t"], start + REFINE_GUARD), x["_ne"] - REFINE_GUARD)
-        t = F.when(x["_ne"].isNotNull(), t)
-        return F.struct(round_true(t, 2).alias("start"), t.alias("t"))
-
-    nothing = F.lit(None).cast("double")
-    settled = fold_groups(rows, keys, ["idx"], item, F.struct(nothing.alias("start"), nothing.alias("t")), step, split)
-    settled = settled.withColumn("_moved", F.abs(F.col("after.t") - (F.col("end_s") + F.col("_ns")) / 2.0))
+    settled = _settled_by_scan(rows, keys) if split else _settled_by_fold(rows, keys)
+    settled = settled.withColumn("_moved", F.abs(F.col("_t") - (F.col("end_s") + F.col("_ns")) / 2.0))
     big = F.col("_moved") >= REFINE_FLAG
     settled = settled.withColumn("_flag", F.when(big, F.concat(F.lit("boundary_moved_"), fixed2("_moved"), F.lit("s"))))
     o = ordered(settled, keys, ["idx"], split).shift(prev={"_pf": "_flag"})
     touched = F.col("_pf").isNotNull() | F.col("_flag").isNotNull()
     out = o.df.withColumns({
-        "start_s": F.coalesce("before.start", "start_s"), "end_s": F.coalesce("after.start", "end_s"),
+        "start_s": F.coalesce("_from", "start_s"), "end_s": F.coalesce("_to", "end_s"),
         "flags": F.concat("flags", F.array_compact(F.array("_pf", "_flag"))),
         "confidence": F.when(touched, "low").otherwise(F.col("confidence"))}).select(*segments.columns)
     notes = settled.filter(big).select(*keys, F.col("idx").alias("boundary_idx"), F.concat(
@@ -258,8 +250,51 @@ def apply_refinement(segments: DataFrame, choices: DataFrame, episodes: DataFram
     return out, notes
 
 
+def _placed(start: Column, t: Column, end: Column) -> Column:
+    """Where a border goes, given the start of the segment before it and the end of the one after; null without one."""
+    return F.when(end.isNotNull(), F.least(F.greatest(t, start + REFINE_GUARD), end - REFINE_GUARD))
+
+
+def _settled_by_fold(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``_from`` and ``_to``, the rounded borders around each segment, and ``_t``, the right one before rounding."""
+    item = F.struct(*[c for c in rows.columns if c not in keys])
+
+    def step(state: Column, x: Column) -> Column:
+        t = _placed(F.coalesce(state["start"], x["start_s"]), x["t"], x["_ne"])
+        return F.struct(round_true(t, 2).alias("start"), t.alias("t"))
+
+    nothing = F.lit(None).cast("double")
+    settled = fold_groups(rows, keys, ["idx"], item, F.struct(nothing.alias("start"), nothing.alias("t")), step, False)
+    return settled.withColumns({"_from": F.col("before.start"), "_to": F.col("after.start"), "_t": F.col("after.t")}).drop("before", "after")
+
+
+def _settled_by_scan(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The same without a sequence. In hundredths, the step of a border is s -> min(max(s + shift, low), high): rounding never
+    changes an order, so it may be applied to the three parts. Such steps compose to one of their kind; the first border
+    of a group does not depend on a start before it."""
+    guard = round(REFINE_GUARD * 100)
+
+    def hundredths(c: Column) -> Column:
+        return F.round(round_true(c, 2) * 100).cast("long")
+
+    def after(a: Column, b: Column) -> Column:
+        low = F.greatest(a["low"] + b["shift"], b["low"])
+        return F.struct((a["shift"] + b["shift"]).alias("shift"), low.alias("low"),
+                        F.least(F.greatest(a["high"] + b["shift"], b["low"]), b["high"]).alias("high"))
+
+    o = ordered(rows, keys, ["idx"], True).shift(prev={"_before": "idx"})
+    first = hundredths(_placed(F.col("start_s"), F.col("t"), F.col("_ne")))
+    step = F.when(F.col("_before").isNull(), F.struct(F.lit(0).cast("long").alias("shift"), first.alias("low"), first.alias("high"))).otherwise(
+        F.struct(F.lit(guard).cast("long").alias("shift"), hundredths(F.col("t")).alias("low"), hundredths(F.col("_ne") - REFINE_GUARD).alias("high")))
+    o = o.scan("_step", F.when(F.col("_ne").isNotNull(), step), after)
+    value = F.least(F.greatest(F.col("_step.shift"), F.col("_step.low")), F.col("_step.high")) / F.lit(100.0)
+    o = o.with_columns({"_to": F.when(F.col("_ne").isNotNull(), value)}).shift(prev={"_from": "_to"})
+    return o.df.withColumn("_t", _placed(F.coalesce("_from", "start_s"), F.col("t"), F.col("_ne"))).drop("_before", "_step")
+
+
 # ---- labelling ------------------------------------------------------------------------------------
 
+@by_size("segments")
 def with_neighbours(segments: DataFrame, keys: Sequence[str] = EPISODE_KEYS, split: bool | None = None) -> DataFrame:
     """Labels of the previous and the following segment."""
     return ordered(segments, keys, ["idx"], split).shift(prev={"previous": "label"}, next={"following": "label"}).df

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanlake.functions import intervals as iv
 from spanlake.functions.rounding import round_true
-from spanlake.operators.layout import decide, ordered
+from spanlake.operators.layout import by_size, ordered
 from spanlake.operators.scoring import boundary_errors, match, quantile, scopes
 from spanlake.schema import DEFAULT_PRICE, RUN_KEYS
 
@@ -110,15 +110,18 @@ def dataset_profile(episodes: DataFrame, gold: DataFrame, by: str = "family") ->
         "segments_per_episode", F.coalesce("segments", F.lit(0)) / F.col("episodes"))
 
 
-def coverage_profile(episodes: DataFrame, gold: DataFrame, by: str = "family", split: bool | None = None) -> DataFrame:
-    """Per family: median share of an episode that gold covers, episodes with internal gaps, median
-    unannotated tail."""
-    split = decide(split, (gold, ["episode_id"]))
+@by_size("gold", keys=["episode_id"])
+def _covered(gold: DataFrame, split: bool | None = None) -> DataFrame:
     o = ordered(gold, ["episode_id"], ["start_s", "end_s", "idx"], split).shift(prev={"_pe": "end_s"})
-    per = o.df.groupBy("episode_id").agg(
+    return o.df.groupBy("episode_id").agg(
         F.sum(iv.duration()).alias("_covered"), F.max("end_s").alias("_end"),
         F.bool_or(F.coalesce(F.col("start_s") > F.col("_pe"), F.lit(False))).alias("_gap"))
-    rows = episodes.join(per, "episode_id", "left").na.fill(0.0, ["_covered", "_end"])
+
+
+def coverage_profile(episodes: DataFrame, gold: DataFrame, by: str = "family", split: bool | None = None) -> DataFrame:
+    """Per family: median share of an episode that gold covers, episodes with internal gaps, median
+    unannotated tail."""
+    rows = episodes.join(_covered(gold, split), "episode_id", "left").na.fill(0.0, ["_covered", "_end"])
     rows = rows.withColumns({"coverage": iv.ratio("_covered", "duration_s"), "tail": F.col("duration_s") - F.col("_end")})
     out = rows.groupBy(by).agg(F.count("*").alias("episodes"), F.count_if("_gap").alias("with_gaps"))
     for c in ("coverage", "tail"):
@@ -140,10 +143,10 @@ def worst(counts: DataFrame, n: int = 1) -> DataFrame:
         c for c in RUN_KEYS if c in counts.columns)).limit(n)
 
 
+@by_size("pred", "gold", keys=RUN_KEYS)
 def inspect(pred: DataFrame, gold: DataFrame, split: bool | None = None) -> DataFrame:
     """Everything to look at in the given episodes, one row per item: gold spans with a match mark,
     predicted spans, and gold boundaries with their distance to the nearest prediction."""
-    split = decide(split, (pred, RUN_KEYS), (gold, RUN_KEYS))
     keys = list(RUN_KEYS)
     hit = match(pred, gold, 0.5, split=split).select(*keys, F.col("g_idx").alias("idx"), F.lit(True).alias("matched"))
     g = gold.select(*keys, "idx", "start_s", "end_s", "label").join(hit, [*keys, "idx"], "left")

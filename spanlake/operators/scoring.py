@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.functions import intervals as iv
-from spanlake.operators.layout import SPLIT_ROWS, Ordered, decide, durable, ordered
+from spanlake.operators.layout import SPLIT_ROWS, Ordered, by_size, chain_wins, durable, ordered
 from spanlake.schema import (DURATION_EDGES, EPS, IOU_THRESHOLDS, RUN_KEYS, SNAPPED_IOU, TOLERANCES)
 
 BUCKETS = iv.bucket_names(DURATION_EDGES)
@@ -48,6 +48,7 @@ def _in_cells(df: DataFrame, start: str, end: str, base: float, side: str) -> Da
     return df.withColumn("cell", F.explode(F.sequence(f"{side}_cell", F.floor(F.col(end) / width))))
 
 
+@by_size("pred", "gold")
 def candidates(pred: DataFrame, gold: DataFrame, min_iou: float = IOU_THRESHOLDS[0],
                keys: Sequence[str] = RUN_KEYS, split: bool | None = None, carry=()) -> DataFrame:
     """All pairs with IoU >= ``min_iou`` (> 0): (keys, p_idx, g_idx, iou, p0, p1, g0, g1, *carry).
@@ -59,7 +60,6 @@ def candidates(pred: DataFrame, gold: DataFrame, min_iou: float = IOU_THRESHOLDS
     """
     if min_iou <= 0:
         raise ValueError("min_iou must be positive")
-    split = decide(split, (pred, keys), (gold, keys))
     p, g = _sides(pred, gold, keys, carry)
     score = iv.iou("p0", "p1", "g0", "g1")
     touching = (F.col("p0") < F.col("g1")) & (F.col("g0") < F.col("p1"))
@@ -100,13 +100,13 @@ def point_join(outer: DataFrame, points: DataFrame, keys: Sequence[str], o0: str
     return outer.join(points, [*keys, "_level", "_cell"]).filter(holds).drop("_level", "_cell")
 
 
+@by_size("pred", "gold")
 def overlaps(pred: DataFrame, gold: DataFrame, keys: Sequence[str] = RUN_KEYS, split: bool | None = None) -> DataFrame:
     """All pairs that share time, however little: (keys, p_idx, g_idx, iou, p0, p1, g0, g1).
 
     Small episodes join on the episode. With ``split``: of two spans that overlap, one starts inside the
     other, so this is two point lookups.
     """
-    split = decide(split, (pred, keys), (gold, keys))
     p, g = _sides(pred, gold, keys)
     touching = (F.col("p0") < F.col("g1")) & (F.col("g0") < F.col("p1"))
     if not split:
@@ -118,6 +118,7 @@ def overlaps(pred: DataFrame, gold: DataFrame, keys: Sequence[str] = RUN_KEYS, s
     return later_gold.select(columns).union(later_pred.select(columns)).withColumn("iou", iv.iou("p0", "p1", "g0", "g1"))
 
 
+@by_size("outer", "inner")
 def inside_pairs(outer: DataFrame, inner: DataFrame, min_cov: float, keys: Sequence[str] = RUN_KEYS,
                  split: bool | None = None) -> DataFrame:
     """Pairs where ``outer`` covers at least ``min_cov`` (> 0.5) of ``inner``: (keys, o_idx, i_idx).
@@ -126,7 +127,6 @@ def inside_pairs(outer: DataFrame, inner: DataFrame, min_cov: float, keys: Seque
     """
     if min_cov <= 0.5:
         raise ValueError("min_cov must exceed one half")
-    split = decide(split, (outer, keys), (inner, keys))
     o = outer.select(*keys, F.col("idx").alias("o_idx"), F.col("start_s").alias("o0"), F.col("end_s").alias("o1"))
     i = inner.select(*keys, F.col("idx").alias("i_idx"), F.col("start_s").alias("i0"), F.col("end_s").alias("i1"))
     i = i.filter(F.col("i1") > F.col("i0")).withColumn("_mid", (F.col("i0") + F.col("i1")) / 2)
@@ -142,15 +142,25 @@ def _rank() -> Column:
 
 
 def _match_rounds(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Greedy matching without sequence: in every round accept each pair that ranks first for both its
-    spans, drop the pairs of the accepted spans, repeat until none is left. The ranking is a strict
-    total order, so the accepted set equals the greedy one."""
+    """Greedy matching without sequence. A pair wins exactly if every better pair of its two spans loses, so:
+
+    * a pair that ranks first for both its spans wins;
+    * a pair with a single better one wins if that one loses, which along a chain of such pairs is decided by its distance
+      to the chain's end (``chain_wins``, rounds in the logarithm of the chain);
+    * all others wait until the pairs of the winners' spans are gone.
+
+    The ranking is a strict total order, so the accepted set equals the greedy one.
+    """
     keys, left, done = list(keys), durable(pairs), None
+    key = F.struct("p_idx", "g_idx")
     while not left.isEmpty():
-        best_p = left.groupBy(*keys, "p_idx").agg(F.min(_rank()).alias("bp"))
-        best_g = left.groupBy(*keys, "g_idx").agg(F.min(_rank()).alias("bg"))
-        won = best_p.join(best_g.select(*keys, F.col("bg.p_idx").alias("p_idx"), "bg"), [*keys, "p_idx"])
-        won = durable(won.filter(F.col("bp") == F.col("bg")).select(*keys, "p_idx", F.col("bp.g_idx").alias("g_idx")))
+        by_p, by_g = (Window.partitionBy(*keys, c).orderBy(_rank()) for c in ("p_idx", "g_idx"))
+        ranked = left.select(*keys, key.alias("pair"), F.row_number().over(by_p).alias("_np"), F.lag(key).over(by_p).alias("_up"),
+                             "p_idx", "g_idx", "iou").withColumns({"_ng": F.row_number().over(by_g), "_ug": F.lag(key).over(by_g)})
+        better = F.col("_np") + F.col("_ng") - 2
+        nodes = ranked.select(*keys, "pair", F.when(better == 1, F.coalesce("_up", "_ug")).alias("above"),
+                              F.when(better == 0, F.lit(True)).alias("wins"))
+        won = durable(chain_wins(nodes, keys, "pair", "above").filter("wins").select(*keys, "pair.*"))
         hits = left.join(won, [*keys, "p_idx", "g_idx"], "left_semi")
         done = hits if done is None else done.unionByName(hits)
         left = durable(left.join(won.select(*keys, "p_idx"), [*keys, "p_idx"], "left_anti")
@@ -158,13 +168,13 @@ def _match_rounds(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return pairs.limit(0) if done is None else done
 
 
+@by_size("pairs")
 def greedy(pairs: DataFrame, keys: Sequence[str] = RUN_KEYS, split: bool | None = None) -> DataFrame:
     """Keep pairs one-to-one by descending IoU, then pred index, then gold index.
 
     Pairs that share a span overlap in time, so stretches of overlapping pairs are independent; each is
     folded on its own. The result filtered to iou >= t is the matching at t (greedy is prefix-stable).
     """
-    split = decide(split, (pairs, keys))
     o = ordered(pairs.withColumns({"_h0": F.least("p0", "g0"), "_h1": F.greatest("p1", "g1")}),
                 keys, ["_h0", "_h1", "p_idx", "g_idx"], split)
     o = o.running({"_reach": ("max", "_h1")})
@@ -187,9 +197,12 @@ def _fold(pairs: DataFrame, group: Sequence[str]) -> DataFrame:
     item = F.struct((-F.col("iou")).alias("n_iou"), "p_idx", "g_idx", *rest)
     ranked = pairs.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("_c"))
     nothing = F.filter("_c", lambda _: F.lit(False))
-    accepted = F.aggregate("_c", nothing, lambda acc, x: F.when(
-        F.exists(acc, lambda m: (m["p_idx"] == x["p_idx"]) | (m["g_idx"] == x["g_idx"])), acc)
-        .otherwise(F.concat(acc, F.array(x))))
+    # The spans taken so far stand beside the pairs, in lists of numbers that are searched without a lambda.
+    taken = F.struct(nothing.alias("pairs"), F.transform(nothing, lambda x: x["p_idx"]).alias("p"), F.transform(nothing, lambda x: x["g_idx"]).alias("g"))
+    accepted = F.aggregate("_c", taken, lambda acc, x: F.when(
+        F.array_contains(acc["p"], x["p_idx"]) | F.array_contains(acc["g"], x["g_idx"]), acc)
+        .otherwise(F.struct(F.concat(acc["pairs"], F.array(x)).alias("pairs"), F.concat(acc["p"], F.array(x["p_idx"])).alias("p"),
+                            F.concat(acc["g"], F.array(x["g_idx"])).alias("g"))), lambda acc: acc["pairs"])
     # A stretch of one pair, the common case, needs no fold.
     accepted = F.when(F.size("_c") == 1, F.col("_c")).otherwise(accepted)
     # The outer form (no list is empty) keeps the optimizer from folding once more to test for that.
@@ -198,6 +211,7 @@ def _fold(pairs: DataFrame, group: Sequence[str]) -> DataFrame:
                               for c in fields)))
 
 
+@by_size("pred", "gold")
 def match(pred: DataFrame, gold: DataFrame, threshold: float = 0.5, keys: Sequence[str] = RUN_KEYS,
           assume_disjoint: bool = False, split: bool | None = None) -> DataFrame:
     """One-to-one matches at one threshold: (keys, p_idx, g_idx, iou, p0, p1, g0, g1).
@@ -205,7 +219,6 @@ def match(pred: DataFrame, gold: DataFrame, threshold: float = 0.5, keys: Sequen
     ``assume_disjoint`` skips the matching step: above IoU 0.5 a span has at most one partner when
     both sides are free of overlaps.
     """
-    split = decide(split, (pred, keys), (gold, keys))
     pairs = candidates(pred, gold, threshold, keys, split)
     if assume_disjoint:
         if threshold <= 0.5:
@@ -285,37 +298,37 @@ def _snapped() -> tuple[Column, Column]:
     return start, end
 
 
+@by_size("pred", "gold")
 def snap_ends(pred: DataFrame, gold: DataFrame, keys: Sequence[str] = RUN_KEYS,
               split: bool | None = None) -> DataFrame:
     """Move the first start and the last end of an episode's predictions to its gold ends, never past
     the other end of the same span: (keys, idx, start_s, end_s). No gold: unchanged."""
-    split = decide(split, (pred, keys), (gold, keys))
     start, end = _snapped()
     return (_sided(pred, gold, keys, split).df.filter(F.col("side") == PRED)
             .select(*keys, "idx", start.alias("start_s"), end.alias("end_s")))
 
 
+@by_size("pred", "gold")
 def match_snapped(pred: DataFrame, gold: DataFrame, keys: Sequence[str] = RUN_KEYS,
                   split: bool | None = None) -> DataFrame:
     """Matches at IoU 0.75 after ``snap_ends``."""
-    split = decide(split, (pred, keys), (gold, keys))
     return match(snap_ends(pred, gold, keys, split), gold, SNAPPED_IOU, keys, split=split)
 
 
+@by_size("spans")
 def internal_boundaries(spans: DataFrame, keys: Sequence[str] = RUN_KEYS,
                         split: bool | None = None) -> DataFrame:
     """Midpoints between neighbouring spans in index order, without repeats closer than 1e-6 s to the
     last one kept: (keys, b_idx, t)."""
-    split = decide(split, (spans, keys))
     rows = _with_boundaries(_sided(spans, None, keys, split)).filter(F.col("b").isNotNull())
     return rows.select(*keys, F.col("idx").alias("b_idx"), F.col("b").alias("t"))
 
 
+@by_size("left", "right")
 def nearest_boundary(left: DataFrame, right: DataFrame, keys: Sequence[str] = RUN_KEYS,
                      split: bool | None = None) -> DataFrame:
     """Distance from every boundary (keys, b_idx, t) to the nearest one of the other side, both
     directions in one scan: (keys, side, b_idx, t, err); err is null when the other side is empty."""
-    split = decide(split, (left, keys), (right, keys))
     both = reduce(DataFrame.unionByName, (
         df.select(*keys, F.lit(side).alias("side"), F.col("b_idx").alias("idx"), F.col("t").alias("b"))
         for side, df in ((PRED, left), (GOLD, right))))
@@ -324,11 +337,11 @@ def nearest_boundary(left: DataFrame, right: DataFrame, keys: Sequence[str] = RU
         F.col("idx").alias("b_idx"), F.col("b").alias("t"), "err")
 
 
+@by_size("pred", "gold")
 def boundary_errors(pred: DataFrame, gold: DataFrame, keys: Sequence[str] = RUN_KEYS,
                     split: bool | None = None) -> DataFrame:
     """Nearest-boundary distances of the gold and the predicted internal boundaries:
     (keys, side 'gold'/'pred', b_idx, t, err)."""
-    split = decide(split, (pred, keys), (gold, keys))
     rows = _with_errors(_with_boundaries(_sided(pred, gold, keys, split)), keys, split)
     return rows.filter(F.col("b").isNotNull()).select(
         *keys, F.when(F.col("side") == GOLD, "gold").otherwise("pred").alias("side"),
@@ -358,8 +371,9 @@ def _variants(sided: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.select(*keys, "idx", F.explode(pick).alias("_v")).select(*keys, "idx", "_v.*")
 
 
+@by_size("pred", "gold")
 def _counts_and_errors(pred: DataFrame, gold: DataFrame, keys: Sequence[str],
-                       split: bool) -> tuple[DataFrame, DataFrame]:
+                       split: bool | None) -> tuple[DataFrame, DataFrame]:
     keys = list(keys)
     sided = _sided(pred, gold, keys, split)
     spans = _with_errors(_with_boundaries(sided), keys, split)
@@ -395,7 +409,6 @@ def episode_counts(pred: DataFrame, gold: DataFrame, rows: DataFrame | None = No
     ``rows`` (keys plus any episode columns, such as family) lists the scored episodes; without it the
     episodes are those seen in either table. Plain and end-snapped matching share one candidate join.
     """
-    split = decide(split, (pred, keys), (gold, keys))
     counts, _ = _counts_and_errors(pred, gold, keys, split)
     if rows is None:
         return counts
@@ -487,6 +500,7 @@ def recall_by_duration(counts: DataFrame, by: str | None = None) -> DataFrame:
             .filter(F.col("n") > 0).withColumn("recall", F.col("hits") / F.col("n")))
 
 
+@by_size("pred", "gold")
 def segmentation_score(pred: DataFrame, gold: DataFrame, threshold: float = 0.5,
                        keys: Sequence[str] = RUN_KEYS, split: bool | None = None) -> DataFrame:
     """Precision, recall and F1 per episode."""
@@ -501,12 +515,12 @@ def segmentation_score(pred: DataFrame, gold: DataFrame, threshold: float = 0.5,
                                "f1": iv.f1("n_matched", "n_pred", "n_gold")})
 
 
+@by_size("pred", "gold")
 def boundary_score(pred: DataFrame, gold: DataFrame, keys: Sequence[str] = RUN_KEYS,
                    split: bool | None = None, rows: DataFrame | None = None) -> DataFrame:
     """Per episode: boundary recall and precision within each tolerance and the median error. Without
     gold boundaries the shares are null, with gold but no predicted ones they are 0."""
     keys = list(keys)
-    split = decide(split, (pred, keys), (gold, keys))
     errors = boundary_errors(pred, gold, keys, split)
     of_gold = F.col("side") == "gold"
     hits = {f"{name}_{tag(t)}": F.count_if(side & (F.col("err") <= t))
@@ -528,7 +542,6 @@ def boundary_score(pred: DataFrame, gold: DataFrame, keys: Sequence[str] = RUN_K
 def evaluate(pred: DataFrame, gold: DataFrame, rows: DataFrame, by: str | None = "family",
              split: bool | None = None) -> DataFrame:
     """A run's full report: per-episode counts and boundary errors pooled overall and by family."""
-    split = decide(split, (pred, RUN_KEYS), (gold, RUN_KEYS))
     counts, errors = _counts_and_errors(pred, gold, RUN_KEYS, split)
     counts = rows.join(counts, list(RUN_KEYS), "left").na.fill(0, COUNT_COLUMNS)
     return report(counts, by, errors.join(rows, list(RUN_KEYS)))
