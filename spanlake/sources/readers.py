@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanlake import schema
 from spanlake.operators.ingest import family_from_id
@@ -87,12 +88,13 @@ def read_runs(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFram
 def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
     """JSONL checkpoint rows; blank lines are skipped and the last row of an id wins.
 
-    Lines carry no sequence of their own; file name and byte block order them, and inside a file the
-    reader's row order."""
-    raw = spark.read.schema(schema.RUN_ROW).json(path).filter(F.col("id").isNotNull())
-    raw = raw.withColumn("_at", F.struct(F.col("_metadata.file_modification_time"), F.col("_metadata.file_name"),
+    A row's ``seq``, where it has one, tells which is the last, so copied or restored files change nothing. Others are older than
+    any with a number; file time, file name and byte block order them, and inside a file the reader's row order."""
+    numbered = T.StructType([*schema.RUN_ROW.fields, T.StructField("seq", T.LongType())])
+    raw = spark.read.schema(numbered).json(path).filter(F.col("id").isNotNull())
+    raw = raw.withColumn("_at", F.struct(F.col("seq"), F.col("_metadata.file_modification_time"), F.col("_metadata.file_name"),
                                          F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
-    names = [c for c in raw.columns if c not in ("id", "_at")]
+    names = [c for c in raw.columns if c not in ("id", "seq", "_at")]
     last = raw.groupBy("id").agg(F.max_by(F.struct(*names), "_at").alias("_r"))
     return last.select("id", "_r.*")
 
