@@ -1,18 +1,25 @@
 """Main text of web pages by wrapper induction.
 
 Per host and layout every distinct page is aligned with one of them, the reference, by simple tree matching: the largest
-common top-down mapping of two DOM trees that keeps the order of children. Nodes of the reference that say the same on
-all pages that have them, and that most pages have, are the layout's template; what is no template is varying text. The
-content slot is the lowest common ancestor of the varying text. A page is read from the layout's slot, widened to all
-varying text of the page, without what is boilerplate by its element, role or class, and without template nodes that are
-no prose. A page without a wrapper is read from the lowest common ancestor of its text.
+common top-down mapping of two DOM trees that keeps the order of children. The reference has the layout's most frequent structure
+(runs of equal siblings count once), so a box that most pages have is in it. A node that most pages have and at which one text
+stands on at least ``TEMPLATE_SHARE`` of them is template with that text, whatever the reference itself says there; a few odd pages
+change nothing for the others. What is no template is varying text. The content slot is the lowest common ancestor of the varying
+text. A page is read from the layout's slot, widened to all varying text of the page, without what is boilerplate by its element or
+role, and without template nodes that are no prose. A page without a wrapper is read from the lowest common ancestor of its text.
+
+Class and id names are evidence only. A name counts as boilerplate if all its words are such words or words for places and
+boxes, and no other name of the element is one for content; an element that holds most of a page's words is content whatever
+its name, and a page of which nothing would be left is read without regard to names.
 
 A layout is the names of the sections at the page's first branching. Pages that are alone in their layout form one more
 layout of their host. Alignment works on skeletons (names, words and text hashes), whole whatever their size, and sums
-its counts per task, so no task sees all pages of a host. Sizes of mappings depend on shapes alone and are kept per pair
-of shapes; equal subtrees at both ends of two lists of children are matched without search.
+its counts per task, so no task sees all pages of a host; of the texts at a node a task keeps the ``TEXTS`` most frequent ones
+(Misra-Gries counts, exact below that number, else too low by at most n / TEXTS). Sizes of mappings depend on shapes alone and are kept
+per pair of shapes for all pages of a reference; equal subtrees at both ends of two lists of children are matched without search.
 
-Null html is empty. Pages without a host form one group.
+Null html is empty. Pages without a host form one group. Repeated rows are read alike and weigh once in a wrapper; other columns
+are not read, whatever their names, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +27,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,6 +42,12 @@ from spanlake.llm.url_filter import host_of
 
 #: Bytes of references or wrappers up to which they are broadcast; beyond it they are joined by shuffle.
 BROADCAST_BYTES = 64_000_000
+#: Least share of the pages with a node that say the same there, for it to be template.
+TEMPLATE_SHARE = 0.985
+#: Different texts of a node that a task keeps counts of.
+TEXTS = 256
+#: Shapes and pairs of shapes whose sizes are kept for one reference.
+KEPT_SHAPES = 200_000
 #: Groups whose counts a task holds before it hands them on, and cells of an alignment table before it is divided.
 TASK_GROUPS = 1_000
 TABLE_CELLS = 20_000_000
@@ -49,17 +63,22 @@ _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td dd dt figcaption".s
 _CLOSES_P = _BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "body", "html"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table div article section main body html nav aside footer header form td th li blockquote".split())
-_NOISE = re.compile(r"""(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|header|masthead|ads?|adv|advert\w*|banner|promo\w*|sponsor\w*|cookies?|
-notices?|alert|consent|gdpr|popup|modal|overlay|newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|disqus|respond|replies|widget|login|signup|search|pagination|pager|toc)(?:$|[\s_-])""", re.X | re.I)
+# Words of class and id names.
+_BOILERPLATE = re.compile(r"""nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|header|masthead|ads?|adv|advert\w*|banner|promo\w*|sponsor\w*|cookies?|
+notices?|alert|consent|gdpr|popup|modal|overlay|newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|disqus|respond|replies|widget|login|signup|search|pagination|pager|toc""", re.X | re.I)
+_PLACE = re.compile(r"""site|page|main|top|bottom|left|right|upper|lower|center|middle|first|last|inner|outer|global|primary|secondary|mobile|desktop|col|column|row|grid|bar|box|
+block|area|section|container|wrapper|wrap|holder|panel|group|list|items?|links?|buttons?|btns?|icons?|form|input|field|slot|unit|zone|space|title|label|text|toggle|strip|policy|
+posts?|articles?|stories|media|thread|count|\d+|\w""", re.X | re.I)
+_CONTENT = re.compile(r"(?:post|article|entry|story|page|main|text|body)?[\s_-]*(?:content|article|entry|story|text|body)", re.I)
 _SECTIONS = frozenset("html body center div section article main header table".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
 
 class Node:
-    __slots__ = ("tag", "mark", "noise", "kids", "own")
+    __slots__ = ("tag", "mark", "noise", "named", "kids", "own")
 
     def __init__(self, tag: str, mark: str = "", noise: bool = False, own: int | None = None):
-        self.tag, self.mark, self.noise, self.kids, self.own = tag, mark, noise, [], own
+        self.tag, self.mark, self.noise, self.named, self.kids, self.own = tag, mark, noise, False, [], own
 
     @property
     def name(self) -> str:
@@ -72,8 +91,49 @@ def _made(tag: str, attrs: str) -> Node:
     got = {k.lower(): (v or "").strip("\"'") for k, v in _ATTR.findall(attrs)}
     mark = " ".join(sorted(got.get("class", "").split()))
     hidden = "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "")
-    noise = tag in _DROPPED or hidden or got.get("role", "") in _ROLES or (tag not in ("html", "body", "article", "main") and bool(_NOISE.search(mark) or _NOISE.search(got.get("id", ""))))
-    return Node(tag, mark, noise)
+    noise = tag in _DROPPED or hidden or got.get("role", "") in _ROLES
+    node = Node(tag, mark, noise)
+    node.named = not noise and tag not in ("html", "body", "article", "main") and _boilerplate_name([*mark.split(), *got.get("id", "").split()])
+    return node
+
+
+def _boilerplate_name(names: list[str]) -> bool:
+    found = False
+    for name in names:
+        if _CONTENT.fullmatch(name):
+            return False
+        words = [w for w in re.split(r"[\s_-]+|(?<=[a-z])(?=[A-Z])", name) if w]
+        kinds = [bool(_BOILERPLATE.fullmatch(w)) for w in words]
+        found |= any(kinds) and all(k or _PLACE.fullmatch(w) for k, w in zip(kinds, words))
+    return found
+
+
+def _weighed(root: Node) -> Node:
+    """Names that stand for boilerplate decide only where they leave most of what surrounds them: elements with more than half of
+    the page's words lose theirs, and if nothing else is left all do."""
+    order, todo, named = [], [root], []
+    while todo:
+        x = todo.pop()
+        order.append(x)
+        if x.named:
+            named.append(x)
+        todo.extend(k for k in _elements(x) if not _is_noise(k, True, names=False))
+    if not named:
+        return root
+    words: dict[int, int] = {}
+    for x in reversed(order):
+        words[id(x)] = len(_own_text(x).split()) + sum(words.get(id(k), 0) for k in _elements(x))
+    for x in named:
+        x.named = 2 * words[id(x)] <= words[id(root)]
+    left, todo = 0, [root]
+    while todo and not left:
+        x = todo.pop()
+        left += bool(_own_text(x))
+        todo.extend(k for k in _elements(x) if not _is_noise(k, True))
+    if not left:
+        for x in named:
+            x.named = False
+    return root
 
 
 def parse(source: str) -> Node:
@@ -111,7 +171,7 @@ def parse(source: str) -> Node:
             at = end.end() if end else n
         elif tag not in _VOID and not attrs.endswith("/"):
             stack.append(node)
-    return root
+    return _weighed(root)
 
 
 def _close(stack: list[Node], tags: set[str]) -> None:
@@ -123,11 +183,11 @@ def _close(stack: list[Node], tags: set[str]) -> None:
             return
 
 
-def _is_noise(node: Node, inside: bool) -> bool:
+def _is_noise(node: Node, inside: bool, names: bool = True) -> bool:
     """A header of the content itself, with a heading in it, is content."""
     if node.tag == "header":
         return not (inside and any(isinstance(k, Node) and re.fullmatch("h[1-6]", k.tag) for k in node.kids))
-    return node.noise
+    return node.noise or names and node.named
 
 
 def _step(path: int, name: str) -> int:
@@ -343,12 +403,13 @@ def match(a: Node, b: Node, size: dict[tuple[int, int], int]) -> int:
     return n
 
 
-def aligned(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """The matched pairs of nodes; of mappings of one size one that pairs equal subtrees."""
-    shapes = Shapes()
-    of = shapes.of(a) | shapes.of(b)
+def aligned(a: Node, b: Node, shapes: Shapes | None = None, of_a: dict[int, tuple[int, int]] | None = None) -> list[tuple[Node, Node]]:
+    """The matched pairs of nodes; of mappings of one size one that pairs equal subtrees. Shapes that already number a are
+    used with its numbers."""
     if a.name != b.name:
         return []
+    shapes = shapes or Shapes()
+    of = (of_a or shapes.of(a)) | shapes.of(b)
     out, todo = [], [(a, b)]
     while todo:
         x, y = todo.pop()
@@ -401,39 +462,64 @@ def from_skeleton(raw: bytes) -> tuple[list[Node], np.ndarray]:
     return nodes, numbers[:, 1]
 
 
-_reference = lru_cache(maxsize=64)(from_skeleton)
+class Reference:
+    """A page that others are aligned with; what was found about shapes serves for all of them."""
+
+    def __init__(self, raw: bytes):
+        self.nodes, self.words = from_skeleton(raw)
+        self.at = {id(x): i for i, x in enumerate(self.nodes)}
+        self._renew()
+
+    def _renew(self) -> None:
+        self.shapes = Shapes()
+        self.of = self.shapes.of(self.nodes[0])
 
+    def owns(self, page: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes that a page has, and the hashes of their texts there."""
+        if len(self.shapes.numbers) + len(self.shapes.sizes) > KEPT_SHAPES:
+            self._renew()
+        pairs = aligned(self.nodes[0], from_skeleton(page)[0][0], self.shapes, self.of)
+        return np.array([self.at[id(x)] for x, _ in pairs], np.int64), np.array([y.own for _, y in pairs], np.uint64)
 
-def agreement(reference: bytes, page: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Per node of the reference whether the page has it, and whether it says the same there."""
-    nodes, _ = _reference(reference)
-    at = {id(x): i for i, x in enumerate(nodes)}
-    has, same = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
-    for x, y in aligned(nodes[0], from_skeleton(page)[0][0]):
-        has[at[id(x)]], same[at[id(x)]] = 1, x.own == y.own
-    return has, same
+
+_reference = lru_cache(maxsize=64)(Reference)
+
+
+def structure(root: Node) -> int:
+    """Hash of a page's names, runs of equal siblings as one."""
+    order, todo, found = [], [root], {}
+    while todo:
+        x = todo.pop()
+        order.append(x)
+        todo.extend(k for k in _elements(x) if not _is_noise(k, True))
+    for x in reversed(order):
+        kids = [found[id(k)] for k in _elements(x) if id(k) in found]
+        runs = [k for i, k in enumerate(kids) if not i or k != kids[i - 1]]
+        found[id(x)] = xxhash.xxh64_intdigest(np.array(runs, np.uint64).tobytes(), xxhash.xxh64_intdigest(x.name.encode("utf-8", "replace")))
+    return found[id(root)] >> 1
 
 
-def induced(reference: bytes, pages: int, has: np.ndarray, same: np.ndarray) -> dict:
-    """Wrapper of a layout from the counts over its other pages: constant (pairs of the hashes of path and text) and slot
-    (hash of its path)."""
+def induced(reference: bytes, pages: int, has: np.ndarray, texts: dict[int, tuple[int, int]]) -> dict:
+    """Wrapper of a layout from the counts over its pages: constant (pairs of the hashes of path and text) and slot (hash of
+    its path). has: pages with each node; texts: per node its most frequent text and the pages that say it."""
     nodes, words = from_skeleton(reference)
     paths = {id(nodes[0]): 0}
     for x in nodes:
         for k in x.kids:
             paths[id(k)] = _step(paths[id(x)], k.name)
-    constant = (words > 0) & (has == same) & (has > 0) & (2 * (has + 1) > pages)
-    slot = content(nodes[0], {id(x): int(n) for x, n, c in zip(nodes, words, constant) if n and not c})
+    said = {i: own for i, (own, n) in texts.items() if own and has[i] > 1 and 2 * has[i] > pages and n >= TEMPLATE_SHARE * has[i]}
+    slot = content(nodes[0], {id(x): int(n) for i, (x, n) in enumerate(zip(nodes, words)) if n and i not in said})
     if slot is None:
         return {}
-    return {"slot": paths[id(slot)], "constant": sorted({(paths[id(x)], x.own) for x, c in zip(nodes, constant) if c})}
+    return {"slot": paths[id(slot)], "constant": sorted({(paths[id(nodes[i])], own) for i, own in said.items()})}
 
 
 def extract(source: str | None, wrapper: dict) -> str:
     """Blocks of the page's main text, joined by line feeds."""
-    if not source:
-        return ""
-    root = parse(source)
+    return _extracted(parse(source), wrapper) if source else ""
+
+
+def _extracted(root: Node, wrapper: dict) -> str:
     constant = wrapper.get("constant") or ()
     words: dict[int, int] = {}
     fixed: set[int] = set()
@@ -477,29 +563,49 @@ def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = xxhash.xxh64_intdigest(tree) >> 1
             if (host, h) not in seen:      # a copy within the task
                 seen.add((host, h))
-                rows.append((host, layout(root), h, tree))
+                rows.append((host, layout(root), structure(root), h, tree))
         if len(seen) > 1_000_000:
             seen.clear()
-        cols = list(zip(*rows)) if rows else [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["host", "layout", "h", "tree"])
+        cols = list(zip(*rows)) if rows else [()] * 5
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["host", "layout", "kind", "h", "tree"])
+
+
+class _Sums:
+    """Counts of one layout in one task: pages with each node, and of each node with text its most frequent texts."""
+
+    def __init__(self):
+        self.has: Counter = Counter()
+        self.texts: dict[int, Counter] = {}
+
+    def add(self, nodes: np.ndarray, owns: np.ndarray) -> None:
+        for i, own in zip(nodes.tolist(), owns.tolist()):
+            self.has[i] += 1
+            if own:
+                seen = self.texts.setdefault(i, Counter())
+                seen[own] += 1
+                if len(seen) > TEXTS:
+                    self.texts[i] = Counter({k: v - 1 for k, v in seen.items() if v > 1})
+
+    def rows(self) -> Iterator[tuple[int, int, int]]:
+        yield from ((i, 0, n) for i, n in self.has.items())
+        yield from ((i, own, n) for i, seen in self.texts.items() for own, n in seen.items())
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the agreements per task, layout and node of the reference."""
-    sums: dict[tuple[str, int], list[np.ndarray]] = {}
+    """Sums over the pages of a task: (host, group, node, text or 0 for any, pages)."""
+    sums: dict[tuple[str, int], _Sums] = {}
 
     def rows() -> Iterator[pa.RecordBatch]:
-        for (host, group), (has, same) in sums.items():
-            n = len(has)
-            yield pa.RecordBatch.from_arrays([pa.array([host] * n, pa.string()), pa.array([group] * n, pa.int64()), pa.array(np.arange(n)), pa.array(has), pa.array(same)],
-                                             ["host", "grp", "node", "has", "same"])
+        for (host, group), found in sums.items():
+            node, own, n = (np.array(c, t) for c, t in zip(zip(*found.rows()), (np.int64, np.uint64, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([host] * len(node), pa.string()), pa.array([group] * len(node), pa.int64()), pa.array(node), pa.array(own.view(np.int64)), pa.array(n)],
+                                             ["host", "grp", "node", "own", "n"])
         sums.clear()
 
     for batch in batches:
         for host, group, tree, reference in zip(*(batch.column(k) for k in range(4))):
-            got = agreement(reference.as_py(), tree.as_py())
-            key = host.as_py(), group.as_py()
-            sums[key] = [a + b for a, b in zip(sums[key], got)] if key in sums else list(got)
+            sums.setdefault((host.as_py(), group.as_py()), _Sums()).add(*_reference(reference.as_py()).owns(tree.as_py()))
         if len(sums) > TASK_GROUPS:
             yield from rows()
     yield from rows()
@@ -509,47 +615,70 @@ def _induced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         made = []
         for tree, pages, nodes in zip(batch.column("reference").to_pylist(), batch.column("pages").to_pylist(), batch.column("nodes").to_pylist()):
-            counts = np.array(sorted((x["node"], x["has"], x["same"]) for x in nodes), np.int64)
-            made.append(json.dumps(induced(tree, pages, counts[:, 1], counts[:, 2])))
+            has = np.zeros(int.from_bytes(tree[:4], "little"), np.int64)
+            has[[x["node"] for x in nodes]] = [x["has"] for x in nodes]
+            texts = {x["node"]: (x["top"]["own"] % 2**64, x["top"]["n"]) for x in nodes if x["top"] is not None}
+            made.append(json.dumps(induced(tree, pages, has, texts)))
         yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("grp"), pa.array(made, pa.string())], ["host", "grp", "wrapper"])
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """host, layout, wrapper (JSON) of every layout of a host that has two different pages."""
-    trees = pages.where("html is not null").select("host", "html").mapInArrow(_skeletons, "host string, layout long, h long, tree binary")
-    distinct = written(trees.groupBy("host", "layout", "h").agg(F.first("tree").alias("tree")), "html-skeletons")
-    layouts = written(distinct.groupBy("host", "layout").agg(F.count("*").alias("pages"), F.min_by("tree", "h").alias("reference")), "html-layouts")
+    trees = pages.where("html is not null").select("host", "html").mapInArrow(_skeletons, "host string, layout long, kind long, h long, tree binary")
+    distinct = written(trees.groupBy("host", "layout", "h").agg(F.first("kind").alias("kind"), F.first("tree").alias("tree")), "html-skeletons")
+    kinds = distinct.groupBy("host", "layout", "kind").agg(F.count("*").alias("n"), F.min_by("tree", "h").alias("tree"))
+    layouts = written(kinds.groupBy("host", "layout").agg(F.sum("n").alias("pages"), F.min_by("tree", F.struct(-F.col("n"), "kind")).alias("reference")), "html-layouts")
     many, lone = layouts.where("pages > 1"), layouts.where("pages = 1")
     # Pages alone in their layout are one group of their host, with number 0.
     rest = lone.groupBy("host").agg(F.count("*").alias("pages"), F.min_by("reference", "layout").alias("reference")).where("pages > 1")
     references = written(many.select("host", F.col("layout").alias("grp"), "pages", "reference").union(rest.select("host", F.lit(0).cast("long"), "pages", "reference")), "html-references")
     members = distinct.select("host", F.col("layout").alias("grp"), "tree").union(lone.select("host", F.lit(0).cast("long"), F.col("reference")))
     known = references.select(F.col("host").alias("r_host"), F.col("grp").alias("r_grp"), "reference")
-    pairs = members.join(_small(known, "reference"), (F.col("host") == F.col("r_host")) & (F.col("grp") == F.col("r_grp"))).where("tree != reference")
-    counts = pairs.select("host", "grp", "tree", "reference").mapInArrow(_counted, "host string, grp long, node long, has long, same long")
-    sums = counts.groupBy("host", "grp", "node").agg(F.sum("has").alias("has"), F.sum("same").alias("same"))
-    per_group = sums.groupBy("host", "grp").agg(F.collect_list(F.struct("node", "has", "same")).alias("nodes"))     # the nodes of one page
+    pairs = members.join(_small(known, "reference"), (F.col("host") == F.col("r_host")) & (F.col("grp") == F.col("r_grp")))
+    counts = pairs.select("host", "grp", "tree", "reference").mapInArrow(_counted, "host string, grp long, node long, own long, n long")
+    sums = counts.groupBy("host", "grp", "node", "own").agg(F.sum("n").alias("n"))
+    text = F.when(F.col("own") != 0, F.struct("n", "own"))
+    per_node = sums.groupBy("host", "grp", "node").agg(F.max(F.when(F.col("own") == 0, F.col("n"))).alias("has"), F.max(text).alias("top"))
+    per_group = per_node.groupBy("host", "grp").agg(F.collect_list(F.struct("node", "has", "top")).alias("nodes"))     # the nodes of one page
     made = references.join(per_group, ["host", "grp"]).select("host", "grp", "pages", "reference", "nodes").mapInArrow(_induced, "host string, grp long, wrapper string")
     of = layouts.select("host", "layout", F.when(F.col("pages") > 1, F.col("layout")).otherwise(0).alias("grp"))
     return of.join(written(made, "html-induced"), ["host", "grp"]).select("host", "layout", "wrapper")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text of every page."""
+    """page_id, url, text of every page.
+
+    Wrappers of up to ``BROADCAST_BYTES`` go to the tasks, which then parse each page once more and look its layout up; beyond it the
+    layouts are found first and wrappers joined by them.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("host", F.coalesce(host_of(F.col("url")), F.lit("")))
-    learned = written(wrappers(rows), "html-wrappers").select(F.col("host").alias("w_host"), F.col("layout").alias("w_layout"), "wrapper")
+    learned = written(wrappers(rows), "html-wrappers")
+    size = learned.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host") + 200)).first()[0] or 0
+    schema = "page_id long, url string, text string"
+    if size <= BROADCAST_BYTES:
+        known = rows.sparkSession.sparkContext.broadcast({(r.host, r.layout): r.wrapper for r in learned.toLocalIterator()})
+
+        def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = []
+                for host, source in zip(batch.column("host").to_pylist(), batch.column("html")):
+                    root = parse(source.as_py() or "")
+                    texts.append(_extracted(root, _loaded(known.value.get((host, layout(root))))))
+                yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+        return rows.mapInArrow(looked_up, schema)
 
     def laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [layout(parse(h.as_py() or "")) for h in batch.column("html")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, "layout"])
 
-    rows = rows.mapInArrow(laid_out, "page_id long, url string, html string, host string, layout long")
-    joined = rows.join(_small(learned, "wrapper"), (F.col("host") == F.col("w_host")) & (F.col("layout") == F.col("w_layout")), "left")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [extract(h.as_py(), _loaded(w.as_py())) for h, w in zip(batch.column("html"), batch.column("wrapper"))]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-    return joined.select("page_id", "url", "html", "wrapper").mapInArrow(run, "page_id long, url string, text string")
+
+    rows = rows.mapInArrow(laid_out, "page_id long, url string, html string, host string, layout long")
+    learned = learned.select(F.col("host").alias("w_host"), F.col("layout").alias("w_layout"), "wrapper")
+    joined = rows.join(learned.hint("merge"), (F.col("host") == F.col("w_host")) & (F.col("layout") == F.col("w_layout")), "left")
+    return joined.select("page_id", "url", "html", "wrapper").mapInArrow(run, schema)
