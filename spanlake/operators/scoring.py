@@ -375,8 +375,10 @@ def _variants(sided: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _counts_and_errors(pred: DataFrame, gold: DataFrame, keys: Sequence[str],
                        split: bool | None) -> tuple[DataFrame, DataFrame]:
     keys = list(keys)
+    # Written once: everything below reads this table, and neither input again.
     sided = _sided(pred, gold, keys, split)
-    spans = _with_errors(_with_boundaries(sided), keys, split)
+    sided = Ordered(durable(sided.rows), keys, sided.order, split)
+    spans = durable(_with_errors(_with_boundaries(sided), keys, split).select(*keys, "side", "start_s", "end_s", "b", "err"))
     of_gold, has = F.col("side") == GOLD, F.col("b").isNotNull()
     bucket = iv.duration_bucket(iv.duration())
 
@@ -389,6 +391,7 @@ def _counts_and_errors(pred: DataFrame, gold: DataFrame, keys: Sequence[str],
     sums |= {name(b, "n"): of_gold & (bucket == b) for b in BUCKETS}
     by_span = spans.groupBy(*keys).agg(*(F.count_if(c).alias(n) for n, c in sums.items()))
 
+    gold = sided.df.filter(F.col("side") == GOLD)
     pairs = candidates(_variants(sided.df, keys), gold, IOU_THRESHOLDS[0], keys, split, carry=("use",))
     pairs = pairs.withColumn("use", F.explode("use")).filter((F.col("use") == "plain") | (F.col("iou") >= SNAPPED_IOU))
     plain, hit = F.col("use") == "plain", F.col("iou") >= 0.5

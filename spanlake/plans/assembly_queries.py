@@ -11,6 +11,8 @@ from spanlake.functions.rounding import round_true_sql
 from spanlake.operators import clean as cl
 from spanlake.operators import frames as fr
 from spanlake.operators import proposals as pr
+from spanlake.operators import vocabulary as vc
+from spanlake.operators.layout import ordered
 from spanlake.plans import annotate as an
 from spanlake.plans.registry import block, query
 from spanlake.sources import readers, writers
@@ -678,6 +680,35 @@ def closed_vocabulary(t: Tables):
     return t.raw("part").select("p_partkey", "p_name", text.snap_to_vocabulary("p_name", vocabulary).alias("snapped"))
 
 
+block("""
+shared_entries AS (
+  SELECT entry, row_number() OVER (ORDER BY entry) - 1 AS pos FROM (
+    SELECT DISTINCT p_type || ' ' || p_name AS entry FROM part
+    UNION SELECT DISTINCT p_type || ' ' || upper(p_name) || ' of_the set' FROM part WHERE p_type <> 'LARGE')),
+shared_list AS (SELECT list(entry ORDER BY pos) AS entries FROM shared_entries),
+shared_labels AS (
+  SELECT p_partkey, 0 AS form, p_name || ' ' || lower(p_type) || ' ' || p_brand AS label FROM part
+  UNION ALL SELECT p_partkey, 1, lower(p_type || ' ' || p_name) FROM part
+  UNION ALL SELECT p_partkey, 2, p_type || ' ' || p_name FROM part
+  UNION ALL SELECT p_partkey, 3, p_brand FROM part
+  UNION ALL SELECT p_partkey, 4, 'set of_the ' || p_name || ' and one more that is not very short' FROM part)""")
+
+
+@query("shared_vocabulary", f"""
+SELECT l.p_partkey, l.form, d.snapped FROM shared_labels l JOIN (
+  SELECT label, {snap_sql('label', 'entries')} AS snapped FROM (SELECT DISTINCT label FROM shared_labels) CROSS JOIN shared_list) d USING (label)""")
+def shared_vocabulary(t: Tables):
+    part = t.raw("part")
+    entry = F.concat_ws(" ", "p_type", "p_name")
+    entries = part.select(entry.alias("entry")).union(part.filter("p_type <> 'LARGE'").select(
+        F.concat_ws(" ", "p_type", F.upper("p_name"), F.lit("of_the set")))).distinct()
+    entries = ordered(entries.withColumn("_all", F.lit(0)), ["_all"], ["entry"], True).number("pos").df
+    forms = (F.concat_ws(" ", "p_name", F.lower("p_type"), "p_brand"), F.lower(entry), entry, F.col("p_brand"),
+             F.concat_ws(" ", F.lit("set of_the"), "p_name", F.lit("and one more that is not very short")))
+    labels = part.select("p_partkey", F.posexplode(F.array(*forms)).alias("form", "label"))
+    return vc.snap_shared(labels, entries).select("p_partkey", "form", "snapped")
+
+
 @query("label_disagreement", f"""
 SELECT a.p_partkey, {jaccard_sql(tokens_sql('a.p_name'), tokens_sql("b.p_name || ' on the-' || b.p_type"))} < 0.34 AS differs,
        lower(a.p_name) <> lower(b.p_name || ' on the-' || b.p_type) AS differs_exactly
