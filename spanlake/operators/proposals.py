@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from spanlake.functions import text
 from spanlake.functions.rounding import round_true
-from spanlake.operators import frames
+from spanlake.operators import calls, frames
 from spanlake.operators.clean import fixed2
 from spanlake.operators.layout import by_size, fold_groups, ordered
 from spanlake.schema import (EPISODE_KEYS, EPS, LABEL_CONTEXT, LABEL_MAX_FRAMES, MIN_PIECE, NO_EVENT_LABEL,
@@ -394,15 +394,40 @@ CALL_SCHEMA = struct(ok=T.BooleanType(), answer=T.StringType(), error=T.StringTy
                      prompt_tokens=T.LongType(), output_tokens=T.LongType(), retries=T.LongType())
 
 
-def propose(requests: DataFrame, call: Callable[[pd.DataFrame], pd.DataFrame], keep: Sequence[str]) -> DataFrame:
+def propose(requests: DataFrame, call: Callable[[pd.DataFrame], pd.DataFrame], keep: Sequence[str],
+            ledger: str | None = None) -> DataFrame:
     """Run a user's batch callable over request rows: pandas in, one answer row per request out, with
     any of the ``CALL_SCHEMA`` columns. A batch that raises is retried row by row, and a row that
-    raises becomes ``ok = false`` with the error (300 characters) and trace (last 400)."""
+    raises becomes ``ok = false`` with the error (300 characters) and trace (last 400).
+
+    With ``ledger``, a folder that all executors share, equal requests are one call, every attempt is written there
+    before its answer is used, and no finished call is repeated: not by a task that runs again after it was
+    killed, not by a retried batch, and not by a later job over the same or more requests. ``calls.usage`` sums what all
+    attempts took, failed ones included. Failed requests are asked again by a later job.
+    """
     keep = list(keep)
+    schema = T.StructType([requests.schema[k] for k in keep] + CALL_SCHEMA.fields)
+    if ledger is None:
+        return requests.mapInPandas(_caller(call, keep, None), schema)
+    asked = requests.withColumn("_key", calls.key(requests))
+    unique = asked.dropDuplicates(["_key"])
+    known = calls.answers(requests.sparkSession, ledger)
+    if known is not None:
+        unique = unique.join(known.select("_key"), "_key", "left_anti")
+    # Sorted, so that a task that runs again cuts the same batches.
+    unique = unique.repartition("_key").sortWithinPartitions("_key")
+    answered = unique.mapInPandas(_caller(call, ["_key"], ledger), T.StructType([T.StructField("_key", T.StringType()), *CALL_SCHEMA.fields]))
+    if known is not None:
+        answered = answered.unionByName(known)
+    return asked.select(*keep, "_key").join(answered, "_key").select(*schema.names)
+
+
+def _caller(call: Callable[[pd.DataFrame], pd.DataFrame], keep: list[str], ledger: str | None):
+    """The function that a task runs over its batches."""
     fields = [(f.name, f.dataType.simpleString()) for f in CALL_SCHEMA.fields]
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        got = call(rows).reset_index(drop=True)
+        got = call(rows.drop(columns="_key", errors="ignore")).reset_index(drop=True)
         if len(got) != len(rows):
             raise ValueError(f"expected {len(rows)} answers, got {len(got)}")
         out = rows[keep].reset_index(drop=True)
@@ -411,30 +436,38 @@ def propose(requests: DataFrame, call: Callable[[pd.DataFrame], pd.DataFrame], k
             out[name] = got[name] if name in got else (0 if kind == "bigint" else None)
         return out
 
-    def failed(row: pd.DataFrame, exc: Exception) -> pd.DataFrame:
-        out = row[keep].reset_index(drop=True)
+    def failed(rows: pd.DataFrame, exc: Exception) -> pd.DataFrame:
+        out = rows[keep].reset_index(drop=True)
         out["ok"], out["answer"] = False, None
         out["error"] = f"{type(exc).__name__}: {exc}"[:300]
         out["trace"] = traceback.format_exc()[-400:]
         for name, kind in fields:
-            if kind == "bigint":
-                out[name] = 0
+            if kind == "bigint":  # what a failed call took, if the error says so
+                out[name] = int(getattr(exc, name, 0) or 0)
         return out
 
+    def attempt(rows: pd.DataFrame, book: calls.Ledger | None) -> tuple[pd.DataFrame, bool]:
+        """The answers to some rows, from the ledger if they are there, and whether the call came through."""
+        if book is not None and (found := book.read(rows["_key"])) is not None:
+            return found
+        try:
+            out, fine = one(rows), True
+        except Exception as exc:  # noqa: BLE001 - isolate the failing rows
+            out, fine = failed(rows, exc), False
+        if book is not None:
+            book.write(rows["_key"], out, fine)
+        return out, fine
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        book = calls.Ledger(ledger) if ledger is not None else None
         for rows in batches:
-            try:
-                yield one(rows)
-            except Exception:  # noqa: BLE001 - isolate the failing rows
-                for i in range(len(rows)):
-                    row = rows.iloc[i:i + 1]
-                    try:
-                        yield one(row)
-                    except Exception as exc:  # noqa: BLE001
-                        yield failed(row, exc)
-
-    schema = T.StructType([requests.schema[k] for k in keep] + CALL_SCHEMA.fields)
-    return requests.mapInPandas(run, schema)
+            out, fine = attempt(rows, book)
+            if fine or len(rows) == 1 and book is not None:
+                yield out
+                continue
+            for i in range(len(rows)):
+                yield attempt(rows.iloc[i:i + 1], book)[0]
+    return run
 
 
 # ---- relabelling ----------------------------------------------------------------------------------

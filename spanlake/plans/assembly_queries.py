@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from spanlake.fixtures import Tables, seconds
 from spanlake.functions import text
 from spanlake.functions.rounding import round_true_sql
+from spanlake.operators import calls
 from spanlake.operators import clean as cl
 from spanlake.operators import frames as fr
 from spanlake.operators import proposals as pr
 from spanlake.operators import vocabulary as vc
-from spanlake.operators.layout import ordered
+from spanlake.operators.layout import ordered, scratch
 from spanlake.plans import annotate as an
 from spanlake.plans.registry import block, query
 from spanlake.sources import readers, writers
@@ -661,6 +662,26 @@ def propose_batch(t: Tables):
     return pr.propose(t.gold, call, ["episode_id", "idx"]).select("episode_id", "idx", "ok", "answer", "error")
 
 
+@query("ledger_usage", """
+SELECT came_through, CAST(sum(n) AS BIGINT) AS requests, CAST(sum(CASE WHEN came_through THEN 10 * n ELSE 7 END) AS BIGINT) AS prompt_tokens FROM (
+  SELECT label <> 'error' AS came_through, count(*) AS n FROM (SELECT DISTINCT label FROM gold) GROUP BY label) GROUP BY 1""")
+def ledger_usage(t: Tables):
+    """What all attempts took, in one call a label. The second run over the same requests asks only what failed, and finds that
+    attempt in the ledger too."""
+    def call(rows: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) > 1 or (rows["label"] == "error").any():
+            failure = ValueError("unusable label" if len(rows) == 1 else "one at a time")
+            failure.prompt_tokens = 7 if len(rows) == 1 else 0
+            raise failure
+        return pd.DataFrame({"answer": rows["label"].str.upper(), "prompt_tokens": 10})
+    path = scratch(t.spark, "calls")
+    asked = t.gold.select("label")
+    for _ in range(2):
+        pr.propose(asked, call, ["label"], ledger=path).write.format("noop").mode("overwrite").save()
+    rows = calls.attempts(t.spark, path).filter("n_rows = 1")
+    return rows.groupBy("came_through").agg(F.sum("n_rows").alias("requests"), F.sum("prompt_tokens").alias("prompt_tokens"))
+
+
 # ---- cleaning -------------------------------------------------------------------------------------
 
 block(clean_sql("cleaned", "raw_segments"))
