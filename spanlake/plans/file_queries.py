@@ -112,22 +112,40 @@ def run_headers(t: Tables) -> DataFrame:
     return readers.read_runs(t.spark, run_path(t))[0].select("run", "model", "episodes", "failed")
 
 
-@query("run_file_rows", """
-SELECT 'run ' || s_suppkey AS run, 'e_' || n AS episode_id, 'f' || (s_suppkey % 2) AS family, n < 2 AS ok FROM supplier, unnest(range(3)) u(n)""")
+RUN_ROWS = """
+SELECT 'run ' || s_suppkey AS run, 'e_' || n AS episode_id, 'f' || (s_suppkey % 2) AS family, n < 2 AS ok FROM supplier, unnest(range(3)) u(n)"""
+
+
+@query("run_file_rows", RUN_ROWS)
 def run_file_rows(t: Tables) -> DataFrame:
     return readers.read_runs(t.spark, run_path(t))[1].select("run", "episode_id", "family", "ok")
 
 
-@query("run_file_spans", """
+@query("split_run_rows", RUN_ROWS)
+def split_run_rows(t: Tables) -> DataFrame:
+    """The same files through the reader that divides a document among tasks."""
+    return readers.read_large_runs(t.spark, run_path(t))[1].select("run", "episode_id", "family", "ok")
+
+
+RUN_SPANS = """
 SELECT 'pred' AS side, 'run ' || s_suppkey AS run, 'e_' || n AS episode_id, 0 AS idx, (s_suppkey % 4 + n)::DOUBLE AS start_s,
        (s_suppkey % 4 + n + 3)::DOUBLE AS end_s, 'go' AS label FROM supplier, unnest(range(3)) u(n)
 UNION ALL SELECT 'gold', 'run ' || s_suppkey, 'e_' || n, i, (s_suppkey % 4 + n + i * 3)::DOUBLE, (s_suppkey % 4 + n + 3)::DOUBLE, 'go'
-FROM supplier, unnest(range(3)) u(n), unnest(range(2)) v(i)""")
+FROM supplier, unnest(range(3)) u(n), unnest(range(2)) v(i)"""
+
+
+@query("run_file_spans", RUN_SPANS)
 def run_file_spans(t: Tables) -> DataFrame:
     _, _, pred, gold = readers.read_runs(t.spark, run_path(t))
     return pred.select(F.lit("pred").alias("side"), "*").unionByName(gold.select(F.lit("gold").alias("side"), "*"))
 
 
+@query("split_run_spans", RUN_SPANS)
+def split_run_spans(t: Tables) -> DataFrame:
+    _, _, pred, gold = readers.read_large_runs(t.spark, run_path(t))
+    return pred.select(F.lit("pred").alias("side"), "*").unionByName(gold.select(F.lit("gold").alias("side"), "*"))
+
+
 @query("checkpoint_rows", """
 SELECT 'e' || o_orderkey AS id, o_orderkey % 5 = 0 OR o_orderkey % 4 <> 0 AS ok,
        CASE WHEN o_orderkey % 5 = 0 THEN 1.5::DOUBLE ELSE (o_orderkey % 11)::DOUBLE END AS elapsed FROM orders""")

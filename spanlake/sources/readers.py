@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from spanlake import schema
 from spanlake.operators.ingest import family_from_id
+from spanlake.sources.documents import read_records
 
 VIDEO_LIMIT = 2 * 1024 ** 3
 UPLOAD_LIMIT = 200 * 1024 ** 2
@@ -85,6 +86,17 @@ def read_runs(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFram
     return runs, rows.drop("pred", "gold"), spans_of(rows, "pred"), spans_of(rows, "gold")
 
 
+def read_large_runs(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``read_runs`` for run files of any size: each is read by many tasks (``documents.read_records``)."""
+    header = T.StructType([f for f in schema.RUN_FILE.fields if f.name != "rows"])
+    heads, records = read_records(spark, paths, "rows", schema.RUN_ROW, header)
+    runs = heads.withColumnRenamed("tag", "run")
+    rows = records.join(runs.select("file", "run"), "file").drop("file", "pos")  # one header a file
+    rows = rows.withColumnRenamed("id", "episode_id").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    rows = rows.select("run", *(c for c in rows.columns if c != "run"))
+    return runs.drop("file"), rows.drop("pred", "gold"), spans_of(rows, "pred"), spans_of(rows, "gold")
+
+
 def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
     """JSONL checkpoint rows; blank lines are skipped and the last row of an id wins.
 
