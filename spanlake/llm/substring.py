@@ -4,7 +4,8 @@ A position is an anchor if it is in {0, 1, 3} modulo 7, a difference cover: for
 takes both to anchors. So two equal windows of 13 words always share an aligned anchor window of 7 words, and only
 3 of 7 positions are compared over the corpus:
 
-1. anchors: documents are dealt to blocks by a hash of doc_id. Each block sends, per bucket of anchor hashes, its
+1. anchors: documents are dealt to blocks by a hash of doc_id and text, so rows that share a doc_id, or have none, spread over
+   all blocks; answers compare ids strictly, so equal ids may lie in different ones. Each block sends, per bucket of anchor hashes, its
    sorted distinct 32-bit codes; a bucket answers with one bit per code: does another block have it. An anchor that
    millions of rows share is one code per block. Codes only select candidates, so a chance collision costs work, not
    correctness.
@@ -49,7 +50,7 @@ def blocks_of(docs: DataFrame, total: int, extra: list[Column]) -> DataFrame:
     """doc_id, text and the block of each row."""
     size = min(MOST_BLOCK_BYTES, max(BLOCK_BYTES, total // BLOCKS))
     return docs.select(*extra, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn(
-        "block", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-total // size)))))
+        "block", F.pmod(F.xxhash64("doc_id", F.col("text").cast("string")), F.lit(max(1, -(-total // size)))))
 
 
 def buckets(docs_bytes: int) -> int:
@@ -275,7 +276,7 @@ WITH w AS (SELECT doc_id, row_number() OVER () AS doc, list_filter(regexp_split_
 g AS (SELECT doc_id, doc, unnest(range(1, len(words) - 11)) AS i, unnest(list_transform(range(1, len(words) - 11), lambda j: md5(array_to_string(words[j:j + 12], ' ')))) AS h
       FROM w WHERE len(words) >= 13),
 m AS (SELECT h, min(doc_id) AS least FROM g GROUP BY h),
-hit AS (SELECT DISTINCT doc, unnest(range(i, i + 13)) AS pos FROM g JOIN m USING (h) WHERE g.doc_id > m.least),
+hit AS (SELECT DISTINCT doc, unnest(range(i, i + 13)) AS pos FROM g JOIN m USING (h) WHERE g.doc_id > m.least OR (g.doc_id IS NULL AND m.least IS NOT NULL)),
 gone AS (SELECT doc, list(pos) AS pos FROM hit GROUP BY doc),
 kept AS (SELECT w.doc_id, len(words) AS n_words, coalesce(len(pos), 0) AS n_removed,
                 CASE WHEN pos IS NULL THEN words ELSE list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), lambda x: NOT list_contains(pos, x[2])), lambda x: x[1]) END AS words
