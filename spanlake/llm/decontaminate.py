@@ -9,7 +9,9 @@ A window can only occur in a run of words that all appear in the benchmark and t
 window, so only such runs are indexed; every other word is in no occurrence.
 
 The test items go to the tasks in blocks of at most ``BLOCK_BYTES``; more items mean more passes over a document, not
-a larger broadcast. Null texts have no words; an item without words is in no document. Item ids may be of any type.
+a larger broadcast. Null texts have no words; an item without words is in no document. Item ids may be of any type; an item
+without one hits words like any other but is not listed or counted among a document's items. Repeated rows count once as items
+and row by row as documents; other columns are carried whatever their names, and empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -147,7 +150,7 @@ class Patterns:
             codes = [code[w] for w in x or ()]
             for k in range(max(1, len(codes) - window + 1) if codes else 0):
                 seen.setdefault(tuple(codes[k:k + window]), set()).add(i)
-        self.items = [str(x) for x in item_ids]
+        self.items = [None if x is None else str(x) for x in item_ids]
         self.vocabulary = pa.array(words, pa.string())
         self.lengths = np.array([len(x) for x in seen], np.int64)
         self.codes = np.zeros((len(seen), window), np.int64)
@@ -213,9 +216,10 @@ def _merge(old: list[dict], new: list[dict]) -> list[dict]:
 _FOUND = pa.struct([("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
-def _search(patterns: Patterns):
+def _search(held: Broadcast):
     """Add what these patterns find to the column found of (text, found, ...)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns: Patterns = held.value
         for batch in batches:
             for lo, hi in chunks(batch.column("text"), SHARD_BYTES):
                 part = batch.slice(lo, hi - lo)
@@ -224,10 +228,10 @@ def _search(patterns: Patterns):
                 found = [{"n_words": int(n), "items": [], "spans": []} for n in np.diff(words.bounds)]
                 starts = np.searchsorted(pairs[:, 0], np.arange(len(found) + 1)) if len(pairs) else None
                 for i in np.unique(pairs[:, 0]) if len(pairs) else ():
-                    found[i]["items"] = [patterns.items[k] for k in pairs[starts[i]:starts[i + 1], 1]]
+                    found[i]["items"] = [x for k in pairs[starts[i]:starts[i + 1], 1] if (x := patterns.items[k]) is not None]
                     found[i]["spans"] = spans_of(inside[words.bounds[i]:words.bounds[i + 1]])
                 for new, old in zip(found, part.column("found").to_pylist()):
-                    if old and old["items"]:
+                    if old and old["spans"]:
                         new["items"], new["spans"] = sorted({*old["items"], *new["items"]}), _merge(old["spans"], new["spans"])
                 at = part.schema.get_field_index("found")
                 yield part.set_column(at, "found", pa.array(found, _FOUND))
@@ -241,8 +245,10 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, *, keep_rest: bool = Fals
     out = docs.select(*([others(docs).alias("rest")] if keep_rest else []), F.col("doc_id"), F.col("text").cast("string").alias("text"),
                       F.lit(None).cast(found).alias("found"))
     for k in range(blocks):
+        # One block at a time is in the driver's memory; a broadcast keeps it in blocks of the store, on disk if need be.
         rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).select("item_id", "text").collect()
-        out = out.mapInArrow(_search(Patterns([r[0] for r in rows], [r[1] for r in rows], window)), out.schema)
+        held = docs.sparkSession.sparkContext.broadcast(Patterns([r[0] for r in rows], [r[1] for r in rows], window))
+        out = out.mapInArrow(_search(held), out.schema)
     return out
 
 
@@ -287,7 +293,7 @@ ns AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT doc, n, unnest(range(1, len(words) - n + 2)) AS i, unnest(list_transform(range(1, len(words) - n + 2), lambda i: array_to_string(words[i:i + n - 1], ' '))) AS win FROM d, ns WHERE len(words) >= n),
 occ AS (SELECT doc, i, dw.n, item_id FROM dw JOIN bw USING (win)),
 hit AS (SELECT doc, count(DISTINCT pos) AS n_hit FROM (SELECT doc, unnest(range(i, i + n)) AS pos FROM occ) GROUP BY doc),
-it AS (SELECT doc, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc, CAST(item_id AS VARCHAR) AS item FROM occ) GROUP BY doc)
+it AS (SELECT doc, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc, CAST(item_id AS VARCHAR) AS item FROM occ WHERE item_id IS NOT NULL) GROUP BY doc)
 SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc) LEFT JOIN it USING (doc)
 """
