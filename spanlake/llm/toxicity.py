@@ -25,9 +25,8 @@ from spanlake.llm.common import Words, ascii_words, chunks, written
 from spanlake.llm.training import remainder, sampled
 
 FOLDS = 5
-#: Bounds of the training sample and of the model.
+#: Bound of the training sample. The model holds every token that scores there, and every one seen often.
 TRAIN_ROWS = 40_000
-MAX_TOKENS = 100_000
 #: Weight of the prior in tokens, least z of a scoring token, largest |score|, score of all other tokens.
 PRIOR = 1_000.0
 LEAST_Z = 4.0
@@ -141,11 +140,11 @@ def token_scores(counts: DataFrame) -> tuple[dict[str, float], frozenset[str], f
     part = lambda n, share: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / ((F.col("n0") + F.col("n1")) * share))).otherwise(0.0)
     ratio = part("n0", t0 / (t0 + t1)) + part("n1", t1 / (t0 + t1))
     scored = counts.select("token", "n0", odds.alias("odds"), F.sqrt(2 * F.greatest(ratio, F.lit(0.0))).alias("z")).where(F.col("z") >= LEAST_Z)
-    rows = scored.orderBy(F.desc("z"), "token").limit(MAX_TOKENS).collect()
+    rows = scored.orderBy(F.desc("z"), "token").collect()    # tokens of the bounded sample
     scores = {r["token"]: float(np.clip(r["odds"] + DRIFT, -LARGEST, LARGEST)) for r in rows}
     # Tokens that are frequent but score nothing must not fall back to their stem.
     known = frozenset(r[0] for r in counts.where((F.col("n0") + F.col("n1") >= 8) & ~F.col("token").startswith("\0"))
-                      .orderBy((F.col("n0") + F.col("n1")).desc(), "token").limit(MAX_TOKENS).select("token").collect())
+                      .select("token").collect())
     # lambda: the mean of exp(lambda * score) over clean tokens is 1.
     value = np.array([scores[r["token"]] for r in rows if r["token"][0] != "\0"] + [DRIFT])
     share = np.array([r["n0"] + 0.5 for r in rows if r["token"][0] != "\0"] + [0.0])
