@@ -258,3 +258,52 @@ def test_one_edit_in_numpy():
                 array = pa.array([a, b])
                 letters, length = spelling._letters(array), np.array([len(a), len(b)])
                 assert bool(spelling._verified(np.array([0]), np.array([1]), letters, length, letters, length)[0]) == (a != b and spelling.one_edit(a, b))
+
+
+# ---- rows without ids in earlier operators --------------------------------------------------------------
+
+def test_rows_without_ids_spread_over_all_blocks(spark):
+    from spanlake.llm import substring
+    rng = random.Random(12)
+    prose = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(40)) for _ in range(n))
+    passage = prose(30)
+    rows = [(k if k % 2 else None, prose(40) + " " + passage * (k % 3 == 0) + " " + prose(20)) for k in range(600)]
+    docs = table(spark, rows)
+    total = substring.text_bytes(docs)
+    dealt = substring.blocks_of(docs, total * 4_000_000 // (total // 20), []).groupBy("block").count().collect()
+    assert len(dealt) == 20 and max(r["count"] for r in dealt) < 3 * 600 / 20
+
+    def plain():
+        split = [(d, t.split()) for d, t in rows]
+        order = lambda d: (d is None, d or 0)
+        least = {}
+        for d, w in split:
+            for i in range(len(w) - 12):
+                key = tuple(w[i:i + 13])
+                least[key] = min(least.get(key, d), d, key=order)
+        out = Counter()
+        for d, w in split:
+            gone = {i + j for i in range(len(w) - 12) if order(least[tuple(w[i:i + 13])]) < order(d) for j in range(13)}
+            out[d, len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()] += 1
+        return out
+    # Many blocks, whatever the size of the table.
+    old = substring.BLOCK_BYTES, substring.MOST_BLOCK_BYTES
+    substring.BLOCK_BYTES = substring.MOST_BLOCK_BYTES = total // 20
+    try:
+        got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.digests(docs).collect())
+    finally:
+        substring.BLOCK_BYTES, substring.MOST_BLOCK_BYTES = old
+    assert got == plain()
+
+
+def test_test_items_without_ids_hit_but_have_no_name(spark):
+    from spanlake.llm import decontaminate
+    item = "one two three four five six seven eight nine ten eleven"
+    benchmark = spark.createDataFrame([(None, item), ("b", "alpha beta gamma"), (None, None)], "item_id string, text string")
+    docs = table(spark, [(1, f"x {item} y"), (2, "no alpha beta gamma"), (3, "nothing"), (None, item)])
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.digests(docs, benchmark).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got == {1: (11, 0, sha(""), True), 2: (3, 1, sha("b"), True), 3: (0, 0, sha(""), False), None: (11, 0, sha(""), True)}
+    blocks = decontaminate.occurrences(docs, benchmark, block_bytes=8).select("doc_id", "found").collect()
+    assert {r.doc_id: (r.found["items"], [tuple(s) for s in r.found["spans"]]) for r in blocks} == {
+        1: ([], [(1, 12)]), 2: (["b"], [(1, 4)]), 3: ([], []), None: ([], [(0, 11)])}
