@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,13 +80,16 @@ def resample(pairs: DataFrame, n_boot: int = BOOTSTRAP, seed: int = SEED, method
     ``index`` draws n episodes with replacement. The paired table is broadcast when it is known to be
     small and joined by shuffle on the drawn number otherwise. ``poisson`` weights each episode
     independently: no join at all, for corpora where drawing n rows per resample is too much; its
-    intervals agree statistically, not digit by digit. Either way sums combine before the shuffle.
+    intervals agree statistically, not digit by digit. ``vectors`` counts episodes with equal counts once
+    (``_by_vectors``): the distribution of ``index`` at the cost of the different ones. In every form sums combine before the shuffle.
     """
     columns = [c for c in pairs.columns if c != "episode_id"]
     boots = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))
     if method == "poisson":
         rows = _spread(pairs).withColumn("b", boots).withColumn("_w", _poisson(F.col("b"), F.col("episode_id"), seed))
         return rows.filter("_w > 0").groupBy("b").agg(*(F.sum(F.col(c) * F.col("_w")).alias(c) for c in columns))
+    if method == "vectors":
+        return _by_vectors(pairs, columns, n_boot, seed)
     if method != "index":
         raise ValueError(f"unknown resampling method {method!r}")
     if n is None:
@@ -101,6 +106,41 @@ def resample(pairs: DataFrame, n_boot: int = BOOTSTRAP, seed: int = SEED, method
     return draws.join(drawn, "_j").groupBy("b").agg(*(F.sum(c).alias(c) for c in columns))
 
 
+# Different count vectors in one draw.
+CHUNK_VECTORS = 20_000
+
+
+def _by_vectors(pairs: DataFrame, columns: Sequence[str], n_boot: int, seed: int) -> DataFrame:
+    """Drawing n episodes with replacement gives every different count vector a multinomial number of copies, so episodes
+    need not be told apart. The draw splits: first among chunks of vectors, by how many episodes each chunk has, then
+    within each chunk, where a task draws all resamples of its vectors. No task holds all vectors, none are broadcast,
+    and what leaves a chunk is one row of sums per resample."""
+    vectors = pairs.groupBy(*columns).agg(F.count("*").alias("_m")).withColumn("_key", F.xxhash64(*columns))
+    n_chunks = max(1, -(-vectors.count() // CHUNK_VECTORS))
+    vectors = durable(vectors.withColumn("_chunk", F.pmod("_key", F.lit(n_chunks))))
+    sizes = sorted((r._chunk, r.m) for r in vectors.groupBy("_chunk").agg(F.sum("_m").alias("m")).collect())  # one row a chunk
+    total = sum(m for _, m in sizes)
+    if not total:
+        return pairs.sparkSession.range(n_boot).select(F.col("id").cast("int").alias("b"), *(F.lit(None).cast("long").alias(c) for c in columns))
+    chunks = [c for c, _ in sizes]
+    share = np.array([m for _, m in sizes], float) / total
+
+    def drawn(group: pa.Table) -> pa.Table:
+        chunk = group.column("_chunk")[0].as_py()
+        order = np.lexsort([group.column(c).to_numpy() for c in (*columns, "_key")])
+        counts = np.stack([group.column(c).to_numpy()[order] for c in columns])
+        m = group.column("_m").to_numpy()[order]
+        sums = np.empty((n_boot, len(columns)), np.int64)
+        for b in range(n_boot):
+            # Every chunk draws the same split of the episodes among chunks, then its own part of it.
+            here = np.random.default_rng([seed, b]).multinomial(total, share)[chunks.index(chunk)]
+            sums[b] = counts @ np.random.default_rng([seed, b, chunk]).multinomial(here, m / m.sum())
+        return pa.table({"b": np.arange(n_boot, dtype=np.int32), **{c: sums[:, k] for k, c in enumerate(columns)}})
+
+    schema = ", ".join(["b int", *(f"{c} long" for c in columns)])
+    return vectors.groupBy("_chunk").applyInArrow(drawn, schema).groupBy("b").agg(*(F.sum(c).alias(c) for c in columns))
+
+
 def deltas(sums: DataFrame) -> DataFrame:
     """Metric differences b - a of every resample in long form: (b, metric, delta)."""
     a, b = _metrics("a"), _metrics("b")

@@ -434,6 +434,12 @@ def poisson_bootstrap(t: Tables):
     return st.paired_bootstrap(episode_counts(t), "a", "b", method="poisson", split=t.split)
 
 
+@query("vector_bootstrap")
+def vector_bootstrap(t: Tables):
+    """Multinomial draws of different count vectors; SQL has no such draw, so tests hold it against the index form."""
+    return st.paired_bootstrap(episode_counts(t), "a", "b", method="vectors", split=t.split)
+
+
 @query("replicated_change", f"""
 SELECT metric, x.delta AS delta_1, y.delta AS delta_2, x.significant AND y.significant AND sign(x.delta) = sign(y.delta) AS replicated
 FROM (WITH {_bootstrap_sql('even_', HALF_SQL.format(0), _draws_sql('even_'))}, {_bootstrap_sql('odd_', HALF_SQL.format(1), _draws_sql('odd_')).strip()}
