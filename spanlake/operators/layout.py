@@ -78,7 +78,7 @@ def _together(a, b):
     return a.together(b) if hasattr(a, "together") else a.unionByName(b)
 
 
-def by_size(*measured: str, keys: str | Sequence[str] = "keys", limit: int = SPLIT_ROWS) -> Callable:
+def by_size(*measured: str, keys: str | Sequence[str] = "keys", limit: int | None = None) -> Callable:
     """Decorator for an operator that works group by group and takes ``split``.
 
     With ``split=None`` the groups of the tables named by ``measured`` are counted. If some are large, every table
@@ -96,7 +96,7 @@ def by_size(*measured: str, keys: str | Sequence[str] = "keys", limit: int = SPL
             if given["split"] is not None:
                 return operator(*bound.args, **bound.kwargs)
             by = list(given[keys] if isinstance(keys, str) else keys)
-            hot = hot_groups([given[name] for name in measured if given[name] is not None], by, limit)
+            hot = hot_groups([given[name] for name in measured if given[name] is not None], by, limit or SPLIT_ROWS)
             if hot is None:
                 given["split"] = False
                 return operator(*bound.args, **bound.kwargs)

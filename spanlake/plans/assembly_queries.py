@@ -201,16 +201,16 @@ def clean_sql(p: str, src: str) -> str:
          CASE WHEN ns2 > e3 THEN {round_true_sql('ahead', 2)} ELSE e3 END AS end_s, label, result, attributes, description, confidence, flags
   FROM {p}_8),
 {p}_w AS (
-  SELECT episode_id, 'segment ''' || label || ''' clamped to the episode (' || printf('%.2f', start_s) || '-' || printf('%.2f', end_s)
-         || ' -> ' || printf('%.2f', s1) || '-' || printf('%.2f', e1) || ')' AS warning FROM {p}_3 WHERE moved
-  UNION ALL SELECT episode_id, 'dropped segment ''' || label || ''' shorter than 0.15s' FROM {p}_3 WHERE short
-  UNION ALL SELECT episode_id, 'label ''' || label || ''' snapped to ''' || snap || '''' FROM {p}_3 WHERE snapped
-  UNION ALL SELECT episode_id, 'dropped attributes not in the rubric: [' || array_to_string(list_transform(list_sort(list_distinct(foreign_)),
+  SELECT episode_id, 'outside the recording: ''' || label || ''' moves from ' || printf('%.2f', start_s) || '..' || printf('%.2f', end_s)
+         || ' to ' || printf('%.2f', s1) || '..' || printf('%.2f', e1) AS warning FROM {p}_3 WHERE moved
+  UNION ALL SELECT episode_id, 'left out: ''' || label || ''' lasts less than 0.15 s' FROM {p}_3 WHERE short
+  UNION ALL SELECT episode_id, 'not in the vocabulary: ''' || label || ''', read as ''' || snap || '''' FROM {p}_3 WHERE snapped
+  UNION ALL SELECT episode_id, 'the rubric does not have [' || array_to_string(list_transform(list_sort(list_distinct(foreign_)),
          lambda a: CASE WHEN contains(a, '''') THEN '"' || a || '"' ELSE '''' || a || '''' END), ', ') || ']'
     FROM {p}_3 WHERE checked AND len(foreign_) > 0
-  UNION ALL SELECT episode_id, 'trimmed ' || printf('%.2f', e2 - ns) || 's overlap between ''' || label || ''' and ''' || nl || '''' FROM {p}_6 WHERE trimmed
-  UNION ALL SELECT episode_id, 'every proposed segment was invalid' FROM {p}_3 GROUP BY episode_id HAVING bool_and(short)
-  UNION ALL SELECT episode_id, 'no segments were produced for this episode' FROM episodes ANTI JOIN {src} USING (episode_id))"""
+  UNION ALL SELECT episode_id, '''' || label || ''' ends ' || printf('%.2f', e2 - ns) || ' s earlier, where ''' || nl || ''' starts' FROM {p}_6 WHERE trimmed
+  UNION ALL SELECT episode_id, 'nothing usable was proposed' FROM {p}_3 GROUP BY episode_id HAVING bool_and(short)
+  UNION ALL SELECT episode_id, 'nothing was proposed for this episode' FROM episodes ANTI JOIN {src} USING (episode_id))"""
 
 
 def fresh_sql(src: str) -> str:

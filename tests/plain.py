@@ -1,5 +1,6 @@
 """Plain per-episode restatements used as brute-force checks."""
 
+import itertools
 import random
 
 
@@ -59,17 +60,11 @@ def smoothed(labels):
     if len(out) < 3:
         return out
     while True:
-        runs, i = [], 0
-        while i < len(out):
-            j = i
-            while j < len(out) and out[j] == out[i]:
-                j += 1
-            runs.append((i, j))
-            i = j
-        single = next(((a, b) for a, b in runs if b - a == 1 and len(runs) > 1), None)
-        if single is None:
+        runs = [[i for i, _ in run] for _, run in itertools.groupby(enumerate(out), key=lambda x: x[1])]
+        alone = [run[0] for run in runs if len(run) == 1]
+        if len(runs) == 1 or not alone:
             return out
-        out[single[0]] = out[single[0] - 1] if single[0] else out[1]
+        out[alone[0]] = out[alone[0] - 1] if alone[0] else out[1]
 
 
 def random_spans(rng: random.Random, n, disjoint=False):

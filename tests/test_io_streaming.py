@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from spanlake import fixtures
 from spanlake.fixtures import Tables
 from spanlake.functions import phrases
 from spanlake.functions.phrases import skill_phrase
@@ -188,12 +189,18 @@ def test_scratch_is_deleted(spark):
 
 
 CHECKED = list(ORACLES) if os.environ.get("ALL_QUERIES") else ["evaluate_run", "failure_classes", "clean_segments", "run_segments", "session_segments"]
+# Through both branches at once: groups of over 25 rows count as large.
+ROUTED = CHECKED if os.environ.get("ALL_QUERIES") else [
+    *CHECKED, "greedy_match", "match_snapped", "nearest_boundary", "apply_refinement", "refinement_notes", "annotate_strict", "annotate_warnings",
+    "session_chunks", "fine_assignment", "stitch_sheets", "apply_subdivision", "smooth_states", "merged_gold", "coverage_profile", "inspect_run"]
 
 
-@pytest.mark.parametrize("split", [False, True], ids=["windows", "split"])
-@pytest.mark.parametrize("name", CHECKED)
-def test_query_equals_sql(spark, name, split):
+@pytest.mark.parametrize("name, split", [*((n, s) for n in CHECKED for s in (False, True)), *((n, None) for n in ROUTED)])
+def test_query_equals_sql(spark, name, split, monkeypatch):
     duckdb = pytest.importorskip("duckdb")
+    if split is None:
+        monkeypatch.setattr(layout, "SPLIT_ROWS", 25)
+        monkeypatch.setattr(fixtures, "SPLIT_ROWS", 24)
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
     for f in os.listdir(SF):
