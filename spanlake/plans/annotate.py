@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spanlake import schema
 from spanlake.operators import clean as cl
 from spanlake.operators import proposals as pr
-from spanlake.operators.layout import divide, hot_groups
+from spanlake.operators.layout import divide, durable, hot_groups
 
 
 @dataclass(frozen=True)
@@ -79,7 +79,8 @@ def annotate(tables: Tables, quality: str | Config = "balanced", split: bool | N
     def coarse(proposals: DataFrame) -> DataFrame:
         return pr.assemble(proposals, t.windows, cfg.segment_input, keys, t.grid, cfg.interval, split)
 
-    spans = coarse(t.proposals)
+    # Written where several later steps read it, so that nothing is assembled twice.
+    spans = durable(coarse(t.proposals))
     if cfg.subdivide and t.pieces is not None:
         spans = pr.apply_subdivision(spans, t.pieces, keys, cfg.subdivide_input == "video", split)
     segments, notes = cl.to_segments(spans), []
@@ -90,6 +91,7 @@ def annotate(tables: Tables, quality: str | Config = "balanced", split: bool | N
     segments = first.segments
     notes.append(lambda: first.warnings.select(*keys, F.lit(1).alias("stage"), "warning"))
     if cfg.refine and t.choices is not None:
+        segments = durable(segments)
         segments, moved = pr.apply_refinement(segments, t.choices, t.episodes, keys, cfg.refine_half_window,
                                               mode=cfg.refine_input, split=split)
         notes.append(lambda: moved.select(*keys, F.lit(4).alias("stage"), "warning"))
