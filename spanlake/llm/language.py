@@ -7,6 +7,10 @@ first in alphabetical order.
 
 Training uses at most about ``TRAIN_ROWS`` labelled rows. Null texts and texts without a letter are ``und``. Letters
 that no language profile has are one class.
+
+Null texts and texts without a letter are ``und`` with score 0; languages that are equally far are told apart by name. Repeated
+rows are judged alike and count each time they are learned from, other columns are not read whatever their names, and an
+empty table gives an empty result; without anything learned every text is ``und``.
 """
 
 from __future__ import annotations

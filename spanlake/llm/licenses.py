@@ -10,6 +10,9 @@ skipped. Candidates are verified by the exact words of their shingles.
 
 A shingle is 5 words (a shorter template is one shingle). Words are runs of letters and digits, in lower case. Null
 texts have no window. The templates are the only broadcast; their number does not depend on the documents.
+
+Null and empty texts hold no notice, a text shorter than a shingle neither. Repeated rows are judged row by row, equal finds of one
+template that overlap are one, other columns are not read whatever their names, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

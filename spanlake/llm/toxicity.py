@@ -9,6 +9,10 @@ chance. The excesses of a text's segments are joined to a probability by a logis
 
 Null and empty texts have no segment. Labels that are null or repeat a doc_id count as they come. At most about
 ``TRAIN_ROWS`` labelled rows are used for training; all documents are scored, over their whole text.
+
+Null and empty texts are scored like any text without a scoring token. Rows that repeat a doc_id are learned from each time their id
+is labelled and are judged alike; ids without a document and null labels are left out; with labels of one kind, or none, every text
+gets that kind's score. Other columns are not read whatever their names, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
