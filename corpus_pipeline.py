@@ -1,6 +1,12 @@
 """A training-data pipeline over documents: quality rules, near copies, repeated passages, test leaks, packing.
 
 Every stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's docs.
+
+All stages but the last keep every column of docs under its own name, whatever that is, and all give an empty table for an empty
+one. Texts of any length are read whole. Null and empty texts fail the base rules and go in the first stage; given to a later one, they are
+near copies of each other for near_dedup, stay as they are in the two cutting stages, and are packed as empty texts. Rows that
+repeat a doc_id are judged row by row, except that near_dedup keeps one of them, and substring_dedup takes from none what only
+rows of its own doc_id hold. Rows without a doc_id stay in near_dedup and count as the latest in substring_dedup.
 """
 
 from __future__ import annotations
