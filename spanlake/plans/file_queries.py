@@ -146,6 +146,17 @@ def split_run_spans(t: Tables) -> DataFrame:
     return pred.select(F.lit("pred").alias("side"), "*").unionByName(gold.select(F.lit("gold").alias("side"), "*"))
 
 
+@query("media_inventory", """
+SELECT s_suppkey, length(s_name) * (s_suppkey % 5 + 1) + 1 AS length FROM supplier WHERE length(s_name) * (s_suppkey % 5 + 1) + 1 <= 60""")
+def media_inventory(t: Tables) -> DataFrame:
+    """One file per supplier, some too large; only names and sizes are read."""
+    body = F.repeat("s_name", (F.col("s_suppkey") % 5 + 1).cast("int"))
+    path = scratch(t.spark, "media")
+    t.raw("supplier").select(body.alias("value"), "s_suppkey").write.partitionBy("s_suppkey").text(path)
+    found = readers.video_inventory(t.spark, path, 60, "txt")
+    return found.select(F.regexp_extract("path", r"s_suppkey=(\d+)/", 1).cast("long").alias("s_suppkey"), "length")
+
+
 @query("checkpoint_rows", """
 SELECT 'e' || o_orderkey AS id, o_orderkey % 5 = 0 OR o_orderkey % 4 <> 0 AS ok,
        CASE WHEN o_orderkey % 5 = 0 THEN 1.5::DOUBLE ELSE (o_orderkey % 11)::DOUBLE END AS elapsed FROM orders""")

@@ -39,11 +39,11 @@ def read_benchmark(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return episodes, _gold(raw, F.col("segments"))
 
 
-def video_inventory(spark: SparkSession, path: str, max_bytes: int = VIDEO_LIMIT) -> DataFrame:
-    """(path, stem, length) of the mp4 files up to ``max_bytes``; contents are not read."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.mp4").option("recursiveFileLookup", "true")
+def video_inventory(spark: SparkSession, path: str, max_bytes: int = VIDEO_LIMIT, suffix: str = "mp4") -> DataFrame:
+    """(path, stem, length) of the recordings up to ``max_bytes``; contents are not read."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").option("recursiveFileLookup", "true")
              .load(path).select("path", "length"))
-    return files.filter(F.col("length") <= max_bytes).withColumn("stem", F.regexp_extract("path", r"([^/]+)\.mp4$", 1))
+    return files.filter(F.col("length") <= max_bytes).withColumn("stem", F.regexp_extract("path", rf"([^/]+)\.{suffix}$", 1))
 
 
 def read_sidecars(spark: SparkSession, path: str, videos: DataFrame | None = None,
@@ -118,13 +118,16 @@ def pending(episodes: DataFrame, checkpoint: DataFrame, key: str = "episode_id")
 
 
 def select_episodes(episodes: DataFrame, family: str | None = None, ids: Sequence[str] | None = None,
-                    limit: int | None = None) -> DataFrame:
-    """Filter by family or ids; the first ``limit`` by id."""
+                    limit: int | None = None, any_order: bool = False) -> DataFrame:
+    """Filter by family or ids; the first ``limit`` by id. With ``any_order`` any ``limit`` of them will do, and reading
+    stops once they are found."""
     if family is not None:
         episodes = episodes.filter(F.col("family") == family)
     if ids is not None:
         episodes = episodes.filter(F.col("episode_id").isin(*ids))
-    return episodes if limit is None else episodes.orderBy("episode_id").limit(limit)
+    if limit is None:
+        return episodes
+    return episodes.limit(limit) if any_order else episodes.orderBy("episode_id").limit(limit)
 
 
 def successful(rows: DataFrame) -> DataFrame:

@@ -210,3 +210,10 @@ def test_query_equals_sql(spark, name, split, monkeypatch):
     names = [d[0] for d in result.description]
     assert sorted(names) == sorted(df.columns)
     assert sorted(map(repr, (tuple(r) for r in df.select(names).collect()))) == sorted(map(repr, result.fetchall()))
+
+
+def test_any_episodes_will_do(spark):
+    episodes = spark.range(0, 10_000, 1, 50).selectExpr("CAST(id AS string) AS episode_id", "'f' AS family")
+    some = readers.select_episodes(episodes, limit=7, any_order=True)
+    assert some.count() == 7 and "Sort" not in some._jdf.queryExecution().executedPlan().toString()
+    assert [r.episode_id for r in readers.select_episodes(episodes, limit=3).collect()] == ["0", "1", "10"]
