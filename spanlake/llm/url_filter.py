@@ -97,7 +97,8 @@ def url_filter(pages: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RU
     judged = written(judged.select(F.col("url").alias("key"), "host_rule", "pattern_rule"), "url-verdicts")
 
     apart = F.coalesce(F.col("url"), F.concat(F.lit("\0"), F.col("page_id").cast("string")))
-    return rows.join(judged, apart == F.col("key"), "left").select(
+    # As many verdicts as different URLs: no side is broadcast, however small its files are.
+    return rows.join(judged.hint("merge"), apart == F.col("key"), "left").select(
         "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("host_rule.text").alias("rule"),
         F.coalesce("host_rule.verdict", "pattern_rule.verdict", F.lit(default)).alias("verdict"),
         F.col("pattern_rule.text").alias("pattern"))
